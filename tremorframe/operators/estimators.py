@@ -119,30 +119,46 @@ def gutenberg_richter(pairs: DataFrame, width: float = 0.1, min_events: int = 5,
     )
 
 
-def anisotropy(pairs: DataFrame, min_events: int = 3, ratio_epsilon: float = 1e-9) -> DataFrame:
-    """Axes of the 2 x 2 sample covariance in closed form."""
+def axis_aggregates() -> list:
     x = east_km(F.col("mainshock_lat"), F.col("mainshock_lon"), F.col("longitude"))
     y = north_km(F.col("mainshock_lat"), F.col("latitude"))
-    moments = pairs.groupBy("mainshock_id").agg(
-        F.var_samp(x).alias("a"), F.var_samp(y).alias("d"), F.covar_samp(x, y).alias("b"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    a, b, d = F.col("a"), F.col("b"), F.col("d")
-    middle = (a + d) / 2
-    spread = F.sqrt((a - d) / 2 * ((a - d) / 2) + b * b)
-    valid = F.col("n") >= min_events
+    return [F.var_samp(x).alias("_a"), F.var_samp(y).alias("_d"), F.covar_samp(x, y).alias("_b"),
+            F.count(F.lit(1)).alias("_n")]
+
+
+def axis_columns(min_events: int = 3, ratio_epsilon: float = 1e-9) -> list:
+    """Axes of the 2 x 2 sample covariance in closed form."""
+    a, b, d = F.col("_a"), F.col("_b"), F.col("_d")
+    middle, half = (a + d) / 2, (a - d) / 2
+    spread = F.sqrt(half * half + b * b)
+    valid = F.col("_n") >= min_events
     major = F.sqrt(F.greatest(middle + spread, F.lit(0.0)))
     minor = F.sqrt(F.greatest(middle - spread, F.lit(0.0)))
     azimuth = F.pmod(F.degrees(F.atan2(2 * b, d - a)) / 2 + 180.0, F.lit(180.0))
-    return moments.select(
-        "mainshock_id",
+    return [
         F.when(valid, major).alias("anisotropy_major_axis_km"),
         F.when(valid, minor).alias("anisotropy_minor_axis_km"),
         F.when(valid, major / F.greatest(minor, F.lit(ratio_epsilon))).alias("anisotropy_axis_ratio"),
         F.when(valid, azimuth).alias("anisotropy_azimuth_deg"),
-        F.col("n").alias("anisotropy_n"),
+        F.col("_n").alias("anisotropy_n"),
         valid.alias("anisotropy_valid"),
-    )
+    ]
+
+
+def anisotropy(pairs: DataFrame, min_events: int = 3, ratio_epsilon: float = 1e-9) -> DataFrame:
+    return pairs.groupBy("mainshock_id").agg(*axis_aggregates()).select(
+        "mainshock_id", *axis_columns(min_events, ratio_epsilon))
+
+
+def one_pass_summary(pairs: DataFrame) -> DataFrame:
+    """Early statistics, time bins and axes from a single aggregation."""
+    stats = [
+        F.count(F.lit(1)).alias("early_aftershock_count"), F.max("mag").alias("early_max_mag"),
+        F.avg("mag").alias("early_mean_mag"), F.sum(moment(F.col("mag"))).alias("early_energy_sum"),
+    ]
+    grouped = pairs.groupBy("mainshock_id").agg(*stats, *bin_aggregates(), *axis_aggregates())
+    kept = [c for c in grouped.columns if not c.startswith("_")]
+    return grouped.select(*kept, *axis_columns())
 
 
 def bath_features(df: DataFrame) -> DataFrame:

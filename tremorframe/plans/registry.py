@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sequences",)
+MODULES = ("sequences", "features")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
