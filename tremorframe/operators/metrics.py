@@ -261,19 +261,25 @@ def threshold_search(df: DataFrame, label: str, score: str, beta: float = 2.0, s
     A row is reduced to the number of thresholds it passes, so the data becomes at most
     (thresholds + 1) counters before the thresholds are laid over them.
     """
-    cuts = [step + i * step for i in range(int(round(1.0 / step)) - 1)]
-    cut_array = F.array(*[F.lit(c) for c in cuts])
-    passed = F.size(F.filter(cut_array, lambda c: F.col(score) >= c))
+    total = int(round(1.0 / step)) - 1
+
+    def cut(k: Column) -> Column:
+        return F.lit(step) + (k - 1) * F.lit(step)
+
+    # The division lands within one step of the exact count; three comparisons settle it.
+    base = F.greatest(F.floor(F.col(score) / step).cast("int") - 1, F.lit(0))
+    passed = F.least(F.lit(total), base + sum(
+        ((cut(base + i) <= F.col(score)).cast("int") for i in (1, 2, 3)), F.lit(0)))
     counters = df.filter(F.col(score).isNotNull()).groupBy(passed.alias("passed")).agg(
         F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    spread = counters.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(len(cuts)))))
+    spread = counters.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(total))))
     over = F.col("passed") >= F.col("k")
     confusion = spread.groupBy("k").agg(
         F.sum(F.when(over, F.col("_p")).otherwise(0)).alias("tp"), F.sum(F.when(over, F.col("_n")).otherwise(0)).alias("fp"),
         F.sum(F.when(~over, F.col("_n")).otherwise(0)).alias("tn"), F.sum(F.when(~over, F.col("_p")).otherwise(0)).alias("fn"))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     scored = confusion.select(
-        F.element_at(cut_array, F.col("k")).alias("threshold"), "tp", "fp", "tn", "fn",
+        cut(F.col("k")).alias("threshold"), "tp", "fp", "tn", "fn",
         (tp / F.greatest(tp + fp, F.lit(1))).alias("precision"), (tp / F.greatest(tp + fn, F.lit(1))).alias("recall"),
         ((tp + tn) / F.greatest(tp + fp + tn + fn, F.lit(1))).alias("accuracy"), fbeta(tp, fp, fn, beta).alias("fbeta"))
     # 99 rows: a single small window picks the lowest threshold among the best.
