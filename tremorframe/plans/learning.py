@@ -17,7 +17,7 @@ from tremorframe.operators import metrics as mt
 from tremorframe.operators import rules as ru
 from tremorframe.operators.labels import long_windows, single_horizon_labels, window_labels
 from tremorframe.operators.sequences import holdout_truth, mainshocks
-from tremorframe.plans.inputs import catalog, dated_rows, predictions
+from tremorframe.plans.inputs import PREDICTIONS_SQL, catalog, dated_rows, predictions
 from tremorframe.session import durable
 
 
@@ -205,4 +205,11 @@ QUERIES = {
     )
 }
 
-ORACLES = {}
+ORACLES = {
+    "window_model_predictions": f"""WITH {PREDICTIONS_SQL},
+x AS (SELECT "window", CASE WHEN "window" = 'T3' THEN greatest(0.0, main_mag - 1.55::DOUBLE)
+        ELSE least(greatest(0.6::DOUBLE * mag_a + 0.4::DOUBLE * mag_b, 0.0), main_mag + 0.5) END AS pm,
+  CASE "window" WHEN 'T3' THEN 120.0 WHEN 'T1' THEN least(greatest((hours_a + hours_b) / 2, 1e-6), 24.0)
+       ELSE least(greatest((hours_a + hours_b) / 2, 24.000001), 72.0) END AS ph FROM preds)
+SELECT "window", round(avg(pm), 6) AS mag, round(avg(ph), 6) AS hours FROM x GROUP BY 1""",
+}

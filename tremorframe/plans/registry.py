@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sequences", "features", "scoring", "search", "learning")
+MODULES = ("sequences", "features", "scoring", "search", "learning", "live")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
