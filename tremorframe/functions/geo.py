@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 from tremorframe.constants import EARTH_RADIUS_KM, MERCATOR_RADIUS_M
 
 
+def haversine_term(rise: Column, turn: Column, cos1: Column, cos2: Column) -> Column:
+    """sin^2 of half the central angle, from coordinate differences in degrees and latitude cosines."""
+    half_lat, half_lon = F.sin(F.radians(rise) / 2), F.sin(F.radians(turn) / 2)
+    return half_lat * half_lat + cos1 * cos2 * half_lon * half_lon
+
+
+def haversine_limit(km: Column, radius_km: float = EARTH_RADIUS_KM) -> Column:
+    """The term at a distance: a pair is within ``km`` when its term is not larger."""
+    half = F.sin(km / F.lit(2.0 * radius_km))
+    return half * half
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column,
                  radius_km: float = EARTH_RADIUS_KM) -> Column:
     """Great-circle distance; the square-root argument is kept at or below one."""
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
+    a = haversine_term(lat2 - lat1, lon2 - lon1, F.cos(F.radians(lat1)), F.cos(F.radians(lat2)))
     return F.lit(2.0 * radius_km) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 

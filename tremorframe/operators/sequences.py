@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.constants import (
-    AFTERSHOCK_RADIUS_KM, GK_OTHER, GK_WINDOWS, MAINSHOCK_MAX_DEPTH_KM, MAINSHOCK_MIN_MAG,
+    AFTERSHOCK_RADIUS_KM, EARTH_RADIUS_KM, GK_OTHER, GK_WINDOWS, MAINSHOCK_MAX_DEPTH_KM, MAINSHOCK_MIN_MAG,
     OBSERVATION_DAYS, TARGET_DAYS,
 )
-from tremorframe.functions.geo import CellGrid, haversine_km
+from tremorframe.functions.geo import CellGrid, haversine_limit, haversine_term
 from tremorframe.functions.seismic import gk_days, gk_km, moment
 from tremorframe.operators.spatial_join import as_micros, drop_near_anchor_time, interval_pairs, micros
 from tremorframe.session import durable
@@ -73,7 +73,8 @@ class CoverRule:
                     F.lit(number).alias("_grid"), F.col("us").alias("s_us"), F.col("latitude").alias("s_lat"),
                     F.col("longitude").alias("s_lon"), F.col("mag").alias("s_mag"),
                     (self.days * F.lit(DAY_S * 1e6)).cast("bigint").alias("s_reach_us"),
-                    self.km.alias("s_reach_km"),
+                    F.degrees(self.km / EARTH_RADIUS_KM).alias("s_reach_deg"),
+                    haversine_limit(self.km).alias("s_limit"), F.cos(F.radians("latitude")).alias("s_cos"),
                 )
                 .withColumn("_bucket", F.explode(F.sequence(
                     F.floor(F.col("s_us") / bucket).cast("bigint"),
@@ -101,7 +102,8 @@ class CoverRule:
                 band.alias("_band"),
                 grid.cell(F.col("longitude"), grid.ring_size(band)).alias("_cell"),
             ))
-        return nodes.withColumn("_key", F.explode(F.array(*keys))).select("*", "_key.*").drop("_key")
+        flat = nodes.withColumns({"_cos": F.cos(F.radians("latitude")), "_key": F.explode(F.array(*keys))})
+        return flat.select("*", "_key.*").drop("_key")
 
     def covered_ids(self, nodes: DataFrame, by: DataFrame) -> DataFrame:
         """Ids of ``nodes`` covered by some node of ``by``: a semi join, no pair is emitted."""
@@ -110,11 +112,15 @@ class CoverRule:
         test = (gap > 0) & (gap <= F.col("s.s_reach_us"))
         if self.smaller_only:
             test = test & (F.col("t.mag") < F.col("s.s_mag"))
-        near = haversine_km(F.col("s.s_lat"), F.col("s.s_lon"), F.col("t.latitude"), F.col("t.longitude"))
-        test = test & (near <= F.col("s.s_reach_km"))
+        # Cheap latitude test first; then the haversine term against its limit, cosines precomputed.
+        rise, turn = F.col("t.latitude") - F.col("s.s_lat"), F.col("t.longitude") - F.col("s.s_lon")
+        test = test & (F.abs(rise) <= F.col("s.s_reach_deg") * (1 + 1e-9))
+        near = haversine_term(rise, turn, F.col("s.s_cos"), F.col("t._cos"))
+        test = test & (near <= F.col("s.s_limit"))
         for key in ("_grid", "_bucket", "_band", "_cell"):
             test = test & (F.col(f"t.{key}") == F.col(f"s.{key}"))
-        return target.join(source, test, "left_semi").select("id").distinct()
+        # The replicated side outgrows its size estimate, so a broadcast is ruled out here.
+        return target.join(source.hint("merge"), test, "left_semi").select("id").distinct()
 
 
 def greedy_keep(nodes: DataFrame, rule: CoverRule, max_rounds: int = 10_000) -> DataFrame:

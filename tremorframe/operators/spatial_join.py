@@ -116,7 +116,7 @@ def interval_pairs(
                             earth_radius_km)
     return (
         left.join(right, key)
-        .filter(start_ok & (elapsed <= after_us))
+        .filter(start_ok & (elapsed <= after_us) & (F.abs(F.col("latitude") - F.col(anchor_lat)) <= grid.height))
         .withColumn("distance_km", distance)
         .filter(F.col("distance_km") <= radius_km)
         .withColumn("elapsed_us", elapsed)
