@@ -28,7 +28,8 @@ def hours_between(token_col: Column, stamp: Column) -> Column:
 def fixed(value: Column, digits: int) -> Column:
     """Fixed-point text of the exact binary value (0.35 is below 0.35, so it prints 0.3).
 
-    The fraction is held as a 52-bit integer; only a true tie goes to the even digit.
+    The fraction is split into a 52-bit integer and what is left of it, so the distance from
+    the halfway point is exact; only a true tie goes to the even digit.
     """
     unit = F.lit(1 << 52).cast("bigint")
     scale = F.lit(10**digits).cast("bigint")
@@ -40,7 +41,8 @@ def fixed(value: Column, digits: int) -> Column:
     rest = F.pmod(held * scale, unit)
     half = F.lit(1 << 51).cast("bigint")
     odd = F.pmod(quotient, F.lit(2)) == 1
-    up = (rest > half) | ((rest == half) & ((bits > held) | odd))
+    beyond = (rest - half).cast("double") + (bits - held) * F.lit(float(10**digits))
+    up = (beyond > 0) | ((beyond == 0) & odd)
     units = whole * scale + quotient + up.cast("bigint")
     tail = F.lpad(F.pmod(units, scale).cast("string"), digits, "0")
     sign = F.when(value < 0, "-").otherwise("")
