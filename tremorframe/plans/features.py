@@ -163,9 +163,15 @@ def imputed_features(spark, sf):
     df = _with_plate(_features(spark, sf))
     df = df.withColumn("etas_mu", F.lit(None).cast("double")).withColumn(
         "mag_gap", F.when(F.col("mainshock_depth") < 50, F.col("mainshock_mag") - F.col("early_max_mag")))
-    out = imp.impute(df, [*IMPUTED, "mag_gap"])
-    flags = [c for c in out.columns if c.endswith("_missing")]
-    return rounded(out.select("mainshock_id", *IMPUTED, "mag_gap", *flags))
+    names = [*IMPUTED, "mag_gap"]
+    out = imp.impute(df, names)
+    return rounded(out.select("mainshock_id", *names, *[_flag(out, c, F.lit(0)) for c in names]))
+
+
+def _flag(df, name, absent):
+    """A missing flag exists only for columns with a null; the query always shows it."""
+    flag = f"{name}_missing"
+    return F.col(flag) if flag in df.columns else absent.alias(flag)
 
 
 SCALED = ["mainshock_mag", "mainshock_depth", "gr_b_value", "early_mean_mag"]
@@ -174,7 +180,8 @@ SCALED = ["mainshock_mag", "mainshock_depth", "gr_b_value", "early_mean_mag"]
 def scaled_features(spark, sf):
     df = _features(spark, sf)
     fitted = imp.fit_preprocessor(df, SCALED)
-    return rounded(imp.apply_preprocessor(df, fitted, keep=["mainshock_id"]))
+    out = imp.apply_preprocessor(df, fitted, keep=["mainshock_id"])
+    return rounded(out.select("mainshock_id", *SCALED, _flag(out, "gr_b_value", F.lit(0.0))))
 
 
 def standard_scaled_features(spark, sf):
