@@ -2,12 +2,17 @@
 
 Rows never meet the full parameter grid: a threshold only splits the rows, so rows are
 counted per threshold class first, and parameters in which the error is quadratic are
-evaluated from sums. The searches end in tables of at most a few thousand rows.
+evaluated from sums. What is left is summed per task in NumPy, so a task emits one row per
+class and parameter point. The searches end in tables of at most a few thousand rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.constants import WINDOW_BOUNDS
@@ -34,8 +39,46 @@ def _options(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _passed(value: Column, cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: value >= c))
+def _passed(value: Column, cuts) -> Column:
+    """How many of the fixed cuts a value reaches."""
+    return sum(((value >= float(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def class_sums(df: DataFrame, classes: list[str], inputs: list[str], points: list[tuple], evaluate, sums: list[str],
+               maxima: tuple[str, ...] = ()) -> DataFrame:
+    """Sums (and maxima) of ``evaluate`` per class and parameter point.
+
+    ``evaluate`` gets input columns of shape (n, 1) and parameters of shape (1, p). A task
+    holds one vector per class and result; classes are few (groups x thresholds).
+    """
+    grid = np.array(points, dtype=float).T[:, None, :]
+    names = [*sums, *maxima]
+    schema = df.select(*classes).schema.simpleString()[len("struct<"):-1]
+
+    def partial(batches):
+        totals: dict = {}
+        for frame in batches:
+            for key, rows in frame.groupby(classes, sort=False, dropna=False):
+                store = totals.setdefault(key, {n: np.zeros(grid.shape[2]) for n in names})
+                values = [rows[c].to_numpy(dtype=float)[:, None] for c in inputs]
+                for at in range(0, len(rows), 2048):
+                    made = evaluate(*[v[at:at + 2048] for v in values], *grid)
+                    for n in sums:
+                        store[n] += np.broadcast_to(made[n], (len(values[0][at:at + 2048]), grid.shape[2])).sum(axis=0)
+                    for n in maxima:
+                        store[n] = np.maximum(store[n], made[n].max(axis=0))
+        for key, store in totals.items():
+            yield pd.DataFrame({**dict(zip(classes, key)), "point": np.arange(grid.shape[2]), **store})
+
+    fields = ", ".join([schema.replace(",", ", "), "point int", *[f"{n} double" for n in names]])
+    out = df.select(*classes, *inputs).mapInPandas(partial, fields)
+    return out.groupBy(*classes, "point").agg(
+        *[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima])
+
+
+def _point_columns(points: list[tuple], names: list[str]) -> list[Column]:
+    """Parameter values of a point number."""
+    return [F.element_at(_options([p[i] for p in points]), F.col("point") + 1).alias(n) for i, n in enumerate(names)]
 
 
 def risk_thresholds(df: DataFrame, groups: list[str], risk: str) -> DataFrame:
@@ -43,7 +86,19 @@ def risk_thresholds(df: DataFrame, groups: list[str], risk: str) -> DataFrame:
     quantiles = exact_quantiles(df, groups, risk, list(RISK_QUANTILES))
     names = [f"q{i}" for i in range(len(RISK_QUANTILES))]
     cuts = F.array_sort(F.array_distinct(F.concat(_options(RISK_THRESHOLDS), F.array(*names))))
-    return quantiles.select(*groups, cuts.alias("cuts"))
+    fresh = []
+    for i, name in enumerate(names):
+        known = F.col(name).isin(*RISK_THRESHOLDS)
+        for earlier in names[:i]:
+            known = known | (F.col(name) == F.col(earlier))
+        fresh.append(F.when(~known, F.col(name)).alias(name))
+    return quantiles.select(*groups, cuts.alias("cuts"), *fresh)
+
+
+def _risk_class(risk: Column) -> Column:
+    """Number of thresholds a risk reaches: the fixed ones and the quantiles that are not among them."""
+    own = [F.coalesce((risk >= F.col(f"q{i}")).cast("int"), F.lit(0)) for i in range(len(RISK_QUANTILES))]
+    return sum(own, _passed(risk, RISK_THRESHOLDS))
 
 
 def risk_mag_search(df: DataFrame, groups: list[str], base: str, main_mag: str, risk: str, truth: str,
@@ -56,7 +111,7 @@ def risk_mag_search(df: DataFrame, groups: list[str], base: str, main_mag: str,
     cuts = risk_thresholds(df, groups, risk)
     bounded = F.least(F.col(base), F.col(main_mag) + 0.5)
     rows = df.join(cuts, groups).select(
-        *groups, "cuts", _passed(F.col(risk), F.col("cuts")).alias("passed"), F.col(weight).alias("s"),
+        *groups, "cuts", _risk_class(F.col(risk)).alias("passed"), F.col(weight).alias("s"),
         (bounded - F.col(truth)).alias("e"), bounded.alias("b"), F.col(main_mag).alias("m"))
     sums = [F.sum("s").alias("sw"), F.sum(F.col("s") * F.col("e") * F.col("e")).alias("see"),
             F.count(F.lit(1)).alias("n"), F.first("cuts").alias("cuts")]
@@ -89,27 +144,27 @@ def risk_time_search(df: DataFrame, groups: list[str], base: str, window: str, r
                      weight: str, late_weight: float = 2.0) -> DataFrame:
     """Late-weighted RMSE of every (threshold, fraction, weight) of the time adjustment.
 
-    The sign of the error decides its weight, so rows meet the 50 (fraction, weight) pairs;
-    the thresholds are again laid over class sums.
+    The sign of the error decides its weight, so rows meet the 50 (fraction, weight) points
+    inside a task; the thresholds are again laid over class sums.
     """
     cuts = risk_thresholds(df, groups, risk)
-    low, top = lower_hours(F.col(window)), upper_hours(F.col(window))
-    pairs = F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(w).alias("weight"))
-                      for f in RISK_FRACTIONS for w in RISK_WEIGHTS])
-    rows = df.join(cuts, groups).select(
-        *groups, "cuts", _passed(F.col(risk), F.col("cuts")).alias("passed"), F.col(weight).alias("s"),
-        F.col(base).alias("b"), F.col(truth).alias("y"), low.alias("lo"), top.alias("hi"))
-
-    def sums(prediction: Column, tag: str) -> list[Column]:
-        bounded = F.least(F.greatest(prediction, F.col("lo") + 1e-6), F.col("hi"))
-        error = bounded - F.col("y")
-        weight_ = F.when(error > 0, F.lit(late_weight)).otherwise(1.0) * F.col("s")
-        return [F.sum(weight_ * error * error).alias(f"{tag}_see"), F.sum(weight_).alias(f"{tag}_sw")]
-
-    anchor = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("p.fraction")
-    moved = (1.0 - F.col("p.weight")) * F.col("b") + F.col("p.weight") * F.least(F.col("b"), anchor)
-    classes = rows.withColumn("p", F.explode(pairs)).groupBy(*groups, "passed", "p").agg(
-        *sums(moved, "adj"), *sums(F.col("b"), "base"), F.count(F.lit(1)).alias("n"), F.first("cuts").alias("cuts"))
+    points = list(itertools.product(RISK_FRACTIONS, RISK_WEIGHTS))
+    rows = df.join(cuts.drop("cuts"), groups).select(
+        *groups, _risk_class(F.col(risk)).alias("passed"), F.col(weight).cast("double").alias("s"), F.col(base).alias("b"),
+        F.col(truth).alias("y"), lower_hours(F.col(window)).alias("lo"), upper_hours(F.col(window)).alias("hi"))
+
+    def evaluate(s, b, y, lo, hi, fraction, share):
+        def squared(prediction):
+            error = np.minimum(np.maximum(prediction, lo + 1e-6), hi) - y
+            w = np.where(error > 0, late_weight, 1.0) * s
+            return w * error * error, w
+
+        moved = squared((1.0 - share) * b + share * np.minimum(b, lo + (hi - lo) * fraction))
+        still = squared(b)
+        return {"adj_see": moved[0], "adj_sw": moved[1], "base_see": still[0], "base_sw": still[1], "n": np.ones_like(b)}
+
+    classes = class_sums(rows, [*groups, "passed"], ["s", "b", "y", "lo", "hi"], points, evaluate,
+                         ["adj_see", "adj_sw", "base_see", "base_sw", "n"]).join(cuts.select(*groups, "cuts"), groups)
     spread = classes.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("cuts")))).withColumn(
         "threshold", F.element_at("cuts", F.col("k")))
     on = F.col("passed") >= F.col("k")
@@ -117,11 +172,11 @@ def risk_time_search(df: DataFrame, groups: list[str], base: str, window: str, r
     def mixed(name: str) -> Column:
         return F.sum(F.when(on, F.col(f"adj_{name}")).otherwise(F.col(f"base_{name}")))
 
-    out = spread.groupBy(*groups, "threshold", "p").agg(
+    out = spread.groupBy(*groups, "threshold", "point").agg(
         F.sqrt(mixed("see") / mixed("sw")).alias("objective"), F.sum(F.when(on, F.col("n")).otherwise(0)).alias("a"),
         F.sum("n").alias("n"))
     return out.filter("a > 0").select(
-        *groups, "threshold", F.col("p.fraction").alias("fraction"), F.col("p.weight").alias("weight"), "objective",
+        *groups, "threshold", *_point_columns(points, ["fraction", "weight"]), "objective",
         (F.col("a") / F.col("n")).alias("active_rate"))
 
 
@@ -155,27 +210,29 @@ def _floor_classes(df: DataFrame, groups: list[str], pred: str, main_mag: str, t
     Rows below the lowest threshold are never adjusted and enter as one class.
     """
     cuts = _options(thresholds)
-    p, m, y = F.col(pred), F.col(main_mag), F.col(truth)
-    rows = df.select(*groups, _passed(m, cuts).alias("passed"), p.alias("p"), m.alias("m"), y.alias("y"))
-    still = round_even(F.col("p"), 1)
-    reference = still if rounded_reference else F.col("p")
-
-    def sums(value: Column) -> list[Column]:
-        error = value - F.col("y")
-        return [F.count(F.lit(1)).alias("n"), F.sum(F.abs(error)).alias("sa"), F.sum(error * error).alias("ss"),
-                F.max(F.abs(error)).alias("mx"), F.count_if(value != reference).alias("ch"),
-                F.sum(F.abs(F.col("p") - F.col("y"))).alias("sa0"),
-                F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("ss0")]
-
-    base = rows.groupBy(*groups, "passed").agg(*sums(still))
-    margin, strength = F.col("margin"), F.col("strength")
-    floor = F.col("m") - margin
-    lifted = F.least(F.col("p") + strength * (floor - F.col("p")), F.col("m") - cap)
-    adjusted = round_even(F.when(floor > F.col("p"), lifted).otherwise(F.col("p")), 1)
-    lifted_sums = (
-        rows.filter("passed > 0").withColumn("margin", F.explode(_options(margins)))
-        .withColumn("strength", F.explode(_options(strengths)))
-        .groupBy(*groups, "passed", "margin", "strength").agg(*sums(adjusted)))
+    points = list(itertools.product(margins, strengths))
+    rows = df.select(*groups, _passed(F.col(main_mag), thresholds).alias("passed"), F.col(pred).alias("p"),
+                     F.col(main_mag).alias("m"), F.col(truth).alias("y"))
+
+    def scored(value, p, y):
+        error, before = value - y, p - y
+        reference = np.rint(p * 10.0) / 10.0 if rounded_reference else p
+        return {"n": np.ones_like(error), "sa": np.abs(error), "ss": error * error, "mx": np.abs(error),
+                "ch": (value != reference).astype(float), "sa0": np.abs(before), "ss0": before * before}
+
+    def still(p, m, y, margin, strength):
+        return scored(np.rint(p * 10.0) / 10.0 + 0.0 * margin, p, y)
+
+    def lifted(p, m, y, margin, strength):
+        floor = m - margin
+        raised = np.minimum(p + strength * (floor - p), m - cap)
+        return scored(np.rint(np.where(floor > p, raised, p) * 10.0) / 10.0, p, y)
+
+    names = ["n", "sa", "ss", "ch", "sa0", "ss0"]
+    keys, inputs = [*groups, "passed"], ["p", "m", "y"]
+    base = class_sums(rows, keys, inputs, [points[0]], still, names, ("mx",)).drop("point")
+    lifted_sums = class_sums(rows.filter("passed > 0"), keys, inputs, points, lifted, names, ("mx",)).select(
+        *keys, *names, "mx", *_point_columns(points, ["margin", "strength"]))
     ks = F.sequence(F.lit(1), F.lit(len(thresholds)))
     quiet = (
         base.withColumn("k", F.explode(ks)).filter(F.col("passed") < F.col("k"))
@@ -187,7 +244,7 @@ def _floor_classes(df: DataFrame, groups: list[str], pred: str, main_mag: str, t
     high = F.col("high")
     return both.groupBy(*groups, "k", "margin", "strength").agg(
         F.sum("n").alias("n"), F.sum("sa").alias("sa"), F.sum("ss").alias("ss"), F.max("mx").alias("mx"),
-        F.sum("ch").alias("ch"), F.sum("sa0").alias("sa0"), F.sum("ss0").alias("ss0"),
+        F.sum("ch").cast("bigint").alias("ch"), F.sum("sa0").alias("sa0"), F.sum("ss0").alias("ss0"),
         F.sum(F.when(high, F.col("n")).otherwise(0)).alias("hn"), F.sum(F.when(high, F.col("sa"))).alias("hsa"),
         F.sum(F.when(high, F.col("sa0"))).alias("hsa0"),
     ).withColumn("threshold", F.element_at(cuts, F.col("k")))
@@ -231,24 +288,25 @@ def oof_first_rule(oof: DataFrame, groups: list[str], tolerance: float = 0.001,
     Predictions are not rounded here. RMSE decides among rules with the same error.
     """
     cuts = _options(thresholds)
-    rows = oof.select(*groups, _passed(F.col("main_mag"), cuts).alias("passed"), F.col("pred_mag").alias("p"),
+    rows = oof.select(*groups, _passed(F.col("main_mag"), thresholds).alias("passed"), F.col("pred_mag").alias("p"),
                       F.col("main_mag").alias("m"), F.col("true_mag").alias("y"))
     e0, kept = F.col("p") - F.col("y"), F.greatest(F.col("p"), F.lit(0.0)) - F.col("y")
     whole = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(e0)).alias("sa0"), F.sum(e0 * e0).alias("ss0"),
         F.sum(F.abs(kept)).alias("sa"), F.sum(kept * kept).alias("ss"))
-    floor = F.col("m") - F.col("margin")
-    boost = floor > F.col("p")
-    lifted = F.least((1 - F.col("strength")) * F.col("p") + F.col("strength") * floor, F.col("m") - cap)
-    value = F.greatest(F.when(boost, lifted).otherwise(F.col("p")), F.lit(0.0))
-    e1 = value - F.col("y")
-    moved = (
-        rows.filter("passed > 0").withColumn("margin", F.explode(_options(margins)))
-        .withColumn("strength", F.explode(_options(strengths)))
-        .groupBy(*groups, "passed", "margin", "strength")
-        .agg(F.sum(F.abs(e1) - F.abs(kept)).alias("da"), F.sum(e1 * e1 - kept * kept).alias("ds"),
-             F.sum(F.abs(e1)).alias("sa1"), F.sum(F.abs(e0)).alias("sa0"), F.count(F.lit(1)).alias("n"),
-             F.count_if(boost).alias("boosted")))
+    points = list(itertools.product(margins, strengths))
+
+    def lifted(p, m, y, margin, strength):
+        floor = m - margin
+        boost = floor > p
+        raised = np.minimum((1.0 - strength) * p + strength * floor, m - cap)
+        before, after = np.maximum(p, 0.0) - y, np.maximum(np.where(boost, raised, p), 0.0) - y
+        return {"da": np.abs(after) - np.abs(before), "ds": after * after - before * before, "sa1": np.abs(after),
+                "sa0": np.abs(p - y), "n": np.ones_like(p), "boosted": boost.astype(float)}
+
+    moved = class_sums(rows.filter("passed > 0"), [*groups, "passed"], ["p", "m", "y"], points, lifted,
+                       ["da", "ds", "sa1", "sa0", "n", "boosted"]).select(
+        *groups, "passed", "da", "ds", "sa1", "sa0", "n", "boosted", *_point_columns(points, ["margin", "strength"]))
     ks = F.sequence(F.lit(1), F.lit(len(thresholds)))
     high = (
         moved.withColumn("k", F.explode(ks)).filter(F.col("passed") >= F.col("k"))
@@ -364,7 +422,7 @@ def extreme_floor_search(df: DataFrame, groups: list[str]) -> DataFrame:
     p, m, y, margin = F.col("pred_mag"), F.col("main_mag"), F.col("true_mag"), F.col("margin")
     lifted = F.greatest(p, m - margin) + F.greatest(F.lit(0.0), (m - p - margin) * 0.5)
     classes = (
-        df.withColumn("passed", _passed(F.col("probability"), cuts)).withColumn("margin", F.explode(_options(margins)))
+        df.withColumn("passed", _passed(F.col("probability"), thresholds)).withColumn("margin", F.explode(_options(margins)))
         .groupBy(*groups, "passed", "margin")
         .agg(F.sum(F.abs(lifted - y)).alias("adj"), F.sum(F.abs(p - y)).alias("base"), F.count(F.lit(1)).alias("n")))
     spread = classes.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(len(thresholds)))))
