@@ -54,10 +54,12 @@ def fold_bounds(n: int, folds: int) -> list[tuple[int, int, int]]:
     return [(i + 1, n - (folds - i) * size, n - (folds - i - 1) * size) for i in range(folds)]
 
 
-def plan_folds(ranked: DataFrame, folds: int = 5, purge=PURGE_TREES, strict_order: bool = True) -> list[Fold]:
+def plan_folds(ranked: DataFrame, folds: int = 5, purge=PURGE_TREES, strict: bool = False) -> list[Fold]:
     """Expanding folds with the purge gap that leaves enough training rows.
 
     Two aggregates of one row each: block start and end times, then training rows per gap.
+    ``strict`` refuses a validation block that starts at the very time training ends; without
+    it the id decides between equal times.
     """
     bounds = fold_bounds(ranked.count(), folds)
     at = {}
@@ -65,10 +67,10 @@ def plan_folds(ranked: DataFrame, folds: int = 5, purge=PURGE_TREES, strict_orde
         at[f"v{number}"] = F.min(F.when(F.col("row_index") == start, F.col("time_us")))
         at[f"t{number}"] = F.max(F.when(F.col("row_index") == start - 1, F.col("time_us")))
     times = ranked.agg(*[e.alias(n) for n, e in at.items()]).first()
-    if strict_order:
-        for number, _, _ in bounds:
-            if times[f"v{number}"] < times[f"t{number}"]:
-                raise RuntimeError("validation rows must not be older than training rows")
+    for number, _, _ in bounds:
+        start, end = times[f"v{number}"], times[f"t{number}"]
+        if start < end or (strict and start == end):
+            raise RuntimeError(f"fold {number}: validation must start after training ends")
     counts = {}
     for number, start, _ in bounds:
         for step, (days, _, _) in enumerate(purge):

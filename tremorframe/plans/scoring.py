@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tremorframe.operators import labels as lab
 from tremorframe.operators import metrics as mt
+from tremorframe.operators import tables
 from tremorframe.operators.sequences import mainshocks
 from tremorframe.plans.inputs import (
     BASE_SQL, DATED_SQL, PREDICTIONS_SQL, catalog, dated_rows, predictions, rounded, table,
 )
 from tremorframe.plans.sequences import labels_sql, long_sql
 from tremorframe.sinks import predictions as sink
-from tremorframe.sources.predictions import parse_prediction_lines
+from tremorframe.sources.predictions import merge_oof, parse_prediction_lines
 
 MODELS_30D = {"a": ("mag_a", "days_a"), "b": ("mag_b", "days_b"), "c": ("mag_c", "days_c")}
 
@@ -167,9 +168,44 @@ def focal_dedupe(spark, sf):
         F.min(F.col("id").cast("bigint")).alias("id"))
 
 
+def _model_tables(spark, sf):
+    """Two models' out-of-fold tables; model b misses every fifth prediction."""
+    d = dated_rows(spark, sf).select(
+        F.col("id").cast("string").alias("mainshock_id"), F.col("time").alias("mainshock_time"),
+        F.col("true_mag").alias("target_max_mag"), F.col("true_days").alias("target_time_to_max_days"), "id", "mag_a", "mag_b",
+        "days_a", "days_b")
+    keys = d.columns[:4]
+    a = d.select(*keys, F.col("mag_a").alias("a_pred_mag"), F.col("days_a").alias("a_pred_time"))
+    b = d.select(*keys, F.when(F.pmod("id", F.lit(5)) != 0, F.col("mag_b")).alias("b_pred_mag"), F.col("days_b").alias("b_pred_time"))
+    return a, b
+
+
+def oof_merge(spark, sf):
+    a, b = _model_tables(spark, sf)
+    out = merge_oof({"a": a, "b": b})
+    return rounded(out.withColumn("mainshock_time", F.unix_micros("mainshock_time")).withColumnRenamed("mainshock_time", "time_us"))
+
+
+def oof_window_join(spark, sf):
+    """Window T2: labels of the mainshocks joined with predictions that every fourth mainshock lacks."""
+    events = catalog(spark, sf)
+    labelled = lab.window_labels(mainshocks(events), events)
+    oof = lab.long_windows(labelled, ["mainshock_id", "mainshock_mag"]).select(
+        "mainshock_id", "window", F.when(F.pmod(F.col("mainshock_id").cast("bigint"), F.lit(4)) != 0,
+                                         F.col("mainshock_mag") - 1.5).alias("pred"))
+    return rounded(tables.oof_with_truth(labelled, oof, "T2", "pred"))
+
+
+def backfilled(spark, sf):
+    """Depth is missing from the prediction rows and comes from the mainshock table."""
+    main = mainshocks(catalog(spark, sf))
+    rows = _line_inputs(spark, sf).select("mainshock_id", "window", "pred_mag")
+    return rounded(tables.backfill(rows, main, ["pred_mag", "mainshock_depth", "unknown"]))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        metrics_overall, model_comparison, window_metrics, metrics_by_window_rollup, worst_samples,
+        oof_merge, oof_window_join, backfilled, metrics_overall, model_comparison, window_metrics, metrics_by_window_rollup, worst_samples,
         gap_by_earthquake, error_by_type, error_by_year, error_by_mag, residual_by_class, model_agreement,
         batch_summary, validity_rates, plate_counts, magnitude_histogram, fold_metric_means, auc_rank_sum,
         label_auc, f2_threshold, prediction_lines, parsed_predictions, package_check, unmatched_truth,
@@ -217,6 +253,15 @@ lines AS (
   FROM li1)"""
 
 ORACLES = {
+    "oof_merge": f"""WITH {DATED_SQL}
+SELECT CAST(id AS VARCHAR) AS mainshock_id, epoch_us(time) AS time_us, round(true_mag, 6) AS target_max_mag, round(true_days, 6) AS target_time_to_max_days,
+  round(mag_a, 6) AS a_pred_mag, round(days_a, 6) AS a_pred_time, round(mag_b, 6) AS b_pred_mag, round(days_b, 6) AS b_pred_time
+FROM dated WHERE id % 5 <> 0""",
+    "oof_window_join": f"""WITH {BASE_SQL}, {labels_sql()}
+SELECT mainshock_id, m0 AS mainshock_mag, round("target_T2_max_mag", 6) AS true_mag, round(m0 - 1.5, 6) AS pred_mag FROM labels_wide
+WHERE "target_T2_max_mag" > 0 AND CAST(mainshock_id AS BIGINT) % 4 <> 0""",
+    "backfilled": f"""WITH {LINES}
+SELECT li1.mainshock_id, "window", round(pm0, 6) AS pred_mag, d0 AS mainshock_depth FROM li1 JOIN main m USING (mainshock_id)""",
     "metrics_overall": f"""WITH {DATED_SQL},
 x AS (SELECT main_mag, true_mag AS tm, mag_b AS pm, true_days AS tt, days_a AS pt FROM dated)
 SELECT {REGRESSION}, {r(f'avg({TG})', 'bath_true_delta_mean')}, {r(f'stddev_pop({TG})', 'bath_true_delta_std')},
