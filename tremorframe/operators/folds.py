@@ -7,7 +7,6 @@ and validation sets are filters on the ranked table.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +119,3 @@ def holdout_split(ranked: DataFrame, share: float = 0.2, n: int | None = None) -
 def hash_fold(id_: str, folds: int, seed: int = 0):
     """Fold number from the id: stable under any partitioning."""
     return F.pmod(F.xxhash64(F.col(id_).cast("string"), F.lit(seed)), F.lit(folds)).cast("int")
-
-
-def cutoff_time(fold: Fold) -> datetime | None:
-    return None if fold.cutoff_us is None else datetime(1970, 1, 1) + timedelta(microseconds=fold.cutoff_us)

@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorframe.constants import WINDOW_BOUNDS
 from tremorframe.functions.seismic import round_even
 from tremorframe.functions.windows import lower_hours, upper_hours
 from tremorframe.operators.ranking import exact_quantiles
@@ -435,7 +434,3 @@ def apply_extreme_floor(mag: Column, main_mag: Column, probability: Column, thre
     raised = F.greatest(mag, main_mag - margin)
     return F.when((probability >= threshold) & (raised > mag + 0.05), round_even(raised, 1)).otherwise(mag)
 
-
-def window_width(name: str) -> float:
-    low, high = WINDOW_BOUNDS[name]
-    return high - low
