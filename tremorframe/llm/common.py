@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def travels(module: str) -> None:
+    """Functions of ``module`` go to the executors by value: these need not have the library installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+travels(__name__)

@@ -48,9 +48,13 @@ def batch_winners(rows: DataFrame) -> DataFrame:
     ).select("digest", F.bitwise_not("best.rank").alias("keep_id"), F.col("best.n_points").alias("n_points"), "group_size")
 
 
+def _property(spark: SparkSession, index: str, name: str) -> str:
+    return next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {index}").collect() if r.col_name == name)
+
+
 def append_new(spark: SparkSession, winners: DataFrame, index: str) -> None:
     """Append the winners whose digest the index does not hold yet."""
-    buckets = int(next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {index}").collect() if r.col_name == "Num Buckets"))
+    buckets = int(_property(spark, index, "Num Buckets"))
     fresh = winners.join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
     # the same hash as the buckets: every bucket gets one file per append
     fresh = fresh.repartition(buckets, "digest").select("digest", "keep_id", "n_points", "group_size")
@@ -74,8 +78,8 @@ def exact_dedup(docs: DataFrame, index: str | None = None) -> DataFrame:
         text_digest().alias("digest")))
     append_new(spark, batch_winners(rows), index)
     spark.catalog.refreshTable(index)
-    # both sides are shuffled here, so adaptive execution can split a hot digest
-    known = spark.table(index).select("digest", "keep_id", "group_size").repartition("digest")
+    # read without its buckets, the index is shuffled like the rows, and adaptive execution can split a hot digest
+    known = spark.read.schema(INDEX_COLUMNS).parquet(_property(spark, index, "Location")).select("digest", "keep_id", "group_size")
     return rows.join(known, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

@@ -8,7 +8,11 @@ from importlib import import_module
 ENTRIES = (
     ("exact_dedup", "op2_exact_dedup", "OP2_SQL"),
     ("quality_rules", "op3_quality_rules", None),
+    ("pseudonyms", "op4_pseudonyms", None),
+    ("line_crf", "op5_line_crf", None),
+    ("line_runs", "op6_line_runs", "OP6_SQL"),
     ("url_filter", "op7_url_filter", None),
+    ("bpe", "op9_bpe", None),
     ("mixing", "op10_mixture", "OP10_SQL"),
 )
 
