@@ -12,6 +12,7 @@ ENTRIES = (
     ("line_crf", "op5_line_crf", None),
     ("line_runs", "op6_line_runs", "OP6_SQL"),
     ("url_filter", "op7_url_filter", None),
+    ("near_dedup", "op8_near_duplicates", None),
     ("bpe", "op9_bpe", None),
     ("mixing", "op10_mixture", "OP10_SQL"),
 )
