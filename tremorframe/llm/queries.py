@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: (module, query, name of its SQL or None)
 ENTRIES = (
+    ("suffix_dedup", "op1_suffix_dedup", None),
     ("exact_dedup", "op2_exact_dedup", "OP2_SQL"),
     ("quality_rules", "op3_quality_rules", None),
     ("pseudonyms", "op4_pseudonyms", None),
