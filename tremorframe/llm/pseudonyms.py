@@ -153,7 +153,7 @@ def social(m: str, key: bytes, back: bool = False) -> str | None:
 
 
 def phone(m: str, key: bytes, back: bool = False) -> str | None:
-    """A North American number (area and exchange begin with 2-9), or +country and 7 to 14 digits: these keep the country's digits."""
+    """A North American number (area and exchange begin with 2-9), or + and 8 to 15 digits, of which the country's stay."""
     d = _digits(m)
     plus = m.lstrip().startswith("+")
     if plus and d[0] != "1":
@@ -163,10 +163,19 @@ def phone(m: str, key: bytes, back: bool = False) -> str | None:
         n = len(d) - keep
         return _in_place(m, d[:keep] + _number(d[keep:], [10] * n, [0] * n, key, "phone" + d[:keep], back))
     country, local = d[:-10], d[-10:]
-    if country not in ("", "1") or len(local) < 10 or local[0] in "01" or local[3] in "01":
+    if country not in ("", "1") or len(local) < 10 or not (plus or _north_american(local)):
         return None
-    radices, offsets = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10], [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
-    return _in_place(m, country + _number(local, radices, offsets, key, "phone", back))
+    if _north_american(local):
+        radices, offsets = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10], [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
+        return _in_place(m, country + _number(local, radices, offsets, key, "phone", back))
+    while True:  # +1 and ten digits outside the plan: on along the cycle until they are outside again
+        local = _number(local, [10] * 10, [0] * 10, key, "phone+1", back)
+        if not _north_american(local):
+            return _in_place(m, country + local)
+
+
+def _north_american(local: str) -> bool:
+    return local[0] not in "01" and local[3] not in "01"
 
 
 def address(m: str, key: bytes, back: bool = False) -> str | None:
@@ -221,7 +230,7 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", address),
     ("date", r"(?<![\w./\-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w]|[-/.]\d)", date),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", social),
-    ("card", r"(?<![\w])\d(?:[ \-]?\d){12,18}(?!\d)", card),
+    ("card", r"(?<![\w])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?!\d)", card),
     ("phone", r"(?<![\w+])(?:\+1[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)", phone),
     ("phone", r"(?<![\w])\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?!\d)", phone),
     ("phone", r"(?<![\w+])1?[2-9]\d{2}[2-9]\d{6}(?!\w)", phone),
