@@ -6,14 +6,14 @@ from importlib import import_module
 
 #: (module, query, name of its SQL or None)
 ENTRIES = (
-    ("suffix_dedup", "op1_suffix_dedup", None),
+    ("suffix_dedup", "op1_suffix_dedup", "OP1_SQL"),
     ("exact_dedup", "op2_exact_dedup", "OP2_SQL"),
     ("quality_rules", "op3_quality_rules", None),
     ("pseudonyms", "op4_pseudonyms", None),
     ("line_crf", "op5_line_crf", None),
     ("line_runs", "op6_line_runs", "OP6_SQL"),
-    ("url_filter", "op7_url_filter", None),
-    ("near_dedup", "op8_near_duplicates", None),
+    ("url_filter", "op7_url_filter", "OP7_SQL"),
+    ("near_dedup", "op8_near_duplicates", "OP8_SQL"),
     ("bpe", "op9_bpe", None),
     ("mixing", "op10_mixture", "OP10_SQL"),
 )

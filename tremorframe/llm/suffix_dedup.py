@@ -367,3 +367,29 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * MIN_BYTES})) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {MIN_BYTES - 1})) AS i FROM docs WHERE len(h) >= {2 * MIN_BYTES})
+), repeated AS (
+  SELECT doc_id, i FROM starts WHERE w IN (SELECT w FROM starts GROUP BY w HAVING count(*) > 1)
+), numbered AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {MIN_BYTES} THEN 0 ELSE 1 END AS fresh FROM repeated)
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + {MIN_BYTES} AS b FROM numbered GROUP BY doc_id, span
+), pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM spans
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(s.b), 0), any_value(len(h) // 2) FROM docs d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, coalesce(string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p), '') AS k FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM docs d JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id)
+"""

@@ -113,3 +113,38 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(read_table(spark, sf_dir, "pages"))
+
+
+def _rule_rows() -> str:
+    return ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+
+
+#: Links of the pages: canonical links with a full url; the other forms are covered by tests.
+OP7_SQL = rf"""
+WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (VALUES {_rule_rows()}),
+rows AS (
+  SELECT page_id, regexp_replace(coalesce(url, ''), '#.*$', '', 's') AS node,
+         lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, html
+  FROM pages
+), links AS (
+  SELECT node AS a, unnest(regexp_extract_all(html, '<link[^>]*rel="canonical"[^>]*href="([^"#]*://[^"#]*)', 1)) AS b FROM rows
+), edges AS (
+  SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b
+), reach AS (
+  SELECT a AS node, a AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a
+), groups AS (
+  SELECT node, min(other) AS alias_group FROM reach GROUP BY node
+), judged AS (
+  SELECT page_id, host, path, node, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
+  FROM rows LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), decided AS (
+  SELECT alias_group, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked
+  FROM judged JOIN groups USING (node) WHERE n = 1 GROUP BY alias_group
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN coalesce(allowed, FALSE) THEN 'allow' WHEN coalesce(blocked, FALSE) THEN 'block' ELSE 'allow' END) AS verdict,
+       alias_group
+FROM judged LEFT JOIN groups USING (node) LEFT JOIN decided USING (alias_group) WHERE n = 1
+"""
