@@ -100,13 +100,44 @@ def test_etas_interior_optimum_explains_the_count(spark, landed):
     assert math.isclose(row.etas_expected_count, row.etas_n, rel_tol=1e-6)
 
 
-def test_etas_cap_is_stable(spark):
-    rows = [("m", f"e{i}", 4.0 + (i % 20) / 10, 1_000_000 * (i + 1) * 300) for i in range(800)]
-    pairs = spark.createDataFrame(rows, "mainshock_id string, id string, mag double, elapsed_us long")
-    main = spark.createDataFrame([("m", 6.5)], "mainshock_id string, mainshock_mag double")
+def _etas_problem(spark, times, mags, mag=6.5):
+    pairs = spark.createDataFrame([("m", f"e{i}", m, int(t * 8.64e10)) for i, (t, m) in enumerate(zip(times, mags))],
+                                  "mainshock_id string, id string, mag double, elapsed_us long")
+    main = spark.createDataFrame([("m", mag)], "mainshock_id string, mainshock_mag double")
     fixed = main.select("mainshock_id", F.lit(1.0).alias("omori_p"), F.lit(0.05).alias("omori_c"), F.lit(True).alias("omori_valid"))
-    fit = [rates.etas_fit(p, main, fixed, estimators.gutenberg_richter(p), steps=20).first() for p in (pairs, pairs.repartition(7))]
-    assert fit[0].etas_n == 500 and math.isclose(fit[0].etas_mu, fit[1].etas_mu, rel_tol=1e-9)
+    return pairs, main, fixed, estimators.gutenberg_richter(pairs)
+
+
+def test_etas_uses_every_event(spark):
+    pairs, main, fixed, gr = _etas_problem(spark, [(i + 1) * 300 / 86400 for i in range(800)], [4.0 + (i % 20) / 10 for i in range(800)])
+    fit = [rates.etas_fit(p, main, fixed, gr).first() for p in (pairs, pairs.repartition(7))]
+    assert fit[0].etas_n == 800 and math.isclose(fit[0].etas_mu, fit[1].etas_mu, rel_tol=1e-9)
+    assert rates.etas_fit(pairs, main, fixed, gr, max_events=500).first().etas_n == 500
+
+
+@pytest.mark.parametrize("kind", ["mixed", "early", "late", "crowded"])
+def test_etas_is_the_optimum_inside_the_bounds(spark, kind):
+    """No step in mu or amplitude improves the likelihood, on the bounds neither."""
+    rng = random.Random(4)
+    times = {"mixed": [rng.uniform(0, 3) for _ in range(30)] + [0.01 * 10 ** rng.uniform(0, 2) for _ in range(30)],
+             "early": [0.001 + rng.uniform(0, 0.01) for _ in range(60)], "late": [3 * rng.random() ** 0.3 for _ in range(60)],
+             "crowded": [rng.uniform(0.01, 3) for _ in range(900)]}[kind]
+    mags = [3.0 + rng.expovariate(2.0) for _ in times]
+    row = rates.etas_fit(*_etas_problem(spark, times, mags)).first()
+    gain, integral = math.exp(0.5 * 4.0), math.log(3.05 / 0.05)
+    g = [1 / (int(t * 8.64e10) / 8.64e10 + 0.05) for t in times]
+
+    def nll(mu, a):
+        return mu * 3 + a * integral - sum(math.log(mu + a * x) for x in g)
+
+    mu, a = row.etas_mu, row.etas_amplitude
+    assert 1e-6 * (1 - 1e-9) <= mu <= 10 * (1 + 1e-9) and 1e-6 * gain * (1 - 1e-9) <= a <= 100 * gain * (1 + 1e-9)
+    best = nll(mu, a)
+    assert math.isclose(best, row.etas_nll, rel_tol=1e-9)
+    for scale in (1e-4, 1e-2, 0.3):
+        for d, e in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)):
+            new = (min(10, max(1e-6, mu * (1 + scale * d))), min(100 * gain, max(1e-6 * gain, a * (1 + scale * e))))
+            assert nll(*new) >= best - 1e-9 * abs(best)
 
 
 @pytest.fixture(scope="module")

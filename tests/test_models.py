@@ -44,7 +44,7 @@ def test_buckets_with_a_missing_class(ranked):
 
 def test_quantile_forest_is_ordered_and_close(ranked):
     rows = training.with_vector(ranked, ["x"])
-    out = quantiles.quantile_forest(rows, rows, "days", "id", 0.0, 20.0, params={"maxDepth": 6}).join(ranked.select("id", "days"), "id").collect()
+    out = quantiles.quantile_forest(rows, rows, "days", "id", params={"maxDepth": 6}).join(ranked.select("id", "days"), "id").collect()
     assert len(out) == 400
     assert all(r.q10 <= r.q25 <= r.q50 <= r.q75 <= r.q90 for r in out)
     assert sum(abs(r.q50 - r.days) for r in out) / len(out) < 1.5

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tremorframe.operators import estimators, metrics, sequences
+from tremorframe.operators import estimators, labels, metrics, sequences
 from tremorframe.operators.spatial_join import interval_pairs
 from tremorframe.plans import inputs
 
@@ -27,7 +27,24 @@ def pairs(spark):
 def test_interval_join_is_an_equi_join(pairs):
     text = plan(pairs)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "_bucket" in text and "HashJoin" in text or "SortMergeJoin" in text
+    # the replicated side has no usable size estimate: no static broadcast
+    assert "_bucket" in text and "_salt" in text and "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_labels_are_hashed_not_sorted(spark, pairs):
+    text = plan(labels.window_targets(pairs))
+    assert "SortAggregate" not in text and text.count("HashAggregate") >= 4
+
+
+def test_hot_keys_are_split_without_a_limit(spark):
+    events = inputs.catalog(spark, SF)
+    main = sequences.mainshocks(events)
+    split = interval_pairs(main, events, after_seconds=72 * 3600, hot_cell_rows=1)
+    assert "_parts" in plan(split) and "Limit" not in plan(split)
+    whole = interval_pairs(main, events, after_seconds=72 * 3600)
+    assert "_parts" not in plan(whole)
+    assert split.select("mainshock_id", "id").exceptAll(whole.select("mainshock_id", "id")).isEmpty()
+    assert split.count() == whole.count()
 
 
 def test_scan_reads_only_what_is_needed(pairs):

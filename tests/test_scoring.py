@@ -147,7 +147,8 @@ def test_grid_scores_against_numpy(three_models, objective):
 def test_weights_sum_to_one_and_fallbacks(spark, three_models):
     df, _ = three_models
     assert math.isclose(sum(fusion.best_weights(fusion.grid_scores(df, ["a", "b"], "y", fusion.simplex_grid(2)), ["a", "b"]).values()), 1.0)
-    assert fusion.fit_weights(df.limit(3), "y", ["a", "b"]) == {"a": 0.5, "b": 0.5}
+    assert fusion.fit_weights(df.limit(0), "y", ["a", "b"]) == {"a": 0.5, "b": 0.5}
+    assert math.isclose(sum(fusion.fit_weights(df, "y", ["a", "b", "c"], method="draws").values()), 1.0)
     assert math.isclose(sum(fusion.fit_weights(df, "y", ["a", "b", "c"], "mae", 0.1).values()), 1.0)
     assert fusion.normalized({"a": 0.0, "b": -1.0}) == {"a": 0.5, "b": 0.5}
     assert fusion.nested_weights({"a": 1.0, "b": 3.0})["time"]["b"] == 0.75

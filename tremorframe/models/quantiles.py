@@ -16,17 +16,25 @@ def _leaves(df: DataFrame) -> DataFrame:
         "*", F.posexplode("_leaves").alias("tree", "leaf_id")).drop("_leaves", "leaf")
 
 
-def quantile_forest(train: DataFrame, test: DataFrame, target: str, key: str, low: float, high: float,
+def quantile_forest(train: DataFrame, test: DataFrame, target: str, key: str,
                     bins: int = 256, quantiles=QUANTILES, params: dict | None = None) -> DataFrame:
     """Quantiles per test row; the median is the point forecast.
 
-    A leaf is kept as counts over a fixed grid of target bins, summed with map-side combine.
-    So a leaf costs at most ``bins`` numbers however many rows fall into it, and a test row
-    meets ``trees`` leaf vectors, never the training rows. Values are exact to a bin width.
+    A leaf is kept as counts over target bins, summed with map-side combine. The bins are quantiles of the training
+    targets from the least to the greatest, so no target is clipped and dense ranges have fine bins. A leaf costs at
+    most ``bins`` numbers however many rows fall into it, and a test row meets ``trees`` leaf vectors, never the
+    training rows. Values are exact to a bin.
     """
-    width = (high - low) / bins
-    bin_of = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(target) - low) / width).cast("int")))
-    with held(train.select("features", F.col(target).cast("double").alias("label"), bin_of.alias("bin"))) as data:
+    label = F.col(target).cast("double")
+    asked = [i / bins for i in range(bins + 1)]
+    edges = sorted(set(train.agg(F.percentile_approx(label, asked, 100 * bins)).first()[0] or ()))
+    if not edges:
+        raise ValueError("no training targets")
+    edges = edges if len(edges) > 1 else [edges[0], edges[0]]
+    # the bin below the first edge that is not smaller; the least value itself is in the first bin
+    places = F.lit([float(e) for e in edges])
+    bin_of = F.greatest(F.lit(0), F.size(F.filter(places, lambda e: e < label)) - 1)
+    with held(train.select("features", label.alias("label"), bin_of.alias("bin"))) as data:
         model = regressor("forest", params).setLeafCol("leaf").fit(data.select("features", "label"))
         counts = _leaves(model.transform(data).select("leaf", "bin")).groupBy("tree", "leaf_id", "bin").agg(
             F.count(F.lit(1)).alias("n"))
@@ -46,7 +54,8 @@ def quantile_forest(train: DataFrame, test: DataFrame, target: str, key: str, lo
 
             def step(acc: Column, x: Column) -> Column:
                 after = acc["cum"] + x["w"]
-                found = F.lit(low) + (x["bin"] + (goal - acc["cum"]) / x["w"]) * F.lit(width)
+                left, right = F.get(places, x["bin"]), F.get(places, x["bin"] + 1)
+                found = left + (goal - acc["cum"]) / x["w"] * (right - left)
                 return F.struct(after.alias("cum"), F.coalesce(
                     acc["value"], F.when(after >= goal - F.lit(1e-12), found)).alias("value"))
 

@@ -1,7 +1,8 @@
 """Event-level features and the causal event graph of each sequence.
 
-Inputs are capped at the first 256 events per sequence, so every window here has a bounded
-partition and a sequence has at most 32,640 edges.
+All events of a sequence take part; a caller who wants a tensor of fixed length passes ``limit``.
+Sums over a sequence are grouped (and combined on the map side); only the event before is
+found by a window.
 """
 
 from __future__ import annotations
@@ -16,32 +17,33 @@ from tremorframe.functions.seismic import moment
 from tremorframe.operators.spatial_join import first_by_time
 
 
-def event_features(pairs: DataFrame, limit: int = 256) -> DataFrame:
-    """Twelve features per event. ``pairs`` carries the mainshock columns with its magnitude.
+def event_features(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Twelve features per event, of the first ``limit`` events if given. ``pairs`` carries the mainshock columns with its magnitude.
 
     The local b proxy uses one weight per event that cancels out, so it is a function of the
     magnitude sum alone; it is kept as published and is zero below three events.
     """
-    capped = first_by_time(pairs, limit)
     by_time = Window.partitionBy("mainshock_id").orderBy("elapsed_us", "id")
-    whole = Window.partitionBy("mainshock_id")
+    capped = pairs.withColumn("position", F.row_number().over(by_time)) if limit is None else first_by_time(pairs, limit)
+    whole = capped.groupBy("mainshock_id").agg(
+        F.count(F.lit(1)).alias("_count"), F.sum("mag").alias("_mag_sum"), F.sum(moment(F.col("mag"))).alias("_m_sum"))
     days = F.col("elapsed_us") / F.lit(86_400_000_000.0)
     x = east_km(F.col("mainshock_lat"), F.col("mainshock_lon"), F.col("longitude"))
     y = north_km(F.col("mainshock_lat"), F.col("latitude"))
     base = capped.select("mainshock_id", "mainshock_mag", "id", "position", "elapsed_us", "distance_km", "depth",
                          "mag", days.alias("dt_days"), x.alias("rel_x_km"), y.alias("rel_y_km"),
                          moment(F.col("mag")).alias("_m"))
-    n = F.count(F.lit(1)).over(whole)
+    n = F.col("_count")
     previous = F.coalesce(F.lag("dt_days").over(by_time), F.lit(0.0))
-    mag_sum = F.sum("mag").over(whole)
-    return base.select(
+    mag_sum = F.col("_mag_sum")
+    return base.join(whole, "mainshock_id").select(
         "mainshock_id", "id", "position", "dt_days", F.log1p("dt_days").alias("log_dt_days"),
         "rel_x_km", "rel_y_km", "distance_km", F.coalesce("depth", F.lit(0.0)).alias("depth"), "mag",
         F.atan2("rel_x_km", "rel_y_km").alias("azimuth_rad"),
         (F.col("mag") - F.col("mainshock_mag")).alias("mag_diff"),
         F.when(n >= 2, (F.col("dt_days") - previous) * 24.0).otherwise(0.0).alias("inter_event_interval_hours"),
         F.when(n >= 3, F.lit(1.0 / math.log(10)) / (mag_sum + 1e-12)).otherwise(0.0).alias("local_b_value_proxy"),
-        (F.col("_m") / F.greatest(F.sum("_m").over(whole), F.lit(1e-12))).alias("normalized_energy"),
+        (F.col("_m") / F.greatest(F.col("_m_sum"), F.lit(1e-12))).alias("normalized_energy"),
     )
 
 

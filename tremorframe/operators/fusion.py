@@ -132,15 +132,24 @@ def best_weights(scores: DataFrame, predictions: list[str], digits: int = 4) ->
 
 
 def fit_weights(df: DataFrame, target: str, predictions: list[str], objective: str = "rmse",
-                step: float = 0.02) -> dict[str, float]:
-    """Weights from out-of-fold rows: equal below five usable rows, grid up to three models, draws above."""
+                step: float = 0.02, method: str = "grid") -> dict[str, float]:
+    """Weights from out-of-fold rows, equal when no row is usable.
+
+    ``method``: "grid" walks the simplex in ``step``s (two or three models), "draws" takes seeded random points
+    (any number). The caller chooses; neither the rows nor the models switch it.
+    """
     present = [p for p in predictions if p in df.columns]
     if not present:
         return {}
     usable = df.dropna(subset=[target, *present])
-    if len(present) == 1 or len(usable.select(target).take(5)) < 5:
+    if len(present) == 1 or usable.isEmpty():
         return {p: 1.0 / len(present) for p in present}
-    grid = {2: simplex_grid(2, step), 3: square_grid(step)}.get(len(present)) or random_simplex(len(present))
+    if method == "draws":
+        grid = random_simplex(len(present))
+    elif len(present) <= 3:
+        grid = simplex_grid(2, step) if len(present) == 2 else square_grid(step)
+    else:
+        raise ValueError("the grid holds two or three models; choose method='draws'")
     top = grid_scores(usable, present, target, grid, objective).orderBy("score", "point").first()
     return {p: float(top[f"w_{i}"]) for i, p in enumerate(present)}
 

@@ -13,12 +13,20 @@ KEYS = ["mainshock_id", "mainshock_time", "mainshock_lat", "mainshock_lon"]
 
 
 def window_targets(pairs: DataFrame) -> DataFrame:
-    """Largest event per window and mainshock in one aggregation; ties go to the earliest."""
+    """``_mag_<window>``, ``_hours_<window>``: largest event per window and mainshock; ties go to the earliest.
+
+    Both aggregates have fixed-width values, so pairs are hashed and combined on the map side, never sorted: first the
+    earliest time per magnitude, then the largest magnitude.
+    """
     hours = F.col("elapsed_hours")
-    candidate = F.struct((-F.col("mag")).alias("neg_mag"), hours.alias("hours"))
-    return pairs.groupBy("mainshock_id").agg(*[
-        F.min(F.when(in_window(hours, lo, hi), candidate)).alias(f"_{w}") for w, (lo, hi) in WINDOWS.items()
-    ])
+    window = F.coalesce(*[F.when(in_window(hours, lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(WINDOWS.values())])
+    earliest = pairs.select("mainshock_id", window.alias("_w"), "mag", hours.alias("_hours")).filter("_w IS NOT NULL AND mag IS NOT NULL") \
+        .groupBy("mainshock_id", "_w", "mag").agg(F.min("_hours").alias("_hours"))
+    out = []
+    for i, w in enumerate(WINDOWS):
+        mag = F.when(F.col("_w") == i, F.col("mag"))
+        out += [F.max(mag).alias(f"_mag_{w}"), F.max_by("_hours", mag).alias(f"_hours_{w}")]
+    return earliest.groupBy("mainshock_id").agg(*out)
 
 
 def window_labels(main: DataFrame, events: DataFrame, radius_km: float = AFTERSHOCK_RADIUS_KM) -> DataFrame:
@@ -28,11 +36,10 @@ def window_labels(main: DataFrame, events: DataFrame, radius_km: float = AFTERSH
     joined = main.join(window_targets(pairs), "mainshock_id", "left")
     out = [F.col(c) for c in main.columns]
     for w, (lo, hi) in WINDOWS.items():
-        best = F.col(f"_{w}")
         out += [
-            F.coalesce(-best["neg_mag"], F.lit(0.0)).alias(f"target_{w}_max_mag"),
-            F.coalesce(best["hours"], F.lit((lo + hi) / 2)).alias(f"target_{w}_time_to_max_hours"),
-            best.isNotNull().alias(f"has_{w}_aftershock"),
+            F.coalesce(f"_mag_{w}", F.lit(0.0)).alias(f"target_{w}_max_mag"),
+            F.coalesce(f"_hours_{w}", F.lit((lo + hi) / 2)).alias(f"target_{w}_time_to_max_hours"),
+            F.col(f"_mag_{w}").isNotNull().alias(f"has_{w}_aftershock"),
         ]
     return joined.select(*out)
 

@@ -1,4 +1,4 @@
-"""Aftershock-rate models: Omori-Utsu by grid refinement, simplified ETAS by EM."""
+"""Aftershock-rate models: Omori-Utsu by grid refinement, simplified ETAS by convex line searches."""
 
 from __future__ import annotations
 
@@ -86,69 +86,113 @@ def omori_fit(
     )
 
 
+# Bounds of the background rate, and of the amplitude in units of its gain. Fixed values.
+MU_BOUNDS = (1e-6, 10.0)
+AMPLITUDE_BOUNDS = (1e-6, 100.0)
+PARTS, ROUNDS = 40, 7
+
+
+def _close_in(rates: DataFrame, state: DataFrame, obs_days: float) -> DataFrame:
+    """Minimise the likelihood of each sequence on its segment ``lo .. hi``.
+
+    On a segment the rate of an event is (m0 + m1 x) + (a0 + a1 x) g, and the negative likelihood is convex in x. A
+    round sums its derivative at PARTS inner points, with map-side combine, and keeps the part where the sign
+    changes: ROUNDS rounds leave a 1e-11th of the segment. The state is a row per sequence; no event is collected.
+    """
+    ends = [F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(k / (PARTS + 1)) for k in range(PARTS + 2)]
+    for _ in range(ROUNDS):
+        met = rates.join(state.select("mainshock_id", "m0", "m1", "a0", "a1", "lo", "hi"), "mainshock_id")
+        slopes = met.groupBy("mainshock_id").agg(*[F.sum(
+            (F.col("m1") + F.col("a1") * F.col("g"))
+            / (F.col("m0") + F.col("m1") * ends[k] + (F.col("a0") + F.col("a1") * ends[k]) * F.col("g"))).alias(f"s{k}")
+            for k in range(1, PARTS + 1)])
+        falling = sum((F.col("m1") * obs_days + F.col("a1") * F.col("integral") < F.col(f"s{k}")).cast("int") for k in range(1, PARTS + 1))
+        step = (F.col("hi") - F.col("lo")) / F.lit(float(PARTS + 1))
+        state = durable(state.join(slopes, "mainshock_id").withColumn("_falling", falling).select(
+            *[c for c in state.columns if c not in ("lo", "hi")],
+            (F.col("lo") + step * F.col("_falling")).alias("lo"), (F.col("lo") + step * (F.col("_falling") + 1)).alias("hi")))
+    return state
+
+
 def etas_fit(
     pairs: DataFrame, main: DataFrame, omori: DataFrame, gr: DataFrame, obs_days: float = 3.0,
-    min_events: int = 10, max_events: int = 500, mc: float = 2.5, steps: int = 300, alpha: float = 0.5,
+    min_events: int = 10, max_events: int | None = None, mc: float = 2.5, alpha: float = 0.5,
 ) -> DataFrame:
-    """Background rate mu and triggering amplitude A with fixed decay (p, c), by EM.
+    """Background rate mu and triggering amplitude A with fixed decay (p, c), by maximum likelihood on all events.
 
-    A sequence above ``max_events`` is thinned by a stable hash, which is part of the
-    estimator; the rank limit runs before the shuffle, so the array per sequence is bounded.
-    K0 and alpha act only through A = K0 exp(alpha (M - mc)), so alpha stays at its start
-    value and K0 follows from A.
+    The likelihood is convex in (mu, A). At its inner optimum mu T + A I is the number of events, so the first
+    search runs along that line; where it ends on a bound, the other parameter is searched alone. K0 and alpha
+    act only through A = K0 exp(alpha (M - mc)), so alpha stays at its start value and K0 follows from A.
+    ``max_events`` thins larger sequences by a stable hash; it is off by default.
     """
     days = F.col("elapsed_us") / F.lit(86_400_000_000.0)
     inside = pairs.select("mainshock_id", "id", "mag", days.alias("t")).filter(
         (F.col("t") > 0) & (F.col("t") <= obs_days))
-    by_hash = Window.partitionBy("mainshock_id").orderBy(F.xxhash64("id"), "id")
-    thinned = inside.withColumn("_r", F.row_number().over(by_hash)).filter(F.col("_r") <= max_events)
-    grouped = thinned.groupBy("mainshock_id").agg(
-        F.array_sort(F.collect_list(F.struct("t", "mag"))).alias("events"))
+    if max_events is not None:
+        by_hash = Window.partitionBy("mainshock_id").orderBy(F.xxhash64("id"), "id")
+        inside = inside.withColumn("_r", F.row_number().over(by_hash)).filter(F.col("_r") <= max_events)
+    inside = durable(inside.select("mainshock_id", "mag", "t"))
     usable = F.col("omori_valid")
-    ready = (
-        grouped.join(omori.select("mainshock_id", "omori_p", "omori_c", "omori_valid"), "mainshock_id", "left")
+    ready = durable(
+        inside.groupBy("mainshock_id").agg(F.count(F.lit(1)).alias("n"))
+        .join(omori.select("mainshock_id", "omori_p", "omori_c", "omori_valid"), "mainshock_id", "left")
         .join(gr.select("mainshock_id", "gr_valid"), "mainshock_id", "left")
         .join(main.select("mainshock_id", "mainshock_mag"), "mainshock_id")
-        .withColumn("n", F.size("events"))
         .withColumn("p", F.when(usable, F.col("omori_p")).otherwise(F.lit(1.0)))
         .withColumn("c", F.when(usable, F.col("omori_c")).otherwise(F.lit(0.05)))
         .withColumn("integral", decay_integral(F.col("p"), F.col("c"), 0.0, obs_days))
         .withColumn("gain", F.exp(F.lit(alpha) * (F.col("mainshock_mag") - mc)))
         .withColumn("fits", (F.col("n") >= min_events) & F.coalesce(F.col("gr_valid"), F.lit(False)))
-        .withColumn("g", F.transform("events", lambda e: F.pow(e["t"] + F.col("c"), -F.col("p"))))
-    )
-
-    def share(mu: Column, a: Column) -> Column:
-        return F.aggregate("g", F.lit(0.0), lambda acc, g: acc + a * g / (mu + a * g))
-
-    start = F.struct(F.lit(0.01).alias("mu"), (F.lit(0.1) * F.col("gain")).alias("a"))
-
-    def em(acc: Column, _: Column) -> Column:
-        triggered = share(acc["mu"], acc["a"])
-        return F.struct(
-            F.least(F.greatest((F.col("n") - triggered) / obs_days, F.lit(1e-6)), F.lit(10.0)).alias("mu"),
-            F.least(F.greatest(triggered / F.col("integral"), F.lit(1e-6) * F.col("gain")),
-                    F.lit(100.0) * F.col("gain")).alias("a"),
-        )
-
-    solved = ready.withColumn(
-        "fit", F.when(F.col("fits"), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, em)))
-    mu, a = F.col("fit.mu"), F.col("fit.a")
+        .select("mainshock_id", "n", "p", "c", "integral", "gain", "fits"))
+    fitted = ready.filter("fits")
+    rates = durable(inside.join(fitted.select("mainshock_id", "p", "c"), "mainshock_id").select(
+        "mainshock_id", "mag", F.pow(F.col("t") + F.col("c"), -F.col("p")).alias("g")))
+
+    n, total = F.col("n"), F.lit(float(obs_days))
+    mu_floor, mu_top = [F.lit(b) for b in MU_BOUNDS]
+    a_floor, a_top = [F.lit(b) * F.col("gain") for b in AMPLITUDE_BOUNDS]
+    # x is the share of triggered events
+    line = fitted.select(
+        "mainshock_id", "n", "integral", "gain", (n / total).alias("m0"), (-n / total).alias("m1"), F.lit(0.0).alias("a0"),
+        (n / F.col("integral")).alias("a1"),
+        F.greatest(1.0 - mu_top * total / n, a_floor * F.col("integral") / n).alias("first"),
+        F.least(1.0 - mu_floor * total / n, a_top * F.col("integral") / n).alias("last"),
+    ).withColumns({"lo": F.col("first"), "hi": F.greatest("first", "last")})
+    x = (F.col("lo") + F.col("hi")) / 2
+    margin = 1e-9 * F.abs(F.col("last") - F.col("first"))
+    low_end, high_end = x - F.col("first") <= margin, F.col("last") - x <= margin
+    mu_low, mu_high = F.col("m0") + F.col("m1") * F.col("first"), F.col("m0") + F.col("m1") * F.col("last")
+    on_mu = F.when(low_end, mu_low >= mu_top * (1 - 1e-12)).when(high_end, mu_high <= mu_floor * (1 + 1e-6)).otherwise(False)
+    on_a = (low_end | high_end) & ~on_mu
+    mu_at = F.least(mu_top, F.greatest(mu_floor, F.col("m0") + F.col("m1") * x))
+    a_at = F.least(a_top, F.greatest(a_floor, F.col("a1") * x))
+    settled = _close_in(rates, line, obs_days)
+    alone = settled.select(
+        "mainshock_id", "n", "integral", "gain", F.when(on_a, 0.0).otherwise(mu_at).alias("m0"), F.when(on_a, 1.0).otherwise(0.0).alias("m1"),
+        F.when(on_mu, 0.0).otherwise(a_at).alias("a0"), F.when(on_mu, 1.0).otherwise(0.0).alias("a1"),
+        F.when(on_mu, a_floor).when(on_a, mu_floor).otherwise(0.0).alias("lo"), F.when(on_mu, a_top).when(on_a, mu_top).otherwise(0.0).alias("hi"),
+        (on_mu | on_a).alias("bound"))
+    bound = alone.filter("bound").drop("bound")
+    inner = alone.filter("NOT bound").drop("bound")
+    solved = durable((inner if bound.isEmpty() else inner.unionByName(_close_in(rates, bound, obs_days))).select(
+        "mainshock_id", (F.col("m0") + F.col("m1") * x).alias("mu"), (F.col("a0") + F.col("a1") * x).alias("a")))
+    share = F.col("a") * F.col("g") / (F.col("mu") + F.col("a") * F.col("g"))
+    sums = rates.join(solved, "mainshock_id").groupBy("mainshock_id").agg(
+        F.sum(F.log(F.col("mu") + F.col("a") * F.col("g"))).alias("log_rate"), F.sum(share).alias("triggered"),
+        F.sum(share * F.col("mag")).alias("mag_sum"))
+    mu, a = F.col("mu"), F.col("a")
     expected = mu * obs_days + a * F.col("integral")
-    log_rate = F.aggregate("g", F.lit(0.0), lambda acc, g: acc + F.log(mu + a * g))
-    mag_sum = F.aggregate(
-        F.zip_with("g", "events", lambda g, e: a * g / (mu + a * g) * e["mag"]), F.lit(0.0), lambda acc, x: acc + x)
     when = F.col("fits")
-    return solved.select(
+    return ready.join(solved, "mainshock_id", "left").join(sums, "mainshock_id", "left").select(
         "mainshock_id",
         mu.alias("etas_mu"), (a / F.col("gain")).alias("etas_K0"), F.when(when, F.lit(alpha)).alias("etas_alpha"),
         F.when(when, F.col("c")).alias("etas_c"), F.when(when, F.col("p")).alias("etas_p"),
-        F.when(when, expected - log_rate).alias("etas_nll"), F.col("n").cast("bigint").alias("etas_n"),
+        (expected - F.col("log_rate")).alias("etas_nll"), F.col("n").cast("bigint").alias("etas_n"),
         when.alias("etas_valid"),
         (a * F.col("integral") / expected).alias("etas_branching_ratio"),
         expected.alias("etas_expected_count"),
-        F.when(when, share(mu, a) / F.col("n")).alias("etas_triggered_fraction"),
-        F.when(when, mag_sum).alias("etas_triggered_mag_sum"),
+        (F.col("triggered") / F.col("n")).alias("etas_triggered_fraction"),
+        F.col("mag_sum").alias("etas_triggered_mag_sum"),
         (mu * obs_days).alias("etas_bg_rate_total"),
         a.alias("etas_amplitude"),
     )

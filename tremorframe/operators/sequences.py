@@ -123,7 +123,7 @@ class CoverRule:
         return target.join(source.hint("merge"), test, "left_semi").select("id").distinct()
 
 
-def greedy_keep(nodes: DataFrame, rule: CoverRule, max_rounds: int = 10_000) -> DataFrame:
+def greedy_keep(nodes: DataFrame, rule: CoverRule) -> DataFrame:
     """Ids kept by the greedy rule, by rounds of semi and anti joins.
 
     A round keeps every open node that no open node covers, then drops what the new ones
@@ -133,14 +133,13 @@ def greedy_keep(nodes: DataFrame, rule: CoverRule, max_rounds: int = 10_000) ->
     """
     open_nodes = durable(nodes.select("id", "us", "latitude", "longitude", "mag"))
     kept = None
-    for _ in range(max_rounds):
+    while True:
         waiting = durable(open_nodes.join(rule.covered_ids(open_nodes, open_nodes), "id", "left_semi"))
-        fresh = open_nodes.join(waiting.select("id"), "id", "left_anti")
+        fresh = durable(open_nodes.join(waiting.select("id"), "id", "left_anti"))
         kept = fresh.select("id") if kept is None else kept.unionByName(fresh.select("id"))
         if waiting.isEmpty():
             return kept
         open_nodes = durable(waiting.join(rule.covered_ids(waiting, fresh), "id", "left_anti"))
-    raise RuntimeError("greedy rule did not settle")
 
 
 def decluster(events: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 Only the anchor side (mainshocks, focal rows) is replicated to the cells and time
 buckets it can reach; every catalog event keeps exactly one key, so the large side is
 shuffled once and never multiplied. The exact predicate runs after the key match.
-Nothing is forced into a broadcast: Spark picks it from the measured size of the anchor
-side. A hot key is split by adaptive skew handling or, ahead of time, by
-``hot_cell_rows``.
+The replicated anchor side outgrows its size estimate, which does not know the copies, so
+the join is a sort-merge join and never a static broadcast. Keys above ``hot_cell_rows`` are
+counted and salted first, however many there are; what is left is split by adaptive skew
+handling.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorframe.functions.geo import CellGrid, haversine_km
+from tremorframe.session import durable
 
 KEY = ["_bucket", "_band", "_cell"]
-MAX_HOT_CELLS = 4096
+#: Events of a key that one task joins.
+HOT_CELL_ROWS = 500_000
+#: A table of hot keys up to this size is broadcast; a larger one is joined by key.
+BROADCAST_KEYS = 10_000
 
 
 def micros(col: Column) -> Column:
@@ -56,26 +61,28 @@ def keyed_anchors(anchors: DataFrame, grid: CellGrid, bucket_us: int, before_us:
 
 
 def split_hot_cells(events: DataFrame, anchors: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Salt keys that hold more than ``rows`` events.
+    """Salt every key that holds more than ``rows`` events, so that a task meets about ``rows`` of them.
 
-    At most MAX_HOT_CELLS keys are salted, which bounds the broadcast: any further key
-    holds less than 1/MAX_HOT_CELLS of the catalog and needs no split.
+    One job counts the keys; without a hot key both sides only get a constant salt.
     """
-    hot = (
+    hot = durable(
         events.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows)
-        .orderBy(F.desc("_n"), *KEY)
-        .limit(MAX_HOT_CELLS)
         .select(*KEY, F.ceil(F.col("_n") / F.lit(rows)).cast("int").alias("_parts"))
     )
+    keys = hot.count()
+    if not keys:
+        return events.withColumn("_salt", F.lit(0)), anchors.withColumn("_salt", F.lit(0))
+    if keys <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted_events = (
-        events.join(F.broadcast(hot), KEY, "left")
+        events.join(hot, KEY, "left")
         .withColumn("_salt", F.pmod(F.xxhash64("_us", "id"), parts).cast("int"))
         .drop("_parts")
     )
     salted_anchors = (
-        anchors.join(F.broadcast(hot), KEY, "left")
+        anchors.join(hot, KEY, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
         .drop("_parts")
     )
@@ -93,7 +100,7 @@ def interval_pairs(
     anchor_time: str = "mainshock_time",
     anchor_lat: str = "mainshock_lat",
     anchor_lon: str = "mainshock_lon",
-    hot_cell_rows: int | None = None,
+    hot_cell_rows: int = HOT_CELL_ROWS,
     earth_radius_km: float = 6371.0,
 ) -> DataFrame:
     """Events with ``t0 - before < t <= t0 + after`` within ``radius_km`` of each anchor.
@@ -106,16 +113,14 @@ def interval_pairs(
     bucket_us = max(1, before_us + after_us)
     right = keyed_events(events, grid, bucket_us)
     left = keyed_anchors(anchors, grid, bucket_us, before_us, after_us, anchor_time, anchor_lat, anchor_lon)
-    key = list(KEY)
-    if hot_cell_rows:
-        right, left = split_hot_cells(right, left, hot_cell_rows)
-        key.append("_salt")
+    right, left = split_hot_cells(right, left, hot_cell_rows)
+    key = [*KEY, "_salt"]
     elapsed = F.col("_us") - F.col("_t0")
     start_ok = elapsed >= -before_us if closed_start else elapsed > -before_us
     distance = haversine_km(F.col(anchor_lat), F.col(anchor_lon), F.col("latitude"), F.col("longitude"),
                             earth_radius_km)
     return (
-        left.join(right, key)
+        left.hint("merge").join(right, key)
         .filter(start_ok & (elapsed <= after_us) & (F.abs(F.col("latitude") - F.col(anchor_lat)) <= grid.height))
         .withColumn("distance_km", distance)
         .filter(F.col("distance_km") <= radius_km)
@@ -130,7 +135,7 @@ def drop_near_anchor_time(pairs: DataFrame, seconds: float = 5.0) -> DataFrame:
     return pairs.filter(F.abs(F.col("elapsed_us")) > as_micros(seconds))
 
 
-def first_by_time(pairs: DataFrame, limit: int = 256, by: str = "mainshock_id") -> DataFrame:
+def first_by_time(pairs: DataFrame, limit: int, by: str = "mainshock_id") -> DataFrame:
     """The first ``limit`` events of each sequence.
 
     The rank filter is applied per input partition before the shuffle (window group limit),

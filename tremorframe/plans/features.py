@@ -78,7 +78,7 @@ def omori_grid(spark, sf):
 
 
 def etas_em(spark, sf):
-    """EM at fixed decay p = 1, c = 0.05, so that the result does not hang on the Omori grid."""
+    """Maximum likelihood at fixed decay p = 1, c = 0.05, so that the result does not hang on the Omori grid."""
     pairs, main = _pairs(spark, sf), _main(spark, sf)
     decay = main.select("mainshock_id", F.lit(1.0).alias("omori_p"), F.lit(0.05).alias("omori_c"),
                         F.lit(True).alias("omori_valid"))
@@ -337,24 +337,53 @@ SELECT c.mainshock_id, round(p, 6) AS omori_p, round(exp(u), 6) AS omori_c, roun
 FROM counts c LEFT JOIN s{rounds} f USING (mainshock_id)"""
 
 
+def _etas_search(source: str, target: str) -> str:
+    """SQL that closes in on the optimum of ``source`` (m0, m1, a0, a1, lo, hi), as the operator does."""
+    parts, rounds = rates.PARTS, rates.ROUNDS
+    return f"""
+{target} AS (
+  SELECT 0 AS step, * FROM {source}
+  UNION ALL
+  SELECT step + 1, mainshock_id, n, integral, gain, m0, m1, a0, a1, first, last,
+         lo + (hi - lo) / {parts + 1}.0 * falling, lo + (hi - lo) / {parts + 1}.0 * (falling + 1)
+  FROM (SELECT e.*, len(list_filter(range(1, {parts + 1}), lambda k: e.m1 * 3.0 + e.a1 * e.integral < list_sum(list_transform(r.g, lambda g:
+          (e.m1 + e.a1 * g) / (e.m0 + e.m1 * (e.lo + (e.hi - e.lo) * (k / {parts + 1}.0::DOUBLE))
+                               + (e.a0 + e.a1 * (e.lo + (e.hi - e.lo) * (k / {parts + 1}.0::DOUBLE))) * g))))) AS falling
+        FROM {target} e JOIN ready r USING (mainshock_id) WHERE e.step < {rounds})
+)"""
+
+
 ETAS_SQL = f"""WITH RECURSIVE {PAIRS72}, {GR},
 thin AS (SELECT mainshock_id, m0, elapsed_us / 86400000000.0::DOUBLE AS t, mag FROM pairs),
 seqs AS (
   SELECT mainshock_id, any_value(m0) AS m0, count(*) AS n, list(pow(t + 0.05, -1.0) ORDER BY t) AS g,
          list(mag ORDER BY t) AS mags, ln(3.05 / 0.05::DOUBLE) AS integral
   FROM thin GROUP BY 1),
-ready AS (SELECT s.*, exp(0.5 * (m0 - 2.5)) AS gain, s.n >= 10 AND coalesce(gr.ok, FALSE) AS fits
+ready AS (SELECT s.* EXCLUDE (m0), exp(0.5 * (m0 - 2.5)) AS gain, s.n >= 10 AND coalesce(gr.ok, FALSE) AS fits
           FROM seqs s LEFT JOIN gr USING (mainshock_id)),
-em AS (
-  SELECT 0 AS step, mainshock_id, 0.01::DOUBLE AS mu, 0.1 * gain AS a FROM ready WHERE fits
+line AS (
+  SELECT *, first AS lo, greatest(first, last) AS hi FROM (
+    SELECT mainshock_id, n, integral, gain, n / 3.0::DOUBLE AS m0, -n / 3.0::DOUBLE AS m1, 0.0::DOUBLE AS a0, n / integral AS a1,
+           greatest(1.0 - 30.0 / n::DOUBLE, 1e-6 * gain * integral / n) AS first,
+           least(1.0 - 3e-6 / n::DOUBLE, 100.0 * gain * integral / n) AS last
+    FROM ready WHERE fits)),
+{_etas_search("line", "walk")},
+settled AS (SELECT *, (lo + hi) / 2 AS x, (lo + hi) / 2 - first <= 1e-9 * abs(last - first) AS low_end,
+            last - (lo + hi) / 2 <= 1e-9 * abs(last - first) AS high_end FROM walk WHERE step = {rates.ROUNDS}),
+judged AS (
+  SELECT *, CASE WHEN low_end THEN m0 + m1 * first >= 10.0 * (1 - 1e-12) WHEN high_end THEN m0 + m1 * last <= 1e-6 * (1 + 1e-6) ELSE FALSE END AS on_mu,
+         least(10.0, greatest(1e-6, m0 + m1 * x)) AS mu_at, least(100.0 * gain, greatest(1e-6 * gain, a1 * x)) AS a_at
+  FROM settled),
+bound AS (
+  SELECT mainshock_id, n, integral, gain, CASE WHEN on_mu THEN mu_at ELSE 0.0 END AS m0, CASE WHEN on_mu THEN 0.0 ELSE 1.0 END::DOUBLE AS m1,
+         CASE WHEN on_mu THEN 0.0 ELSE a_at END AS a0, CASE WHEN on_mu THEN 1.0 ELSE 0.0 END::DOUBLE AS a1, first, last,
+         CASE WHEN on_mu THEN 1e-6 * gain ELSE 1e-6 END AS lo, CASE WHEN on_mu THEN 100.0 * gain ELSE 10.0 END AS hi
+  FROM judged WHERE low_end OR high_end),
+{_etas_search("bound", "side")},
+fit AS (
+  SELECT mainshock_id, mu_at AS mu, a_at AS a FROM judged WHERE NOT (low_end OR high_end)
   UNION ALL
-  SELECT step + 1, mainshock_id,
-         least(greatest((n - tr) / 3.0, 1e-6), 10.0), least(greatest(tr / integral, 1e-6 * gain), 100.0 * gain)
-  FROM (SELECT e.step, e.mainshock_id, r.n, r.integral, r.gain,
-               list_sum(list_transform(r.g, lambda x: e.a * x / (e.mu + e.a * x))) AS tr
-        FROM em e JOIN ready r USING (mainshock_id) WHERE e.step < 300)
-),
-fit AS (SELECT * FROM em WHERE step = 300)
+  SELECT mainshock_id, m0 + m1 * (lo + hi) / 2, a0 + a1 * (lo + hi) / 2 FROM side WHERE step = {rates.ROUNDS})
 SELECT r.mainshock_id, round(mu, 5) AS etas_mu, round(a, 5) AS etas_amplitude,
   round(mu * 3.0 + a * integral - list_sum(list_transform(g, lambda x: ln(mu + a * x))), 5) AS etas_nll,
   r.n AS etas_n, fits AS etas_valid,
@@ -372,7 +401,7 @@ capped AS (
          elapsed_us / 86400000000.0::DOUBLE AS dt,
          6371.0 * cos(radians(lat0)) * (radians(longitude) - radians(lon0)) AS x,
          6371.0 * (radians(latitude) - radians(lat0)) AS y
-  FROM pairs QUALIFY position <= 256),
+  FROM pairs),
 ef AS (
   SELECT mainshock_id, id, position, dt, x, y, distance_km, depth, mag, mag - m0 AS mag_diff, us,
     CASE WHEN count(*) OVER w >= 2 THEN (dt - coalesce(lag(dt) OVER (PARTITION BY mainshock_id ORDER BY us, id), 0.0)) * 24.0

@@ -55,7 +55,7 @@ def gate_oof(spark, sf):
 def quantile_forest(spark, sf):
     """Five quantiles of the target time for the newest fifth of the rows."""
     train, test = fd.holdout_split(tr.with_vector(_dated(spark, sf), DATED_INPUTS))
-    return qf.quantile_forest(train, test, "true_days", "id", 0.0, 30.0)
+    return qf.quantile_forest(train, test, "true_days", "id")
 
 
 def residual_calibration(spark, sf):

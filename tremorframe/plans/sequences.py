@@ -39,14 +39,13 @@ def sequence_mainshock(spark, sf):
 
 
 def aftershock_pairs(spark, sf):
-    pairs = interval_pairs(_main(spark, sf), catalog(spark, sf), after_seconds=168 * 3600,
-                           hot_cell_rows=1_000_000)
+    pairs = interval_pairs(_main(spark, sf), catalog(spark, sf), after_seconds=168 * 3600)
     return rounded(pairs.select("mainshock_id", "id", "distance_km", "elapsed_hours", "mag"))
 
 
 def early_events_capped(spark, sf):
     pairs = interval_pairs(_main(spark, sf), catalog(spark, sf), after_seconds=72 * 3600)
-    return first_by_time(pairs).select("mainshock_id", "id", F.col("position").cast("bigint").alias("position"))
+    return first_by_time(pairs, 256).select("mainshock_id", "id", F.col("position").cast("bigint").alias("position"))
 
 
 def window_labels(spark, sf):

@@ -39,7 +39,8 @@ def read_boundaries(spark: SparkSession, path: str, type_field: str = "STEP_CLAS
         F.sequence(F.lit(1), F.size("p") - 1),
         lambda i: F.struct(i.alias("leg"), F.element_at("p", i).alias("a"), F.element_at("p", i + 1).alias("b")))
     out = parts.select("feature", "part", "plate_type", F.explode(legs).alias("s"))
-    number = F.col("feature").cast("bigint") * 1_000_000 + F.col("part") * 100_000 + F.col("s.leg")
+    # 24 bits of features, 16 of parts, 23 of legs: in file order, and no two collide
+    number = F.shiftleft(F.col("feature").cast("bigint"), 39) + F.shiftleft(F.col("part").cast("bigint"), 23) + F.col("s.leg")
     return out.select(
         number.alias("segment_id"), "plate_type", F.col("s.a")[0].alias("lon1"), F.col("s.a")[1].alias("lat1"),
         F.col("s.b")[0].alias("lon2"), F.col("s.b")[1].alias("lat2"))

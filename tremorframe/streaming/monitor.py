@@ -26,7 +26,7 @@ ALERT_DAYS = 1.0
 
 def fresh_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event once, however often the feed repeats it; later than ``delay`` is dropped."""
-    return events.withColumn("key", event_key(F.col("id"))).withWatermark("time", delay).dropDuplicatesWithinWatermark(["key"])
+    return events.withColumn("key", event_key(F.col("id"))).withWatermark("time", delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def completed_sequences(events: DataFrame, hours: float = 72.0, radius_km: float = AFTERSHOCK_RADIUS_KM,
