@@ -83,9 +83,9 @@ def compare_calibrators(train: DataFrame, held_out: DataFrame, columns: list[str
 
 
 def oof_residual(df: DataFrame, key: str, residual: str, columns: list[str], folds: int = 5,
-                 clip: float = 60.0) -> DataFrame:
-    """Out-of-fold boosted prediction of a residual over hash folds (stable for a key)."""
-    bounded = F.least(F.greatest(F.col(residual), F.lit(-clip)), F.lit(clip))
+                 clip: float | None = None) -> DataFrame:
+    """Out-of-fold boosted prediction of a residual over hash folds (stable for a key); ``clip`` bounds the target if given."""
+    bounded = F.col(residual) if clip is None else F.least(F.greatest(F.col(residual), F.lit(-clip)), F.lit(clip))
     vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(
         df.withColumns({"label": bounded, "_fold": hash_fold(key, folds)}))
     out = None
