@@ -41,76 +41,91 @@ class Vocabulary:
             lengths[r] = len(t)
         self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.blob = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(size)), np.uint8)
-        self.byte_rank = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        # what two tokens make together: every split of a token in two tokens
         self.pairs: dict[int, int] = {}
-
-    def pair(self, left: int, right: int) -> int:
-        """Rank of what the two tokens make together, or -1."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return found
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+        self.byte_pairs = np.full(1 << 16, -1, np.int64)
+        for left in range(256):
+            for right in range(256):
+                self.byte_pairs[left << 8 | right] = self.ranks.get(bytes([left, right]), -1)
 
 
 def replay_merges(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
     """Token ids of every word, as little-endian unsigned 32-bit integers."""
-    out: list[bytes] = [b""] * len(words)
-    ids: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    spans = []
-    for k, word in enumerate(words):
-        whole = vocab.ranks.get(word)
-        if whole is not None:
-            out[k] = whole.to_bytes(4, "little")
-            continue
-        start, n = len(ids), len(word)
-        ids.extend([vocab.byte_rank[b] for b in word])
-        after.extend(range(start + 1, start + n))
-        after.append(-1)
-        before.append(-1)
-        before.extend(range(start, start + n - 1))
-        spans.append((k, start, start + n))
-
-    index: dict[int, list[int]] = {}  # rank of a pair -> positions of its left token
-    pair = vocab.pair
-    for _, start, end in spans:
-        for p in range(start, end - 1):
-            r = pair(ids[p], ids[p + 1])
-            if r >= 0:
-                index.setdefault(r, []).append(p)
-    waiting = list(index)
-    heapq.heapify(waiting)
+    out = [vocab.ranks.get(w) for w in words]
+    open_words = [k for k, whole in enumerate(out) if whole is None and words[k]]
+    out = [b"" if whole is None else whole.to_bytes(4, "little") for whole in out]
+    if not open_words:
+        return out
+    raw = np.frombuffer(b"".join(words[k] for k in open_words), np.uint8).astype(np.int64)
+    n = len(raw)
+    ends = np.cumsum([len(words[k]) for k in open_words])
+    places = np.arange(n)
+    later, earlier = places + 1, places - 1
+    later[ends - 1] = -1
+    earlier[0] = earlier[ends[:-1]] = -1
+    ids, after, before = vocab.byte_rank[raw].tolist(), later.tolist(), earlier.tolist()
+
+    # inverted index: rank of a pair -> positions of its left token
+    first = np.full(n, -1, np.int64)
+    first[:-1] = vocab.byte_pairs[raw[:-1] << 8 | raw[1:]]
+    first[ends - 1] = -1
+    held = np.flatnonzero(first >= 0)
+    held = held[np.argsort(first[held], kind="stable")]
+    ranks, begin = np.unique(first[held], return_index=True)
+    index = {r: part.tolist() for r, part in zip(ranks.tolist(), np.split(held, begin[1:]), strict=True)} if len(held) else {}
+    waiting = ranks.tolist()  # in order, so a heap
+    pair, none = vocab.pairs.get, -1
     while waiting:
         rank = heapq.heappop(waiting)
-        positions = sorted(set(index.pop(rank, ())))
+        positions = index.pop(rank)
+        positions.sort()
         for k, p in enumerate(positions):
             q = after[p]
-            if ids[p] < 0 or q < 0 or pair(ids[p], ids[q]) != rank:
+            left = ids[p]
+            if q < 0 or left < 0 or pair(left << 32 | ids[q]) != rank:
                 continue  # a neighbour was merged meanwhile
             ids[p], ids[q] = rank, -1
-            after[p] = after[q]
-            if after[q] >= 0:
-                before[after[q]] = p
-            again = False
-            for left in (before[p], p):
-                if left >= 0 and after[left] >= 0 and (r := pair(ids[left], ids[after[left]])) >= 0:
-                    if r not in index:
-                        index[r] = []
+            right = after[p] = after[q]
+            least = rank + 1
+            if right >= 0:
+                before[right] = p
+                r = pair(rank << 32 | ids[right], none)
+                if r >= 0:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        heapq.heappush(waiting, r)
+                    least = r
+            left = before[p]
+            if left >= 0:
+                r = pair(ids[left] << 32 | rank, none)
+                if r >= 0:
+                    if r in index:
+                        index[r].append(left)
+                    else:
+                        index[r] = [left]
                         heapq.heappush(waiting, r)
-                    index[r].append(left)
-                    again |= r <= rank
-            if again:  # a new pair goes first, or is another place of this rank: the rest waits
-                if rank not in index:
-                    index[rank] = []
+                    least = min(least, r)
+            if least <= rank:  # a new pair goes first, or is another place of this rank: the rest waits
+                if rank in index:
+                    index[rank] += positions[k + 1:]
+                else:
+                    index[rank] = positions[k + 1:]
                     heapq.heappush(waiting, rank)
-                index[rank] += positions[k + 1:]
                 break
-    for k, start, end in spans:
-        out[k] = np.array([i for i in ids[start:end] if i >= 0], "<u4").tobytes()
+    found = np.array(ids, np.int64)
+    alive = found >= 0
+    flat = found[alive].astype("<u4").tobytes()
+    bounds = (4 * np.concatenate([[0], np.cumsum(alive)[ends - 1]])).tolist()
+    for k, a, b in zip(open_words, bounds[:-1], bounds[1:], strict=True):
+        out[k] = flat[a:b]
     return out
 
 
