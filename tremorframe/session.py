@@ -16,6 +16,8 @@ SETTINGS = {
     # Cell joins are heavy per byte: small shuffles keep their parallelism.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A round's checkpoint goes once nothing refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Call-site capture costs about a millisecond per column expression when plans are built.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,9 +38,15 @@ def completed_sequences(events: DataFrame, hours: float = 72.0, radius_km: float
     """
     grid = CellGrid(radius_km)
     band = grid.band(F.col("latitude"))
+    seconds = int(hours * 3600)
+
+    def bucket(time: Column, later: int = 0) -> Column:
+        return F.floor((F.unix_micros(time) / 1_000_000 + later) / seconds)
+
+    # The state of a cell is kept by time bucket: an arrival meets two windows' length of it, not all that is held.
     followers = events.select(
         F.col("id"), F.col("time"), F.col("latitude"), F.col("longitude"), F.col("mag"), band.alias("_band"),
-        grid.cell(F.col("longitude"), grid.ring_size(band)).alias("_cell"))
+        grid.cell(F.col("longitude"), grid.ring_size(band)).alias("_cell"), bucket(F.col("time")).alias("_bucket"))
     anchors = (
         events.filter((F.col("mag") >= min_mag) & (F.col("depth") <= max_depth_km))
         .select(F.col("id").alias("mainshock_id"), F.col("time").alias("mainshock_time"),
@@ -48,11 +54,11 @@ def completed_sequences(events: DataFrame, hours: float = 72.0, radius_km: float
                 F.col("mag").alias("mainshock_mag"), F.col("depth").alias("mainshock_depth"))
         .withColumn("_b", F.explode(grid.bands_near(F.col("mainshock_lat"))))
         .withColumn("_c", F.explode(grid.cells_near(F.col("mainshock_lat"), F.col("mainshock_lon"), F.col("_b"),
-                                                    grid.ring_size(F.col("_b"))))))
-    seconds = int(hours * 3600)
+                                                    grid.ring_size(F.col("_b")))))
+        .withColumn("_t", F.explode(F.sequence(bucket(F.col("mainshock_time")), bucket(F.col("mainshock_time"), seconds)))))
     met = anchors.join(
         followers,
-        (F.col("_b") == F.col("_band")) & (F.col("_c") == F.col("_cell")) & (F.col("time") >= F.col("mainshock_time"))
+        (F.col("_b") == F.col("_band")) & (F.col("_c") == F.col("_cell")) & (F.col("_t") == F.col("_bucket")) & (F.col("time") >= F.col("mainshock_time"))
         & (F.col("time") <= F.col("mainshock_time") + F.expr(f"INTERVAL {seconds} SECONDS")))
     near = met.filter(haversine_km(F.col("mainshock_lat"), F.col("mainshock_lon"), F.col("latitude"),
                                    F.col("longitude")) <= radius_km)
