@@ -18,20 +18,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                     .filter("a <> b").distinct())
-    before = None
-    while True:
-        links = _star(links, larger=True)
-        links = durable(_star(links, larger=False))
-        # unchanged links mean that every node points at its root; compared by count and order-free hash sum
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    while not _settled(links):
+        links = durable(_star(_star(links, larger=True), larger=False).distinct())
     roots = links.select("b").distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node points at one other node, and none of these points on."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select(F.col("b"), F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")) \
+        .filter("up > 1 OR up > 0 AND down > 0").isEmpty()
+
+
 def _star(links: DataFrame, larger: bool) -> DataFrame:
     """``links`` (a > b): connect the larger (or the smaller) neighbours of every node to its smallest neighbour."""
     if larger:
@@ -44,4 +45,4 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")

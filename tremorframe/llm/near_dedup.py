@@ -1,14 +1,16 @@
 """Near-duplicate groups by MinHash bands and odd sketches.
 
 A text's set are its five-word shingles. Sets are reduced to classes of equal sets; each class has a MinHash sample
-whose bands give candidates, and an odd sketch: the sample folded into a bitmap by parity. The bits in which
-two sketches differ estimate the similarity, which is most precise where it is high. What passes the sketch is
+whose bands give candidates, and odd sketches: the sample, and the set itself, folded into bitmaps by parity. The bits in
+which two sample sketches differ estimate the similarity, most precisely where it is high; the bits in which two set
+sketches differ are never more than the elements that differ, so too many of them rule a link out. What passes both is
 confirmed on the full sets.
 
 Buckets are not turned into pairs. Every member is compared with the bucket's smallest member; the confirmed
 links are contracted to components; only members of buckets that still hold several components are compared
-further, across components, block by block on their sketches and from the most similar pairs down, with the
-components contracted in between. A group of copies of any size thus costs about one comparison per member.
+further, across components, block by block on their sketches. Of the pairs that pass, one round first confirms a
+spanning forest, most similar pairs first, and contracts again; the last round confirms every pair that is still open. A
+group of copies of any size thus costs about one confirmation per member.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorframe.llm.common import read_table, stash, travels
@@ -38,10 +40,11 @@ SKETCH_BITS = 512
 LINK_PERCENT = 75
 #: A pair at the threshold is estimated with a standard deviation of about 0.032; the sketch rejects below five of them.
 SKETCH_FLOOR = 0.59
-#: The levels of the rounds across components, down to the floor.
-LEVELS = (0.82, 0.70, SKETCH_FLOOR)
-#: Members of a bucket that one task compares with each other.
-BLOCK = 256
+SET_BITS = 1024
+#: Rounds across components: a spanning forest of the pairs that pass, or all of them. The last must be all.
+ROUNDS = ("forest", "all")
+#: Members of a block; rows of buckets that a task holds at a time.
+BLOCK, TASK_ROWS = 256, 20_000
 #: Bytes of texts that a task turns into sets together.
 CHUNK = 1 << 20
 
@@ -84,12 +87,22 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _parity(place: np.ndarray, owner: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A bitmap per owner: bit b is the parity of its elements that fall on b."""
+    odd = (np.bincount(owner * bits + place.astype(np.int64), minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1)
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits per set: bit b is the parity of the samples that fall on b."""
+    """The MinHash samples folded into SKETCH_BITS bits."""
     place = mixed(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) >> np.uint64(55)
-    at = place.astype(np.int64) + np.arange(len(samples))[:, None] * SKETCH_BITS
-    odd = (np.bincount(at.ravel(), minlength=len(samples) * SKETCH_BITS) & 1).astype(np.uint8).reshape(len(samples), SKETCH_BITS)
-    return np.packbits(odd, axis=1)
+    return _parity(place.ravel(), np.repeat(np.arange(len(samples)), SAMPLES), len(samples), SKETCH_BITS)
+
+
+def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets folded into SET_BITS bits."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return _parity(np.concatenate(sets) % np.uint64(SET_BITS), owner, len(sets), SET_BITS)
 
 
 def most_differing(similarity: float) -> int:
@@ -109,7 +122,10 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_id, sketch (8 longs), bands (longs)``; the last three are null for an empty set."""
+    """``doc_id, n_shingles, set_id, sketch, bands``; the last three are null for an empty set.
+
+    ``sketch`` is the sample's bitmap followed by the set's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -124,24 +140,47 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands: list = [None] * len(sets)
                 if full:
                     samples = min_samples([sets[i] for i in full])
-                    for i, sketch, keys in zip(full, odd_sketches(samples).view(np.int64), band_keys(samples), strict=True):
-                        ids[i], sketches[i], bands[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), sketch, keys
+                    both = np.concatenate([odd_sketches(samples), set_sketches([sets[i] for i in full])], axis=1)
+                    for i, sketch, keys in zip(full, both, band_keys(samples), strict=True):
+                        ids[i], sketches[i], bands[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), sketch.tobytes(), keys
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
-                     pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                     pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "set_id", "sketch", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id binary, sketch array<long>, bands array<long>")
+        run, "doc_id long, n_shingles long, set_id binary, sketch binary, bands array<long>")
+
+
+def _words(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), (SKETCH_BITS + SET_BITS) // 64)
+
 
+def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the pair passes, how close it is to failing) for words and sizes that broadcast against each other.
 
-def differing_bits(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    A link allows at most (|A| + |B|) (100 - L) / (100 + L) differing elements, of which the set sketch shows no more;
+    and the smaller set must be large enough.
+    """
+    differ = np.bitwise_count(a ^ b)
+    cut = SKETCH_BITS // 64
+    sample, whole = differ[..., :cut].sum(axis=-1, dtype=np.int64), differ[..., cut:].sum(axis=-1, dtype=np.int64)
+    most = (size_a + size_b) * (100 - LINK_PERCENT) // (100 + LINK_PERCENT)
+    ok = (sample <= most_differing(SKETCH_FLOOR)) & (whole <= most) & (100 * np.minimum(size_a, size_b) >= LINK_PERCENT * np.maximum(size_a, size_b))
+    return ok, np.maximum(sample / most_differing(SKETCH_FLOOR), whole / np.maximum(most, 1))
+
+
+def _passing(pairs: DataFrame) -> DataFrame:
+    """``a, b`` of the rows ``a, b, size_a, size_b, sketch_a, sketch_b`` that pass the sketches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [_words(batch.column(i).to_pylist()) for i in (4, 5)]
+            ok, _ = may_link(*sides, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
-def _size_allows(a: Column, b: Column) -> Column:
-    """The smaller set is large enough to reach the threshold."""
-    return 100 * F.least(a, b) >= LINK_PERCENT * F.greatest(a, b)
+    return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,37 +203,64 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, most: int, above: int) -> DataFrame:
-    """Pairs of one bucket in different components whose sketches differ in ``above`` < bits <= ``most``.
+def _forest(order: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Of pairs of components, in the given order, those that join what is not yet joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for k in order.tolist():
+        x, y = find(int(left[k])), find(int(right[k]))
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return kept
+
+
+def _across(rows: DataFrame, parts: int, how: str) -> DataFrame:
+    """Pairs of one bucket in different components that pass the sketches: all, or a forest of each two blocks.
 
     ``rows``: ``key, cls, component, n_shingles, sketch, block, blocks``. A bucket of more than BLOCK members is dealt out as
-    pairs of blocks; a task compares two blocks and emits what passes.
+    pairs of blocks, so a task compares BLOCK members with BLOCK others, however large the bucket is.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "component", "n_shingles", "sketch")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        sides = []
-        for block in (i, j):
-            part = group[group["block"] == block].drop_duplicates("cls")
-            sides.append((part["cls"].to_numpy(), part["component"].to_numpy(), part["n_shingles"].to_numpy(),
-                          np.array(part["sketch"].tolist(), np.int64).reshape(len(part), -1).view(np.uint64)))
-        (ca, pa_, na, sa), (cb, pb, nb, sb) = sides
-        found_a, found_b = [], []
-        for x in range(len(ca)):
-            bits = np.bitwise_count(sb ^ sa[x]).sum(axis=1)
-            ok = (bits <= most) & (bits > above) & (pb != pa_[x]) & (100 * np.minimum(nb, na[x]) >= LINK_PERCENT * np.maximum(nb, na[x]))
-            if i == j:
-                ok &= cb > ca[x]
-            hits = cb[ok]
-            found_a.append(np.minimum(hits, ca[x]))
-            found_b.append(np.maximum(hits, ca[x]))
-        return pd.DataFrame({"a": np.concatenate(found_a) if found_a else np.zeros(0, np.int64),
-                             "b": np.concatenate(found_b) if found_b else np.zeros(0, np.int64)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "component", "n_shingles", "sketch") \
+        .withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "i", "j", "cls"], kind="stable")
+        ids = rows[["key", "i", "j"]].to_numpy()
+        cls, component, sizes = [rows[c].to_numpy() for c in ("cls", "component", "n_shingles")]
+        own = rows["block"].to_numpy() == rows["i"].to_numpy()
+        words = _words(rows["sketch"].tolist())
+        cuts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1, [len(rows)]]).tolist()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if component[a:b].min() == component[a:b].max():
+                continue
+            here = np.arange(a, b)
+            if ids[a, 1] == ids[a, 2]:
+                ok, far = may_link(words[here][:, None], words[here][None], sizes[here][:, None], sizes[here][None])
+                ok &= here[:, None] < here[None]
+                left, right = here, here
+            else:
+                left, right = here[own[here]], here[~own[here]]
+                ok, far = may_link(words[left][:, None], words[right][None], sizes[left][:, None], sizes[right][None])
+            ok &= component[left][:, None] != component[right][None]
+            x, y = np.nonzero(ok)
+            if how == "forest" and len(x):
+                kept = _forest(np.argsort(far[x, y], kind="stable"), component[left[x]], component[right[y]])
+                x, y = x[kept], y[kept]
+            found.append((cls[left[x]], cls[right[y]]))
+        both = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+        return pd.DataFrame({"a": np.minimum(*both), "b": np.maximum(*both)})
+
+    return dealt.groupBy("part").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -218,26 +284,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stash(texts.join(buckets.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi"), "near-texts")
 
-    left, right = [narrow.select(*[F.col(c).alias(f"{c}_{x}") for c in narrow.columns]) for x in "ab"]
-    star = buckets.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct() \
-        .join(right, F.col("b") == F.col("cls_b")).join(left, F.col("a") == F.col("cls_a")) \
-        .filter(_size_allows(F.col("n_shingles_a"), F.col("n_shingles_b"))) \
-        .filter(differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= most_differing(SKETCH_FLOOR)).select("a", "b")
-    links = durable(confirm(star, texts))
+    sides = [narrow.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    star = buckets.filter("cls <> a").select("a", F.col("cls").alias("b")).distinct().join(sides[1], "b").join(sides[0], "a")
+    links = durable(confirm(durable(_passing(star)), texts))
     groups = durable(connected_components(links))
 
-    above = -1
-    for level in LEVELS:
+    for how in ROUNDS:
         labelled = buckets.select("key", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left") \
             .select("key", "cls", F.coalesce("component", "cls").alias("component"))
         # fixed-width aggregates that combine on the map side
-        mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")) \
-            .filter("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        open_rows = labelled.join(mixed_keys, "key").join(narrow, "cls") \
+        open_keys = durable(labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
+                            .filter("c0 < c1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n"))
+        dealt = open_keys.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+        if not dealt:
+            break
+        open_rows = labelled.join(open_keys.drop("n"), "key").join(narrow, "cls") \
             .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        most = most_differing(level)
-        more = durable(confirm(durable(_across(open_rows, most, above)), texts))
-        above = most
+        pairs = durable(_across(open_rows, -(-dealt // TASK_ROWS), how))
+        if pairs.isEmpty():
+            break
+        more = durable(confirm(pairs, texts))
         if not more.isEmpty():
             links = links.union(more)
             groups = durable(connected_components(links))
