@@ -137,11 +137,13 @@ def learn_rules(stats: DataFrame, labels: DataFrame, how: Learning = Learning())
     # a third of the rows, by a hash of the id, is for pruning
     train = durable(with_ratios(stats).filter(~base_failed()).join(marks, "doc_id").select(
         *RATIOS, (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("prune")))
-    asked = [i / (how.bins + 1) for i in range(1, how.bins + 1)]
+    asked = [i / (how.bins + 1) for i in range(how.bins + 2)]
     # bad texts are the minority: their own quantiles bring the cuts to where they are
     cuts_of = train.agg(*[F.percentile_approx(n, asked, 10_000).alias(n) for n in RATIOS],
                         *[F.percentile_approx(F.when(F.col("bad"), F.col(n)), asked, 10_000).alias(f"bad_{n}") for n in RATIOS]).first()
-    cuts = {n: sorted({*(cuts_of[n] or ()), *(cuts_of[f"bad_{n}"] or ())}) for n in RATIOS}
+    seen = {n: sorted({*(cuts_of[n] or ()), *(cuts_of[f"bad_{n}"] or ())}) for n in RATIOS}
+    # halfway between values: a gap between good and bad texts is cut in its middle
+    cuts = {n: [(a + b) / 2 for a, b in zip(v, v[1:])] for n, v in seen.items()}
     binned = [_bin(n, cuts[n]).alias(f"b_{n}") for n in RATIOS]
     cells = durable(train.select("bad", "prune", *binned).groupBy("bad", "prune", *[f"b_{n}" for n in RATIOS])
                     .agg(F.count("*").alias("n")))
