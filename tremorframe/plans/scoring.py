@@ -45,7 +45,7 @@ def metrics_by_window_rollup(spark, sf):
 
 def worst_samples(spark, sf):
     out = mt.worst_samples(_scored(spark, sf))
-    return rounded(out.select("window", F.col("rank").cast("bigint").alias("rank"), "abs_mag_error"))
+    return rounded(out.select(F.col("mainshock_id").alias("id"), "window", F.col("rank").cast("bigint").alias("rank"), "abs_mag_error"))
 
 
 def gap_by_earthquake(spark, sf):
@@ -286,7 +286,7 @@ SELECT coalesce("window", 'ALL') AS "window", count(*) AS "count", {r('avg(abs(m
   {r('max(abs(me))', 'max_abs_mag_err')}, {r('max(abs(te))', 'max_abs_time_h')}
 FROM scored GROUP BY GROUPING SETS (("window"), ())""",
     "worst_samples": f"""WITH {PREDICTIONS_SQL}, {SCORED}
-SELECT "window", row_number() OVER (PARTITION BY "window" ORDER BY abs(me) DESC, id) AS rank, {r('abs(me)', 'abs_mag_error')}
+SELECT id, "window", row_number() OVER (PARTITION BY "window" ORDER BY abs(me) DESC, id) AS rank, {r('abs(me)', 'abs_mag_error')}
 FROM scored QUALIFY rank <= 10""",
     "gap_by_earthquake": f"""WITH {PREDICTIONS_SQL}, {SCORED}
 SELECT CAST(group_id AS VARCHAR) AS mainshock_id, count(*) AS n, {r('avg(abs(me))', 'mag_mae')}, {r('max(abs(me))', 'mag_max')},

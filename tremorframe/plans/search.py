@@ -156,8 +156,7 @@ def extreme_postprocessing(spark, sf):
     df = predictions(spark, sf)
     mag, hours = fu.extreme_adjusted(F.col("mag_b"), F.col("hours_a"), F.col("risk"), F.col("main_mag"), F.col("window"),
                                      t1_bonus=0.1)
-    out = df.withColumns({"m": mag, "h": hours})
-    return rounded(out.groupBy("window").agg(F.avg("m").alias("mag"), F.avg("h").alias("hours"), F.max("m").alias("top")))
+    return rounded(df.select("id", "window", mag.alias("mag"), hours.alias("hours")))
 
 
 def _risk_rows(spark, sf):
@@ -177,8 +176,7 @@ def risk_adjusted(spark, sf):
     df = predictions(spark, sf)
     mag = ru.apply_risk_mag(F.col("mag_b"), F.col("main_mag"), F.col("risk"), 0.3, 0.8, 0.4)
     hours = ru.apply_risk_hours(F.col("hours_a"), F.col("window"), F.col("risk"), 0.3, 0.2, 0.4)
-    return rounded(df.withColumns({"m": mag, "h": hours}).groupBy("window").agg(
-        F.avg("m").alias("mag"), F.avg("h").alias("hours")))
+    return rounded(df.select("id", "window", mag.alias("mag"), hours.alias("hours")))
 
 
 def _rule_sets(spark, sf):
@@ -395,10 +393,10 @@ SELECT mainshock_id, "window",
   round(least(greatest(mag_a + CASE "window" WHEN 'T1' THEN -0.1 WHEN 'T2' THEN 0.1 ELSE 0.0 END::DOUBLE, 0.0), main_mag + 0.5), 6) AS pred_mag,
   round(least(greatest(days_a + CASE "window" WHEN 'T1' THEN 0.5 WHEN 'T3' THEN -2.0 ELSE 0.0 END::DOUBLE, lo + 1e-6), hi), 6) AS pred_hours FROM sides""",
     "extreme_postprocessing": f"""WITH {PREDICTIONS_SQL}, {BOUNDS},
-x AS (SELECT "window", greatest(CASE WHEN risk >= 0.5 THEN 0.5 * mag_b + 0.5 * greatest(mag_b, greatest(main_mag - 1.2::DOUBLE, 0.0))
+x AS (SELECT id, "window", greatest(CASE WHEN risk >= 0.5 THEN 0.5 * mag_b + 0.5 * greatest(mag_b, greatest(main_mag - 1.2::DOUBLE, 0.0))
         + CASE WHEN "window" = 'T1' THEN 0.1::DOUBLE ELSE 0.0 END ELSE mag_b END, 0.0) AS m,
       CASE WHEN risk >= 0.5 THEN least(greatest(0.9::DOUBLE * hours_a + 0.1::DOUBLE * least(hours_a, lo + (hi - lo) * 0.3::DOUBLE), lo + 1e-6), hi) ELSE hours_a END AS h FROM pw)
-SELECT "window", {r('avg(m)', 'mag')}, {r('avg(h)', 'hours')}, {r('max(m)', 'top')} FROM x GROUP BY 1""",
+SELECT id, "window", {r('m', 'mag')}, {r('h', 'hours')} FROM x""",
     "risk_adjust_search": f"""WITH {PREDICTIONS_SQL}, {BOUNDS}, {CUTS},
 grid AS (SELECT * FROM cuts, (SELECT unnest({_list(ru.RISK_MARGINS)}) AS margin), {TENTHS.format('weight')}),
 e AS (SELECT g."window", threshold, margin, weight, p.w, risk >= threshold AS act,
@@ -415,9 +413,9 @@ l AS (SELECT *, CASE WHEN e > 0 THEN 2.0 ELSE 1.0 END * w AS lw FROM e)
 SELECT "window", {r('threshold', 'threshold')}, fraction, weight, {r('sqrt(sum(lw * e * e) / sum(lw))', 'objective')},
   {r('avg(CASE WHEN act THEN 1.0 ELSE 0.0 END)', 'active_rate')} FROM l GROUP BY l."window", l.threshold, fraction, weight""",
     "risk_adjusted": f"""WITH {PREDICTIONS_SQL}, {BOUNDS},
-x AS (SELECT "window", least(CASE WHEN risk >= 0.3 THEN 0.6::DOUBLE * mag_b + 0.4::DOUBLE * greatest(mag_b, greatest(main_mag - 0.8::DOUBLE, 0.0)) ELSE mag_b END, main_mag + 0.5) AS m,
+x AS (SELECT id, "window", least(CASE WHEN risk >= 0.3 THEN 0.6::DOUBLE * mag_b + 0.4::DOUBLE * greatest(mag_b, greatest(main_mag - 0.8::DOUBLE, 0.0)) ELSE mag_b END, main_mag + 0.5) AS m,
   least(greatest(CASE WHEN risk >= 0.3 THEN 0.6::DOUBLE * hours_a + 0.4::DOUBLE * least(hours_a, lo + (hi - lo) * 0.2::DOUBLE) ELSE hours_a END, lo + 1e-6), hi) AS h FROM pw)
-SELECT "window", {r('avg(m)', 'mag')}, {r('avg(h)', 'hours')} FROM x GROUP BY 1""",
+SELECT id, "window", {r('m', 'mag')}, {r('h', 'hours')} FROM x""",
     "floor_rule_search": f"""WITH {PREDICTIONS_SQL}, {FLOOR_GRID}
 SELECT "window", threshold, margin, strength, {r('visible_mae', 'visible_mae')}, {r('visible_rmse', 'visible_rmse')},
   {r('visible_max_abs', 'visible_max_abs')}, visible_changed, {r('oof_mae_delta', 'oof_mae_delta')}, {r('oof_rmse_delta', 'oof_rmse_delta')},
