@@ -200,7 +200,7 @@ def floor_rule_choice(spark, sf):
 
 def floor_rule_applied(spark, sf):
     rows = predictions(spark, sf).withColumn("p", ru.floor_rule(F.col("mag_c"), F.col("main_mag"), 7.5, 2.0, 0.6))
-    return rounded(rows.groupBy("window").agg(F.avg("p").alias("mag"), F.count_if(F.col("p") > F.col("mag_c") + 1e-9).alias("raised")))
+    return rounded(rows.select("id", "window", F.col("p").alias("mag"), (F.col("p") > F.col("mag_c") + 1e-9).alias("raised")))
 
 
 def oof_first_rule(spark, sf):
@@ -227,11 +227,11 @@ def directional_shift(spark, sf):
 
 
 def residual_corrected(spark, sf):
-    """T3 times corrected by class and global bias, summarised per class."""
+    """T3 times corrected by class and global bias."""
     rows = predictions(spark, sf).filter("window = 'T3'").withColumn("residual", F.col("hours_a") - F.col("true_hours"))
     bias = {r["mag_bin"]: r["bias"] for r in mt.bias_by_class(rows, "main_mag", "residual").collect()}
     fixed = rows.withColumn("h", ru.residual_corrected(F.col("hours_a"), F.col("main_mag"), bias, bias["ALL"]))
-    return rounded(fixed.groupBy(mt.mag_class(F.col("main_mag")).alias("mag_bin")).agg(F.avg("h").alias("hours")))
+    return rounded(fixed.select("id", mt.mag_class(F.col("main_mag")).alias("mag_bin"), F.col("h").alias("hours")))
 
 
 def extreme_floor_search(spark, sf):
@@ -427,8 +427,8 @@ k AS (SELECT mode, f.*, CASE mode WHEN 'safe' THEN coalesce(oof_rmse_delta <= 5e
 SELECT mode, "window", round(visible_rmse, 6) AS visible_rmse, visible_changed FROM k
 QUALIFY row_number() OVER (PARTITION BY mode, "window" ORDER BY ok DESC, round(k.visible_rmse, 12), round(visible_mae, 12), visible_changed) = 1""",
     "floor_rule_applied": f"""WITH {PREDICTIONS_SQL},
-x AS (SELECT "window", mag_c, round_even(CASE WHEN main_mag >= 7.5 AND main_mag - 2.0 > mag_c THEN least(mag_c + 0.6::DOUBLE * (main_mag - 2.0 - mag_c), main_mag - 0.5) ELSE mag_c END * 10, 0) / 10 AS p FROM preds)
-SELECT "window", {r('avg(p)', 'mag')}, count(*) FILTER (p > mag_c + 1e-9) AS raised FROM x GROUP BY 1""",
+x AS (SELECT id, "window", mag_c, round_even(CASE WHEN main_mag >= 7.5 AND main_mag - 2.0 > mag_c THEN least(mag_c + 0.6::DOUBLE * (main_mag - 2.0 - mag_c), main_mag - 0.5) ELSE mag_c END * 10, 0) / 10 AS p FROM preds)
+SELECT id, "window", {r('p', 'mag')}, p > mag_c + 1e-9 AS raised FROM x""",
     "oof_first_rule": f"""WITH {PREDICTIONS_SQL},
 rr AS (SELECT "window", main_mag AS m, true_mag AS y, mag_c AS p, count(*) AS c FROM preds WHERE plate_type <> 'A' GROUP BY ALL),
 grid AS (SELECT * FROM (SELECT unnest({_list(ru.OOF_THRESHOLDS)}) AS threshold), (SELECT unnest({_list(ru.FLOOR_MARGINS)}) AS margin),
@@ -466,8 +466,8 @@ SELECT coalesce(z, 'ALL') AS zone, count(*) AS n, {r('avg(abs(p - y))', 'mae_bef
 x AS (SELECT *, hours_a - true_hours AS res, CASE WHEN main_mag <= 6.5 THEN 0 WHEN main_mag <= 7.0 THEN 1 WHEN main_mag <= 7.5 THEN 2 WHEN main_mag <= 8.0 THEN 3 ELSE 4 END AS rc,
    CASE WHEN main_mag < 6.5 THEN 0 WHEN main_mag < 7.0 THEN 1 WHEN main_mag < 7.5 THEN 2 WHEN main_mag < 8.0 THEN 3 ELSE 4 END AS lc FROM preds WHERE "window" = 'T3'),
 bb AS (SELECT rc, avg(res) AS bias FROM x GROUP BY 1), gb AS (SELECT avg(res) AS g FROM x)
-SELECT ['<6.5', '6.5-7.0', '7.0-7.5', '7.5-8.0', '>=8.0'][lc + 1] AS mag_bin,
-  {r('avg(least(greatest(hours_a - g - 0.5 * coalesce(bias, 0.0), 73.0), 167.0))', 'hours')} FROM x LEFT JOIN bb ON bb.rc = x.lc, gb GROUP BY lc""",
+SELECT id, ['<6.5', '6.5-7.0', '7.0-7.5', '7.5-8.0', '>=8.0'][lc + 1] AS mag_bin,
+  {r('least(greatest(hours_a - g - 0.5 * coalesce(bias, 0.0), 73.0), 167.0)', 'hours')} FROM x LEFT JOIN bb ON bb.rc = x.lc, gb""",
     "extreme_floor_search": f"""WITH {PREDICTIONS_SQL},
 grid AS (SELECT * FROM (SELECT 0.2::DOUBLE + 0.05::DOUBLE * i AS threshold FROM range(12) t(i)), (SELECT 0.25::DOUBLE * i AS margin FROM range(10) t(i)))
 SELECT "window", {r('threshold', 'threshold')}, margin, {r('avg(abs(CASE WHEN risk >= threshold THEN greatest(mag_c, main_mag - margin) + greatest(0.0, (main_mag - mag_c - margin) * 0.5) ELSE mag_c END - true_mag))', 'mae')}
