@@ -89,7 +89,7 @@ def omori_fit(
 # Bounds of the background rate, and of the amplitude in units of its gain. Fixed values.
 MU_BOUNDS = (1e-6, 10.0)
 AMPLITUDE_BOUNDS = (1e-6, 100.0)
-PARTS, ROUNDS = 40, 7
+PARTS, ROUNDS = 8, 12
 
 
 def _close_in(rates: DataFrame, state: DataFrame, obs_days: float) -> DataFrame:
