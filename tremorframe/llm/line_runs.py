@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,10 @@ travels(__name__)
 
 #: A run is repeated from this many lines on; grams of so many lines are fingerprints.
 RUN_LINES, GRAM_LINES = 3, 2
+#: With words counted too, fewer lines are a run from this many words on, so that one long line is a run of its own.
+RUN_WORDS = 50
 _STRIP = "".join(chr(c) for c in (0x20, *range(0x09, 0x0E)))
+_WORD = re.compile(f"[^{SPACE}]+")
 ROWS = 2_000
 
 
@@ -51,9 +55,21 @@ def winnow(line_hashes: list[bytes], run_lines: int, gram_lines: int) -> list[tu
     return found
 
 
-def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines: int = GRAM_LINES) -> DataFrame:
-    """``doc_id, text_hash, fingerprint, position, first, hashes``: a row per selected gram; hashes has 16 bytes per line
-    of the stretch that its windows cover, from line ``first`` on. Lines are counted without blank ones."""
+def wordy(words: list[int], run_lines: int, run_words: int) -> Iterator[tuple[int, int]]:
+    """``(start, lines)`` of the windows of fewer than run_lines lines that have run_words words at least."""
+    for start in range(len(words)):
+        total = 0
+        for n, count in enumerate(words[start:start + run_lines - 1], 1):
+            total += count
+            if total >= run_words:
+                yield start, n
+
+
+def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines: int = GRAM_LINES, run_words: int | None = None) -> DataFrame:
+    """``doc_id, text_hash, fingerprint, position, first, lines, hashes``: a row per selected gram; hashes has 16 bytes per
+    line of the stretch that its windows of ``lines`` lines cover, from line ``first`` on. Lines are counted without blank
+    ones. With ``run_words`` each shorter window of so many words is a row too: it holds one gram of its own size, which
+    is selected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -61,18 +77,25 @@ def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines: int =
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for doc, text_hash, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    hashes = [xxhash.xxh3_128_digest(x) for line in (text or "").split("\n") if (x := line.strip(_STRIP).encode("utf-8", "surrogatepass"))]
-                    for fp, position, first, last in winnow(hashes, run_lines, gram_lines):
-                        for column, value in zip(out, (doc, text_hash, fp, position, first, b"".join(hashes[first:last + run_lines])), strict=True):
+                    full = [x for line in (text or "").split("\n") if (x := line.strip(_STRIP))]
+                    hashes = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in full]
+                    found = [(fp, at, first, run_lines, b"".join(hashes[first:last + run_lines]))
+                             for fp, at, first, last in winnow(hashes, run_lines, gram_lines)]
+                    if run_words is not None:
+                        for start, n in wordy([len(_WORD.findall(x)) for x in full], run_lines, run_words):
+                            gram = b"".join(hashes[start:start + n])
+                            found.append((int(np.uint64(xxhash.xxh3_64_intdigest(gram)).astype(np.int64)), start, start, n, gram))
+                    for row in found:
+                        for column, value in zip(out, (doc, text_hash, *row), strict=True):
                             column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                    ["doc_id", "text_hash", "fingerprint", "position", "first", "hashes"])
+                    ["doc_id", "text_hash", "fingerprint", "position", "first", "lines", "hashes"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, fingerprint long, position int, first int, hashes binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, fingerprint long, position int, first int, lines int, hashes binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -80,8 +103,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def later_windows(found: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
-    """``doc_id, text_hash, start``: windows of run_lines lines that also occur at an earlier place.
+def later_windows(found: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, start, lines``: windows of so many lines that also occur at an earlier place.
 
     A place is (doc_id, line); null ids come last. Fingerprints that occur once leave first. The windows of the
     others are extended to both sides of their fingerprint, and the first holder of each window is a ``min``
@@ -89,28 +112,31 @@ def later_windows(found: DataFrame, run_lines: int = RUN_LINES) -> DataFrame:
     """
     often = found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
     places = found.join(often, "fingerprint", "left_semi")
-    at = F.explode(F.sequence(F.lit(0), (F.octet_length("hashes") / 16).cast("int") - run_lines))
-    windows = places.select("doc_id", "text_hash", "first", "hashes", at.alias("k")).select(
-        "doc_id", "text_hash", (F.col("first") + F.col("k")).alias("start"),
-        F.substring(F.col("hashes"), F.col("k") * 16 + 1, F.lit(16 * run_lines)).alias("lines"))
-    windows = stash(windows.select("doc_id", "text_hash", "start", F.unhex(F.md5("lines")).alias("window")), "line-windows")
+    at = F.explode(F.sequence(F.lit(0), (F.octet_length("hashes") / 16).cast("int") - F.col("lines")))
+    windows = places.select("doc_id", "text_hash", "first", "lines", "hashes", at.alias("k")).select(
+        "doc_id", "text_hash", (F.col("first") + F.col("k")).alias("start"), "lines",
+        F.substring(F.col("hashes"), F.col("k") * 16 + 1, F.col("lines") * 16).alias("bytes"))
+    windows = stash(windows.select("doc_id", "text_hash", "start", "lines", F.unhex(F.md5("bytes")).alias("window")), "line-windows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
     firsts = windows.groupBy("window").agg(F.min(place).alias("holder"), F.count("*").alias("n")).filter("n > 1")
-    return windows.join(firsts, "window").filter(place > F.col("holder")).select("doc_id", "text_hash", "start")
+    return windows.join(firsts, "window").filter(place > F.col("holder")).select("doc_id", "text_hash", "start", "lines")
 
 
-def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines: int = GRAM_LINES) -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines: int = GRAM_LINES,
+                         run_words: int | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_lines, n_removed, n_runs, text``.
 
     Lines are compared without white space at their ends; blank lines count in no run and stay, a trailing newline
     too. A line goes if it lies in a window of ``run_lines`` lines that also occurs earlier (smaller id, or further up
     in the same text), so runs are removed to their full length and the first copy stays; windows are judged on the
-    input. Ties of null ids are ordered by a hash of the text. Repeated rows (same id, same text) are one place: all
-    keep the same lines. A null text stays null with 0 lines. Extra columns are ignored; an empty table gives an
-    empty result.
+    input. With ``run_words`` fewer lines in a row are a window too if they have so many words together: a repeated
+    paragraph on one or two lines goes as well. Ties of null ids are ordered by a hash of the text. Repeated rows (same
+    id, same text) are one place: all keep the same lines. A null text stays null with 0 lines. Extra columns are
+    ignored; an empty table gives an empty result.
     """
-    later = later_windows(fingerprints(docs, run_lines, gram_lines), run_lines).distinct()
-    starts = later.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(F.collect_set("start").alias("starts"))
+    later = later_windows(fingerprints(docs, run_lines, gram_lines, run_words)).distinct()
+    starts = later.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(
+        F.collect_set(F.struct("start", "lines")).alias("starts"))
     rows = _keyed(docs).join(starts, F.col("doc_id").eqNullSafe(F.col("l_id")) & F.col("text_hash").eqNullSafe(F.col("l_hash")), "left") \
         .select("doc_id", "text", "starts")
 
@@ -122,7 +148,7 @@ def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines
                 for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     lines = (text or "").split("\n")
                     full = [i for i, line in enumerate(lines) if line.strip(_STRIP)]
-                    gone = {k for s in starts or () for k in range(s, s + run_lines)}
+                    gone = {k for s in starts or () for k in range(s["start"], s["start"] + s["lines"])}
                     removed = {full[k] for k in gone}
                     out[0].append(len(full))
                     out[1].append(len(gone))
@@ -139,6 +165,11 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_runs(read_table(spark, sf_dir, "documents"))
 
 
+def op6_line_runs_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run counts from three lines or from 50 words on."""
+    return remove_repeated_runs(read_table(spark, sf_dir, "documents"), run_words=RUN_WORDS)
+
+
 OP6_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, i, line, regexp_matches(line, '[^{SPACE}]') AS full_line,
@@ -161,3 +192,32 @@ SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (removed)
        coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '') AS text
 FROM marked GROUP BY doc_id
 """
+
+OP6_WORDS_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, i, line, regexp_matches(line, '[^{SPACE}]') AS full_line,
+         sum(CASE WHEN regexp_matches(line, '[^{SPACE}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), kept AS (
+  SELECT doc_id, k, md5(regexp_replace(regexp_replace(line, '^[{SPACE}]+', ''), '[{SPACE}]+$', '')) AS h,
+         len(regexp_extract_all(line, '[^{SPACE}]+')) AS n_words FROM lines WHERE full_line
+), stretches AS (
+  SELECT doc_id, k, h AS h1, n_words AS w1, h || lead(h, 1) OVER w AS h2, n_words + lead(n_words, 1) OVER w AS w2,
+         h || lead(h, 1) OVER w || lead(h, 2) OVER w AS h3 FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), windows AS (
+  SELECT doc_id, k, 1 AS n_lines, h1 AS win FROM stretches WHERE w1 >= {RUN_WORDS}
+  UNION ALL SELECT doc_id, k, 2, h2 FROM stretches WHERE w2 >= {RUN_WORDS}
+  UNION ALL SELECT doc_id, k, 3, h3 FROM stretches WHERE h3 IS NOT NULL
+), later AS (
+  SELECT doc_id, k, n_lines FROM (
+    SELECT doc_id, k, n_lines, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, k + d AS k FROM later, range(3) AS r(d) WHERE d < n_lines
+), marked AS (
+  SELECT l.*, g.k IS NOT NULL AS removed FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.k = g.k AND l.full_line
+)
+SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (removed) AS n_removed,
+       count(*) FILTER (removed AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = marked.doc_id AND g.k = marked.k - 1)) AS n_runs,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '') AS text
+FROM marked GROUP BY doc_id
+"""

@@ -12,6 +12,7 @@ ENTRIES = (
     ("pseudonyms", "op4_pseudonyms", None),
     ("line_crf", "op5_line_crf", None),
     ("line_runs", "op6_line_runs", "OP6_SQL"),
+    ("line_runs", "op6_line_runs_words", "OP6_WORDS_SQL"),
     ("url_filter", "op7_url_filter", "OP7_SQL"),
     ("near_dedup", "op8_near_duplicates", "OP8_SQL"),
     ("bpe", "op9_bpe", None),
