@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremorframe.constants import WINDOWS
 from tremorframe.models import calibration as cal
 from tremorframe.models import heads, tuning
 from tremorframe.models import quantiles as qf
@@ -93,12 +94,12 @@ def expanding_evaluation(spark, sf):
     return tuning.expanding_evaluation(ranked, windows, DATED_INPUTS, "true_mag", "true_days")
 
 
-def _training_table(spark, sf):
+def _training_table(spark, sf, with_rates=True):
     """Imputed features with window labels, in time order."""
     events = catalog(spark, sf)
     main = mainshocks(events)
     labelled = window_labels(main, events)
-    table = ft.derived_features(ft.sequence_features(main, events, with_rates=False))
+    table = ft.derived_features(ft.sequence_features(main, events, with_rates=with_rates))
     names = ft.feature_columns(table)
     full = imp.impute(table, names)
     joined = full.join(labelled.select("mainshock_id", *[c for c in labelled.columns if c.startswith(("target_", "has_"))]),
@@ -106,33 +107,40 @@ def _training_table(spark, sf):
     return fd.with_time_rank(durable(joined), "mainshock_time", "mainshock_id")
 
 
+def _window_heads(ranked, windows):
+    """Out-of-fold output of every head, both kinds, of each window; each window's table is written once for all folds."""
+    folds = fd.plan_folds(ranked)
+    out = None
+    for window in windows:
+        table, _ = heads.window_table(ranked, window)
+        part = durable(heads.oof_window(durable(table), window, folds))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def oof_buckets(spark, sf):
-    """Every head of window T2 out of fold: magnitude, bucket and direct time, extreme risk."""
-    ranked = _training_table(spark, sf)
-    table, _ = heads.window_table(ranked, "T2")
-    oof = heads.oof_window(table, "T2", fd.plan_folds(ranked, 2), kinds=("forest",))
-    return oof.select("mainshock_id", "window", "fold", "true_mag", "true_hours", "bucket", "mag_forest", "hours_forest",
-                      "hours_bucket", "extreme_prob")
+    """Every head of every window out of fold: magnitude, bucket and direct time, extreme risk."""
+    oof = _window_heads(_training_table(spark, sf), WINDOWS)
+    return oof.select("mainshock_id", "window", "fold", "true_mag", "true_hours", "bucket", "mag_boosted", "mag_forest",
+                      "hours_boosted", "hours_forest", "hours_bucket", "extreme_prob")
 
 
 def decoupled_predictions(spark, sf):
-    """Window prediction from the T1 heads: fusion, extreme adjustment, guarded bias, clamp."""
-    ranked = _training_table(spark, sf)
-    table, _ = heads.window_table(ranked, "T1")
-    oof = heads.oof_window(table, "T1", fd.plan_folds(ranked, 2), kinds=("forest",)).withColumn("main_mag", F.col("mainshock_mag"))
-    out = fu.decoupled_prediction(oof, {"forest": "mag_forest"}, "hours_bucket", "extreme_prob", {"forest": 1.0},
-                                  mag_bias={"T1": -0.1}, time_bias={"T1": -1.0}, t1_bonus=0.1)
+    """Prediction of every window from its heads: fusion, extreme adjustment, guarded bias, clamp."""
+    oof = _window_heads(_training_table(spark, sf), WINDOWS).withColumn("main_mag", F.col("mainshock_mag"))
+    out = fu.decoupled_prediction(oof, {"boosted": "mag_boosted", "forest": "mag_forest"}, "hours_bucket", "extreme_prob",
+                                  {"boosted": 0.5, "forest": 0.5}, mag_bias={"T1": -0.1}, time_bias={"T1": -1.0}, t1_bonus=0.1)
     return out.select("mainshock_id", "window", "main_mag", "true_mag", "true_hours", "pred_mag", "pred_hours")
 
 
 def single_horizon_predictions(spark, sf):
-    """168 h prediction from static features only."""
-    ranked = single_horizon_labels(_training_table(spark, sf))
-    table, _ = heads.window_table(ranked, "H168")
-    oof = heads.oof_window(table, "H168", fd.plan_folds(ranked, 2), kinds=("forest",)).withColumn("main_mag", F.col("mainshock_mag"))
+    """168 h prediction from static features only: no rates are fitted for it."""
+    ranked = single_horizon_labels(_training_table(spark, sf, with_rates=False))
+    oof = _window_heads(ranked, ("H168",)).withColumn("main_mag", F.col("mainshock_mag"))
     out = fu.single_horizon_prediction(
-        oof, {"forest": "mag_forest"}, {"bucket": "hours_bucket", "direct": "hours_forest"}, "extreme_prob",
-        {"forest": 1.0}, {"bucket": 0.6, "direct": 0.4})
+        oof, {"boosted": "mag_boosted", "forest": "mag_forest"},
+        {"bucket": "hours_bucket", "boosted": "hours_boosted", "forest": "hours_forest"}, "extreme_prob",
+        {"boosted": 0.5, "forest": 0.5}, {"bucket": 0.6, "boosted": 0.2, "forest": 0.2})
     return out.select("mainshock_id", "main_mag", "true_mag", "true_hours", "pred_mag", "pred_hours")
 
 
