@@ -17,8 +17,13 @@ from tremorframe.functions.windows import align_probabilities, finite, log_targe
 from tremorframe.operators.folds import Fold
 
 REGRESSORS: dict[str, Callable] = {"boosted": GBTRegressor, "forest": RandomForestRegressor}
-LIGHT = {"boosted": {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2, "seed": 42},
-         "forest": {"numTrees": 12, "maxDepth": 4, "seed": 42}}
+#: The reference's sizes (src/models.py); the forest has as many trees as there are rounds.
+SIZES = {"boosted": {"maxIter": 500, "maxDepth": 7, "stepSize": 0.02, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7",
+                     "minInstancesPerNode": 5, "seed": 42},
+         "forest": {"numTrees": 500, "maxDepth": 7, "seed": 42}}
+#: The gate and extreme classifier, and the time buckets.
+GATE_SIZE = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.03, "seed": 42}
+BUCKET_SIZE = {"numTrees": 500, "maxDepth": 6, "seed": 42}
 YEAR_DAYS = 366.0
 
 
@@ -42,7 +47,7 @@ def held(df: DataFrame):
 
 def regressor(kind: str, params: dict | None = None, label: str = "label", weight: str | None = None,
               prediction: str = "prediction"):
-    options = {**LIGHT[kind], **(params or {})}
+    options = {**SIZES[kind], **(params or {})}
     if weight:
         options["weightCol"] = weight
     return REGRESSORS[kind](featuresCol="features", labelCol=label, predictionCol=prediction, **options)
@@ -106,7 +111,7 @@ def fit_gate(train: DataFrame, label: str = "label", params: dict | None = None)
     if classes < 2:
         first = rows.select("label").first()
         return None, (float(first["label"]) if first else 0.0)
-    options = {"maxIter": 8, "maxDepth": 3, "seed": 42, **(params or {})}
+    options = {**GATE_SIZE, **(params or {})}
     with held(rows) as data:
         return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **options).fit(data), None
 
@@ -133,7 +138,7 @@ def oof_gate(ranked: DataFrame, folds: list[Fold], columns: list[str], label: st
 
 def fit_buckets(train: DataFrame, label: str = "bucket", params: dict | None = None):
     """Four-class time-bucket model (a forest: boosting is binary in Spark ML)."""
-    options = {"numTrees": 12, "maxDepth": 4, "seed": 42, **(params or {})}
+    options = {**BUCKET_SIZE, **(params or {})}
     rows = train.select("features", F.col(label).cast("double").alias("label"))
     with held(rows) as data:
         return RandomForestClassifier(featuresCol="features", labelCol="label", **options).fit(data)
@@ -163,9 +168,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def importances(train: DataFrame, columns: list[str], target: str, kind: str = "boosted") -> DataFrame:
+def importances(train: DataFrame, columns: list[str], target: str, kind: str = "boosted",
+                params: dict | None = None) -> DataFrame:
     """(feature, gain) rows of one model fit."""
-    model = fit_regressor(with_vector(train, columns), F.col(target), kind)
+    model = fit_regressor(with_vector(train, columns), F.col(target), kind, params)
     values = model.featureImportances.toArray()
     return train.sparkSession.createDataFrame(
         [(c, float(v)) for c, v in zip(columns, values)], "feature string, gain double")

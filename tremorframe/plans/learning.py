@@ -33,21 +33,21 @@ DATED_INPUTS = ["main_mag", "mag_a", "mag_c", "days_b", "day_of_year"]
 def oof_regression(spark, sf):
     """Out-of-fold predictions of boosted trees and a forest for both targets."""
     ranked = _dated(spark, sf)
-    folds = fd.plan_folds(ranked, 3)
+    folds = fd.plan_folds(ranked)
     return tr.oof_regression(ranked, folds, DATED_INPUTS, "true_mag", "true_days", keep=["id"])
 
 
 def oof_late_weighted(spark, sf):
-    """The same with the second pass that weighs late predictions, boosted trees only."""
+    """The same with the second pass that weighs late predictions."""
     ranked = _dated(spark, sf)
-    return tr.oof_regression(ranked, fd.plan_folds(ranked, 2), DATED_INPUTS, "true_mag", "true_days",
-                             kinds=("boosted",), keep=["id"], late_weight=2.0)
+    return tr.oof_regression(ranked, fd.plan_folds(ranked), DATED_INPUTS, "true_mag", "true_days",
+                             keep=["id"], late_weight=2.0)
 
 
 def gate_oof(spark, sf):
     """Gate probabilities out of fold, with the F2 threshold applied."""
     ranked = _dated(spark, sf).withColumn("label", (F.col("true_mag") >= 5.0).cast("int"))
-    oof = durable(tr.oof_gate(ranked, fd.plan_folds(ranked, 3, fd.PURGE_GATE), DATED_INPUTS, keep=["id", "mag_a", "days_b"]))
+    oof = durable(tr.oof_gate(ranked, fd.plan_folds(ranked, purge=fd.PURGE_GATE), DATED_INPUTS, keep=["id", "mag_a", "days_b"]))
     best = mt.threshold_search(oof, "label", "probability").filter("best").first()["threshold"]
     rows = oof.withColumns({"pred_mag": F.col("mag_a"), "pred_time": F.col("days_b")})
     return fu.gate(rows, best).select("id", "label", "probability", "pred_mag", "pred_time", "gated")
@@ -84,7 +84,7 @@ def feature_selection(spark, sf):
 
 def param_search(spark, sf):
     ranked = _dated(spark, sf)
-    return tuning.parameter_search(ranked, fd.plan_folds(ranked, 2), DATED_INPUTS, "true_mag", "main_mag", trials=3)
+    return tuning.parameter_search(ranked, fd.plan_folds(ranked), DATED_INPUTS, "true_mag", "main_mag")
 
 
 def expanding_evaluation(spark, sf):
@@ -200,8 +200,8 @@ def batch_inference(spark, sf):
 def holdout_evaluation(spark, sf):
     """Fit on the older part, predict the newest fifth, score with the combined objective."""
     train, test = fd.holdout_split(_holdout(spark, sf))
-    models = tuning.fit_models(train, INFERENCE_INPUTS, "true_max_mag", "true_time_to_max_days", kinds=("forest",))
-    out = tuning.batch_inference(models, test, "true_max_mag", {"forest": 1.0}, {"forest": 1.0})
+    models = tuning.fit_models(train, INFERENCE_INPUTS, "true_max_mag", "true_time_to_max_days")
+    out = tuning.batch_inference(models, test, "true_max_mag", {"boosted": 0.5, "forest": 0.5}, {"boosted": 0.5, "forest": 0.5})
     return tuning.holdout_scores(out)
 
 
