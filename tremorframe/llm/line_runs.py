@@ -107,7 +107,7 @@ def later_windows(found: DataFrame) -> DataFrame:
     """``doc_id, text_hash, start, lines``: windows of so many lines that also occur at an earlier place.
 
     A place is (doc_id, line); null ids come last. Fingerprints that occur once leave first. The windows of the
-    others are extended to both sides of their fingerprint, and the first holder of each window is a ``min``
+    others, on both sides of their fingerprint, are grouped, and the first holder of each window is a ``min``
     that combines on the map side: a passage in a third of all rows costs a row per task, and no pairs are made.
     """
     often = found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
