@@ -17,6 +17,7 @@ ENTRIES = (
     ("near_dedup", "op8_near_duplicates", "OP8_SQL"),
     ("bpe", "op9_bpe", None),
     ("mixing", "op10_mixture", "OP10_SQL"),
+    ("decontamination", "op11_decontamination", "OP11_SQL"),
 )
 
 QUERIES: dict = {}
