@@ -18,6 +18,7 @@ ENTRIES = (
     ("bpe", "op9_bpe", None),
     ("mixing", "op10_mixture", "OP10_SQL"),
     ("decontamination", "op11_decontamination", "OP11_SQL"),
+    ("whitening", "op12_whitening", None),
 )
 
 QUERIES: dict = {}
