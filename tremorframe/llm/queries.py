@@ -19,6 +19,7 @@ ENTRIES = (
     ("mixing", "op10_mixture", "OP10_SQL"),
     ("decontamination", "op11_decontamination", "OP11_SQL"),
     ("whitening", "op12_whitening", None),
+    ("conversations", "op13_conversations", None),
 )
 
 QUERIES: dict = {}
