@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tremorframe.models import training, tuning
+from tremorframe.models import calibration, training, tuning
 from tremorframe.operators import folds
 from tremorframe.plans import learning
 
-SMALL = {"boosted": {"maxIter": 2, "maxDepth": 2}, "forest": {"numTrees": 3, "maxDepth": 2}}
+SMALL = {"boosted": {"rounds": 2, "depth": 2}, "forest": {"rounds": 3, "depth": 2}}
 
 
 @pytest.fixture(scope="module")
@@ -16,16 +16,17 @@ def ranked(spark):
     return folds.with_time_rank(df.withColumns({"mag": F.col("x") + 4.0, "days": F.col("x") + 1.0}), "time", "id").cache()
 
 
-def test_defaults_are_the_full_sizes(spark):
-    assert training.regressor("boosted").getMaxIter() == 500 and training.regressor("forest").getNumTrees() == 500
-    assert training.GATE_SIZE["maxIter"] == 300 and training.BUCKET_SIZE["numTrees"] == 500
-    assert min(tuning.SPACE["maxIter"]) == 200
+def test_defaults_are_the_full_sizes():
+    assert training.SIZES["boosted"].rounds == training.SIZES["forest"].rounds == 500 and training.SIZES["boosted"].depth == 7
+    assert training.GATE_SIZE.rounds == 300 and training.BUCKET_SIZE.rounds == 500
+    assert calibration.CALIBRATOR_SIZE.rounds == 100 and calibration.RESIDUAL_SIZE.rounds == 150
+    assert min(tuning.SPACE["rounds"]) == 200
 
 
 def test_params_reach_the_fits(ranked):
     models = tuning.fit_models(ranked, ["x"], "mag", "days", params=SMALL)
-    assert [m.stages[-1].getNumTrees for m in models["boosted"] + models["forest"]] == [2, 2, 3, 3]
-    assert training.importances(ranked, ["x"], "mag", params=SMALL["boosted"]).first().gain > 0
+    assert [len(m.stages[-1].trees().feature) for m in models["boosted"] + models["forest"]] == [2, 2, 3, 3]
+    assert training.importances(ranked, ["x"], "mag", "id", params=SMALL["boosted"]).first().gain > 0
     found = tuning.expanding_evaluation(ranked, [(1, 40, 60)], ["x"], "mag", "days", params=SMALL)
     assert {r.window for r in found.collect()} == {0, 1}
 

@@ -16,7 +16,7 @@ def calls(monkeypatch):
     """heads.oof_window without its fits: the validation rows of each fold with constant predictions."""
     made = []
 
-    def oof_window(table, window, folds, kinds=("boosted", "forest"), params=None):
+    def oof_window(table, window, folds, width, kinds=("boosted", "forest"), params=None):
         made.append((window, len(folds), tuple(kinds)))
         out = None
         for fold in folds:

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.constants import WINDOWS
+from tremorframe.models.boosting import Fit, fit_all, models_of, scores_by_key
 from tremorframe.models.training import held
+from tremorframe.models.trees import Size
 from tremorframe.operators.folds import hash_fold
 from tremorframe.operators.imputation import apply_preprocessor, fit_preprocessor
 from tremorframe.operators.metrics import rmse
+from tremorframe.operators.ranking import global_row_number
 
 # Residual limits (low, high, high for M >= 8) per candidate.
 LIMITS = {"conservative": (-0.2, 0.4, 0.5), "balanced": (-0.3, 0.6, 0.8), "aggressive": (-0.4, 0.8, 1.0)}
 CALIBRATORS = ("ridge", "huber", "isotonic", "boosted")
+#: The reference's sizes of the boosted calibrator and of the residual model.
+CALIBRATOR_SIZE = Size(rounds=100, depth=2, rate=0.1, row_share=1.0, column_share=1.0, l1=0.0, l2=0.0, gain=0.0, least=1.0)
+RESIDUAL_SIZE = Size(rounds=150, depth=3, rate=0.05, row_share=0.8, column_share=1.0, l1=0.0, l2=1.0, gain=0.0)
 
 
 def calibration_table(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -34,8 +40,11 @@ def limited(residual: Column, main_mag: Column, limits: tuple[float, float, floa
     return F.least(F.greatest(residual, F.lit(low)), most)
 
 
-def fit_calibrator(train: DataFrame, kind: str, columns: list[str]):
-    """A function that adds ``residual_pred`` to a table. Scaling is fitted on ``train`` only."""
+def fit_calibrator(train: DataFrame, kind: str, columns: list[str], key: str = "row_index"):
+    """A function that adds ``residual_pred`` to a table. Scaling is fitted on ``train`` only; trees need none."""
+    if kind == "boosted":
+        fits = [Fit("residual_pred", F.lit(True), F.col("residual"), size=CALIBRATOR_SIZE)]
+        return models_of(fit_all(train, key, columns, fits, keep=True), fits, columns)["residual_pred"].transform
     if kind == "isotonic":
         with held(train.select(F.col("pred_mag").alias("x"), F.col("residual").alias("label"))) as data:
             model = IsotonicRegression(featuresCol="x", labelCol="label").fit(data)
@@ -57,10 +66,8 @@ def fit_calibrator(train: DataFrame, kind: str, columns: list[str]):
     with held(vectors(train).select("features", F.col("residual").alias("label"))) as data:
         if kind == "ridge":
             model = LinearRegression(regParam=1.0 / max(data.count(), 1), elasticNetParam=0.0, standardization=False).fit(data)
-        elif kind == "huber":
-            model = LinearRegression(loss="huber", epsilon=1.35, maxIter=200).fit(data)
         else:
-            model = GBTRegressor(maxDepth=2, maxIter=20, seed=42).fit(data)
+            model = LinearRegression(loss="huber", epsilon=1.35, maxIter=200).fit(data)
 
     def predict(df: DataFrame) -> DataFrame:
         return model.transform(vectors(df)).withColumnRenamed("prediction", "residual_pred").drop("features")
@@ -83,15 +90,11 @@ def compare_calibrators(train: DataFrame, held_out: DataFrame, columns: list[str
 
 
 def oof_residual(df: DataFrame, key: str, residual: str, columns: list[str], folds: int = 5,
-                 clip: float | None = None) -> DataFrame:
+                 clip: float | None = None, params: dict | None = None) -> DataFrame:
     """Out-of-fold boosted prediction of a residual over hash folds (stable for a key); ``clip`` bounds the target if given."""
     bounded = F.col(residual) if clip is None else F.least(F.greatest(F.col(residual), F.lit(-clip)), F.lit(clip))
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(
-        df.withColumns({"label": bounded, "_fold": hash_fold(key, folds)}))
-    out = None
-    for fold in range(folds):
-        with held(vectors.filter(F.col("_fold") != fold).select("features", "label")) as data:
-            model = GBTRegressor(maxDepth=3, maxIter=8, seed=42 + fold).fit(data)
-        part = model.transform(vectors.filter(F.col("_fold") == fold)).withColumnRenamed("prediction", "residual_pred")
-        out = part if out is None else out.unionByName(part)
-    return out.drop("features", "label", "_fold")
+    rows = global_row_number(df.withColumn("_fold", hash_fold(key, folds)), [F.col(key)])
+    fits = [Fit("residual_pred", F.col("_fold") != fold, bounded, F.col("_fold") == fold, size=RESIDUAL_SIZE.with_({"seed": 42 + fold} | (params or {})))
+            for fold in range(folds)]
+    scores = scores_by_key(fit_all(rows, "row_index", columns, fits), fits, "row_index")
+    return rows.join(scores, "row_index").drop("_fold", "row_index")

@@ -7,24 +7,23 @@ from pyspark.sql import functions as F
 
 from tremorframe.constants import WINDOW_BOUNDS
 from tremorframe.functions.windows import expected_hours, log_target, time_bucket, unlog_target
-from tremorframe.models.training import (
-    bucket_probabilities, fit_buckets, fit_gate, fit_regressor, positive_probability, with_vector,
-)
+from tremorframe.models.boosting import clean, fit_all, scores_by_key
+from tremorframe.models.training import buckets, gates, regression
 from tremorframe.operators.features import feature_columns, legal_features
-from tremorframe.operators.folds import Fold
+from tremorframe.operators.folds import Fold, assign_fold
 from tremorframe.operators.fusion import null_mean
 from tremorframe.operators.labels import extreme_flag
 
 
 def window_table(ranked: DataFrame, window: str, margin: float = 1.2) -> tuple[DataFrame, list[str]]:
-    """Legal feature vectors with the targets of one window."""
+    """Legal feature arrays with the targets of one window."""
     legal = legal_features(ranked, window)
     columns = feature_columns(legal) + [c for c in legal.columns if c.startswith(("obs_", "count_obs", "energy_obs"))]
     columns = list(dict.fromkeys(columns))
     mag, hours = f"target_{window}_max_mag", f"target_{window}_time_to_max_hours"
     base = legal.join(ranked.select("mainshock_id", "row_index", "time_us", *(
         [mag, hours] if mag not in legal.columns else [])), "mainshock_id")
-    table = with_vector(base, columns).select(
+    table = base.withColumn("features", clean(columns)).select(
         "mainshock_id", "row_index", "time_us", "mainshock_mag", "features",
         F.col(mag).alias("true_mag"), F.col(hours).alias("true_hours"))
     return table.withColumns({
@@ -33,29 +32,26 @@ def window_table(ranked: DataFrame, window: str, margin: float = 1.2) -> tuple[D
     }), columns
 
 
-def oof_window(table: DataFrame, window: str, folds: list[Fold], kinds=("boosted", "forest"),
+def oof_window(table: DataFrame, window: str, folds: list[Fold], width: int, kinds=("boosted", "forest"),
                params: dict[str, dict] | None = None) -> DataFrame:
-    """Out-of-fold output of every head of one window."""
+    """Out-of-fold output of every head of one window: all folds and heads are fitted in one job. ``width`` is the number of features."""
     params = params or {}
     low, high = WINDOW_BOUNDS[window]
-    out = None
+    fits = []
     for fold in folds:
-        train, valid = fold.train(table), fold.valid(table)
+        at = fold.trains(), fold.validates()
         for kind in kinds:
-            model = fit_regressor(train, F.col("true_mag"), kind, params.get(kind))
-            valid = model.transform(valid).withColumn(
-                f"mag_{kind}", F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction")
-            direct = fit_regressor(train, log_target(F.col("true_hours")), kind, params.get(kind))
-            hours = F.least(F.greatest(unlog_target(F.col("prediction")), F.lit(low + 1e-6)), F.lit(high))
-            valid = direct.transform(valid).withColumn(f"hours_{kind}", hours).drop("prediction")
-        valid = bucket_probabilities(fit_buckets(train, params=params.get("buckets")), valid)
-        valid = valid.withColumn("hours_bucket", expected_hours(F.lit(window), F.col("bucket_probs")))
-        model, constant = fit_gate(train, "extreme", params.get("extreme"))
-        part = positive_probability(model, constant, valid, "extreme_prob").drop("features").withColumns({
-            "window": F.lit(window), "fold": F.lit(fold.fold),
-            "mag_mean": null_mean([F.col(f"mag_{k}") for k in kinds])})
-        out = part if out is None else out.unionByName(part)
-    return out
+            fits.append(regression(f"_mag_{kind}", kind, at[0], F.col("true_mag"), at[1], params.get(kind)))
+            fits.append(regression(f"_hours_{kind}", kind, at[0], log_target(F.col("true_hours")), at[1], params.get(kind)))
+        fits.append(buckets("bucket_probs", at[0], "bucket", at[1], params.get("buckets")))
+    fits += gates(table, {f"f{f.fold}": (f.trains(), f.validates()) for f in folds}, "extreme", "extreme_prob", params.get("extreme"))
+    scores = scores_by_key(fit_all(table, "row_index", [f"f{k}" for k in range(width)], fits, features="features"), fits, "row_index")
+    mags = {f"mag_{k}": F.greatest(F.col(f"_mag_{k}"), F.lit(0.0)) for k in kinds}
+    hours = {f"hours_{k}": F.least(F.greatest(unlog_target(F.col(f"_hours_{k}")), F.lit(low + 1e-6)), F.lit(high)) for k in kinds}
+    out = assign_fold(table, folds).join(scores, "row_index").withColumns({**mags, **hours, "window": F.lit(window)})
+    return out.withColumns({
+        "hours_bucket": expected_hours(F.lit(window), F.col("bucket_probs")),
+        "mag_mean": null_mean([F.col(m) for m in mags])}).drop("features", *[f"_mag_{k}" for k in kinds], *[f"_hours_{k}" for k in kinds])
 
 
 def oof_bucket_accuracy(oof: DataFrame) -> DataFrame:

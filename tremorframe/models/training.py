@@ -1,40 +1,26 @@
-"""Tree regressors and classifiers on purged time folds."""
+"""Tree regressors and classifiers on purged time folds: all folds, kinds and targets of a call are one job."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorframe.functions.windows import align_probabilities, finite, log_target, unlog_target
-from tremorframe.operators.folds import Fold
+from tremorframe.functions.windows import log_target, unlog_target
+from tremorframe.models.boosting import Fit, fit_all, models_of, scores_by_key
+from tremorframe.models.trees import Size
+from tremorframe.operators.folds import Fold, assign_fold
 
-REGRESSORS: dict[str, Callable] = {"boosted": GBTRegressor, "forest": RandomForestRegressor}
-#: The reference's sizes (src/models.py); the forest has as many trees as there are rounds.
-SIZES = {"boosted": {"maxIter": 500, "maxDepth": 7, "stepSize": 0.02, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7",
-                     "minInstancesPerNode": 5, "seed": 42},
-         "forest": {"numTrees": 500, "maxDepth": 7, "seed": 42}}
+#: The reference's sizes; the forest has as many trees as there are rounds.
+SIZES = {"boosted": Size(), "forest": Size(bagged=True, row_share=1.0, column_share=1.0, node_columns=1 / 3, least=1.0)}
 #: The gate and extreme classifier, and the time buckets.
-GATE_SIZE = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.03, "seed": 42}
-BUCKET_SIZE = {"numTrees": 500, "maxDepth": 6, "seed": 42}
+GATE_SIZE = Size(rounds=300, depth=6, rate=0.03)
+BUCKET_SIZE = Size(rounds=500, depth=6, rate=0.03)
 YEAR_DAYS = 366.0
 
 
-def with_vector(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:
-    """Feature vector; anything missing or not finite counts as zero (impute first)."""
-    clean = df.withColumns({
-        f"_f{i}": F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)) for i, c in enumerate(columns)})
-    names = [f"_f{i}" for i in range(len(columns))]
-    return VectorAssembler(inputCols=names, outputCol=output).transform(clean).drop(*names)
-
-
 @contextmanager
 def held(df: DataFrame):
     """Keep a training table while a model reads it repeatedly."""
@@ -45,119 +31,67 @@ def held(df: DataFrame):
         df.unpersist()
 
 
-def regressor(kind: str, params: dict | None = None, label: str = "label", weight: str | None = None,
-              prediction: str = "prediction"):
-    options = {**SIZES[kind], **(params or {})}
-    if weight:
-        options["weightCol"] = weight
-    return REGRESSORS[kind](featuresCol="features", labelCol=label, predictionCol=prediction, **options)
-
-
-def fit_regressor(train: DataFrame, target: Column, kind: str, params: dict | None = None,
-                  late_weight: float | None = None, unlog: bool = False):
-    """Fit on a transformed target. With ``late_weight`` a second pass weighs the rows that the
-    first pass predicts too late."""
-    rows = train.withColumn("label", target).filter(finite(F.col("label")).isNotNull())
-    with held(rows.select("features", "label")) as data:
-        model = regressor(kind, params).fit(data)
-        if late_weight is None:
-            return model
-        weighted = model.transform(data).withColumn(
-            "weight", F.when(F.col("prediction") > F.col("label"), F.lit(late_weight)).otherwise(1.0)
-        ).drop("prediction")
-        return regressor(kind, params, weight="weight").fit(weighted)
+def regression(name: str, kind: str, train: Column, label: Column, score: Column | None = None, params: dict | None = None,
+               late_weight: float | None = None) -> Fit:
+    """A regressor of one kind. With ``late_weight`` boosting weighs errors of late predictions inside every round (label on the
+    log scale); a forest has no such objective."""
+    late = late_weight is not None and kind == "boosted"
+    return Fit(name, train, label, score, objective="late" if late else "squared", size=SIZES[kind].with_(params), late_weight=late_weight or 2.0)
 
 
 def oof_regression(ranked: DataFrame, folds: list[Fold], columns: list[str], mag: str, time: str,
                    kinds: tuple[str, ...] = ("boosted", "forest"), params: dict[str, dict] | None = None,
                    keep: list[str] = (), late_weight: float | None = None,
                    time_cap: float = YEAR_DAYS) -> DataFrame:
-    """Out-of-fold predictions of both targets: time is learned as log1p, results are floored at 0.
-
-    Each fold fits on its purged training rows and transforms its validation rows; the folds
-    are a union of lazy results.
-    """
+    """Out-of-fold predictions of both targets: time is learned as log1p, results are floored at 0."""
     params = params or {}
-    vectors = with_vector(ranked, columns)
-    out = None
-    for fold in folds:
-        train, valid = fold.train(vectors), fold.valid(vectors)
-        for kind in kinds:
-            mag_model = fit_regressor(train, F.col(mag), kind, params.get(kind))
-            time_model = fit_regressor(train, log_target(F.col(time)), kind, params.get(kind), late_weight)
-            valid = mag_model.transform(valid).withColumn(
-                f"{kind}_pred_mag", F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction")
-            days = F.least(F.greatest(unlog_target(F.col("prediction")), F.lit(0.0)), F.lit(time_cap))
-            valid = time_model.transform(valid).withColumn(f"{kind}_pred_time", days).drop("prediction")
-        names = [f"{k}_pred_{t}" for k in kinds for t in ("mag", "time")]
-        part = valid.select(*keep, mag, time, F.lit(fold.fold).alias("fold"), *names)
-        out = part if out is None else out.unionByName(part)
+    fits = [regression(f"{kind}_{target}", kind, fold.trains(), label, fold.validates(), params.get(kind), weight)
+            for fold in folds for kind in kinds
+            for target, label, weight in (("mag", F.col(mag), None), ("time", log_target(F.col(time)), late_weight))]
+    scores = scores_by_key(fit_all(ranked, "row_index", columns, fits), fits, "row_index")
+    out = {}
+    for kind in kinds:
+        out[f"{kind}_pred_mag"] = F.greatest(F.col(f"{kind}_mag"), F.lit(0.0))
+        out[f"{kind}_pred_time"] = F.least(F.greatest(unlog_target(F.col(f"{kind}_time")), F.lit(0.0)), F.lit(time_cap))
+    return assign_fold(ranked, folds).join(scores, "row_index").withColumns(out).select(*keep, mag, time, "fold", *out)
+
+
+def balance(df: DataFrame, groups: dict[str, Column], label: str) -> dict[str, Column]:
+    """Balanced weights n / (classes * count) for each group of rows, a condition each: a count per group and class."""
+    counts = df.agg(*[F.count_if(where & (F.col(label) == k)).alias(f"{name}_{k}") for name, where in groups.items() for k in (0, 1)]).first()
+    out = {}
+    for name in groups:
+        none, some = counts[f"{name}_0"], counts[f"{name}_1"]
+        classes = (none > 0) + (some > 0)
+        out[name] = F.when(F.col(label) == 1, F.lit((none + some) / max(classes * some, 1))).otherwise(F.lit((none + some) / max(classes * none, 1)))
     return out
 
 
-def class_weights(df: DataFrame, label: str = "label") -> tuple[DataFrame, int]:
-    """Balanced weights n / (classes * count) and the number of classes present."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    total = sum(counts.values())
-    weight = F.lit(1.0)
-    for value, n in counts.items():
-        weight = F.when(F.col(label) == value, F.lit(total / (len(counts) * n))).otherwise(weight)
-    return df.withColumn("weight", weight), len(counts)
-
-
-def fit_gate(train: DataFrame, label: str = "label", params: dict | None = None):
-    """Balanced binary model; None with the constant when only one class is present."""
-    rows, classes = class_weights(train.select("features", F.col(label).cast("double").alias("label")))
-    if classes < 2:
-        first = rows.select("label").first()
-        return None, (float(first["label"]) if first else 0.0)
-    options = {**GATE_SIZE, **(params or {})}
-    with held(rows) as data:
-        return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **options).fit(data), None
-
-
-def positive_probability(model, constant: float | None, df: DataFrame, name: str = "probability") -> DataFrame:
-    """P(class 1); a single-class fit gives its constant."""
-    if model is None:
-        return df.withColumn(name, F.lit(constant))
-    return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop(
-        "rawPrediction", "prediction", *(["probability"] if name != "probability" else []))
+def gates(df: DataFrame, groups: dict[str, tuple[Column, Column]], label: str, name: str, params: dict | None = None) -> list[Fit]:
+    """Balanced binary models, one for each group (rows that train, rows that are scored); all rows of one class give its constant."""
+    weights = balance(df, {k: train for k, (train, _) in groups.items()}, label)
+    return [Fit(name, train, F.col(label), score, weights[k], "logistic", GATE_SIZE.with_(params)) for k, (train, score) in groups.items()]
 
 
 def oof_gate(ranked: DataFrame, folds: list[Fold], columns: list[str], label: str = "label",
              keep: list[str] = (), params: dict | None = None) -> DataFrame:
-    vectors = with_vector(ranked, columns)
-    out = None
-    for fold in folds:
-        model, constant = fit_gate(fold.train(vectors), label, params)
-        part = positive_probability(model, constant, fold.valid(vectors)).select(
-            *keep, label, "probability", F.lit(fold.fold).alias("fold"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def fit_buckets(train: DataFrame, label: str = "bucket", params: dict | None = None):
-    """Four-class time-bucket model (a forest: boosting is binary in Spark ML)."""
-    options = {**BUCKET_SIZE, **(params or {})}
-    rows = train.select("features", F.col(label).cast("double").alias("label"))
-    with held(rows) as data:
-        return RandomForestClassifier(featuresCol="features", labelCol="label", **options).fit(data)
+    """``probability`` of class 1 out of fold."""
+    fits = gates(ranked, {f"f{f.fold}": (f.trains(), f.validates()) for f in folds}, label, "probability", params)
+    scores = scores_by_key(fit_all(ranked, "row_index", columns, fits), fits, "row_index")
+    return assign_fold(ranked, folds).join(scores, "row_index").select(*keep, label, "probability", "fold")
 
 
-def bucket_probabilities(model, df: DataFrame, name: str = "bucket_probs") -> DataFrame:
-    """Aligned four-bucket probabilities; classes the fold never saw get none."""
-    labels = F.array(*[F.lit(i) for i in range(model.numClasses)])
-    out = model.transform(df).withColumn(name, align_probabilities(vector_to_array("probability"), labels))
-    return out.drop("rawPrediction", "probability", "prediction")
+def buckets(name: str, train: Column, label: str, score: Column | None = None, params: dict | None = None) -> Fit:
+    """Four-class time buckets; a class that no training row has gets no probability."""
+    return Fit(name, train, F.col(label), score, objective="classes", size=BUCKET_SIZE.with_(params), classes=4)
 
 
-def fit_pipeline(df: DataFrame, columns: list[str], target: str, kind: str = "boosted",
-                 params: dict | None = None) -> PipelineModel:
-    """Final fit on all rows as one saveable pipeline. Feed it an imputed table."""
-    stages = [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip"),
-              regressor(kind, params, label=target, prediction=f"{kind}_{target}")]
-    with held(df.select(*columns, target).dropna()) as data:
-        return Pipeline(stages=stages).fit(data)
+def fit_pipelines(df: DataFrame, columns: list[str], targets: dict[str, tuple[str, Column]], key: str,
+                  params: dict[str, dict] | None = None) -> dict[str, PipelineModel]:
+    """Final models on all rows, fitted together: ``{output: (kind, label)}`` to saveable pipelines. Feed it an imputed table."""
+    fits = [regression(name, kind, F.lit(True), label, params=(params or {}).get(kind)) for name, (kind, label) in targets.items()]
+    found = models_of(fit_all(df, key, columns, fits, keep=True), fits, columns)
+    return {name: PipelineModel([found[name]]) for name in targets}
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -168,10 +102,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def importances(train: DataFrame, columns: list[str], target: str, kind: str = "boosted",
+def importances(train: DataFrame, columns: list[str], target: str, key: str, kind: str = "boosted",
                 params: dict | None = None) -> DataFrame:
-    """(feature, gain) rows of one model fit."""
-    model = fit_regressor(with_vector(train, columns), F.col(target), kind, params)
-    values = model.featureImportances.toArray()
-    return train.sparkSession.createDataFrame(
-        [(c, float(v)) for c, v in zip(columns, values)], "feature string, gain double")
+    """(feature, gain) rows of one model fit: shares of the summed gain."""
+    fits = [regression(target, kind, F.lit(True), F.col(target), params=params)]
+    gains = models_of(fit_all(train, key, columns, fits, keep=True), fits, columns)[target].trees().gains
+    total = float(gains.sum()) or 1.0
+    return train.sparkSession.createDataFrame([(c, float(v) / total) for c, v in zip(columns, gains)], "feature string, gain double")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.operators.ranking import global_row_number
@@ -31,12 +31,19 @@ class Fold:
     train_rows: int = 0
     purge_days: float | None = None
 
+    def trains(self) -> Column:
+        """Whether a row of the ranked table trains."""
+        before = F.col("row_index") < self.train_end
+        return before if self.cutoff_us is None else before & (F.col("time_us") <= self.cutoff_us)
+
+    def validates(self) -> Column:
+        return (F.col("row_index") >= self.train_end) & (F.col("row_index") < self.valid_end)
+
     def train(self, ranked: DataFrame) -> DataFrame:
-        rows = ranked.filter(F.col("row_index") < self.train_end)
-        return rows if self.cutoff_us is None else rows.filter(F.col("time_us") <= self.cutoff_us)
+        return ranked.filter(self.trains())
 
     def valid(self, ranked: DataFrame) -> DataFrame:
-        return ranked.filter((F.col("row_index") >= self.train_end) & (F.col("row_index") < self.valid_end))
+        return ranked.filter(self.validates())
 
 
 # Fixed values: (days, least rows, least share of the fold) in the order they are tried.
@@ -109,10 +116,15 @@ def expanding_windows(n: int, min_train: int, stride: int, least: int = 10) -> l
     return [(i + 1, end, end + stride) for i, end in enumerate(range(min_train, n - stride + 1, stride))]
 
 
+def holdout_start(ranked: DataFrame, share: float = 0.2, n: int | None = None) -> int:
+    """Position of the first row of the holdout."""
+    n = ranked.count() if n is None else n
+    return n - max(1, int(n * share))
+
+
 def holdout_split(ranked: DataFrame, share: float = 0.2, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Everything but the last ``share`` of the rows, and those rows (at least one)."""
-    n = ranked.count() if n is None else n
-    cut = n - max(1, int(n * share))
+    cut = holdout_start(ranked, share, n)
     return ranked.filter(F.col("row_index") < cut), ranked.filter(F.col("row_index") >= cut)
 
 

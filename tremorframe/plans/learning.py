@@ -1,4 +1,4 @@
-"""Queries: Spark ML on time folds. Row counts grow with the catalog; values have no SQL twin."""
+"""Queries: models on time folds. Row counts grow with the catalog; fitted values have no SQL twin."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from tremorframe.models import calibration as cal
 from tremorframe.models import heads, tuning
 from tremorframe.models import quantiles as qf
 from tremorframe.models import training as tr
+from tremorframe.models.boosting import fit_all, scores_by_key
 from tremorframe.models.selection import keep_by_gain
 from tremorframe.operators import features as ft
 from tremorframe.operators import folds as fd
@@ -16,6 +17,7 @@ from tremorframe.operators import fusion as fu
 from tremorframe.operators import imputation as imp
 from tremorframe.operators import metrics as mt
 from tremorframe.operators import rules as ru
+from tremorframe.operators.ranking import global_row_number
 from tremorframe.operators.labels import long_windows, single_horizon_labels, window_labels
 from tremorframe.operators.sequences import holdout_truth, mainshocks
 from tremorframe.plans.inputs import PREDICTIONS_SQL, catalog, dated_rows, predictions
@@ -55,8 +57,9 @@ def gate_oof(spark, sf):
 
 def quantile_forest(spark, sf):
     """Five quantiles of the target time for the newest fifth of the rows."""
-    train, test = fd.holdout_split(tr.with_vector(_dated(spark, sf), DATED_INPUTS))
-    return qf.quantile_forest(train, test, "true_days", "id")
+    ranked = _dated(spark, sf)
+    cut = fd.holdout_start(ranked)
+    return qf.quantile_forest(ranked, DATED_INPUTS, F.col("row_index") < cut, F.col("row_index") >= cut, "true_days", "id")
 
 
 def residual_calibration(spark, sf):
@@ -78,7 +81,7 @@ def residual_model(spark, sf):
 
 
 def feature_selection(spark, sf):
-    gains = tr.importances(_dated(spark, sf), DATED_INPUTS, "true_mag")
+    gains = tr.importances(_dated(spark, sf), DATED_INPUTS, "true_mag", "row_index")
     return keep_by_gain(gains, least=2)
 
 
@@ -112,8 +115,8 @@ def _window_heads(ranked, windows):
     folds = fd.plan_folds(ranked)
     out = None
     for window in windows:
-        table, _ = heads.window_table(ranked, window)
-        part = durable(heads.oof_window(durable(table), window, folds))
+        table, columns = heads.window_table(ranked, window)
+        part = heads.oof_window(durable(table), window, folds, len(columns))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -164,14 +167,12 @@ def extreme_risk_floor(spark, sf):
     rows = long_windows(window_labels(main, events), ["mainshock_id", "mainshock_mag", "mainshock_depth"])
     rows = rows.withColumns({"main_mag": F.col("mainshock_mag"), "pred_mag": F.col("mainshock_mag") - 1.5,
                              "label": (F.col("true_mag") >= F.col("mainshock_mag") - 2.0).cast("int"),
-                             "_fold": fd.hash_fold("mainshock_id", 2)})
-    vectors = tr.with_vector(durable(rows), ["mainshock_mag", "mainshock_depth"])
-    oof = None
-    for fold in range(2):
-        model, constant = tr.fit_gate(vectors.filter(F.col("_fold") != fold))
-        part = tr.positive_probability(model, constant, vectors.filter(F.col("_fold") == fold)).drop("features")
-        oof = part if oof is None else oof.unionByName(part)
-    oof = durable(oof)
+                             "_fold": fd.hash_fold("mainshock_id", 5)})
+    rows = durable(global_row_number(rows, [F.col("mainshock_id"), F.col("window")]))
+    folds = {f"f{k}": (F.col("_fold") != k, F.col("_fold") == k) for k in range(5)}
+    fits = tr.gates(rows, folds, "label", "probability")
+    scores = scores_by_key(fit_all(rows, "row_index", ["mainshock_mag", "mainshock_depth"], fits), fits, "row_index")
+    oof = durable(rows.join(scores, "row_index"))
     found = ru.extreme_floor_search(oof, ["window"])
     best = found.groupBy("window").agg(F.min_by(F.struct("threshold", "margin"), F.struct("mae", "threshold", "margin")).alias("b"))
     fixed = ru.apply_extreme_floor(F.col("pred_mag"), F.col("main_mag"), F.col("probability"), F.col("b.threshold"), F.col("b.margin"))
@@ -189,20 +190,33 @@ def _holdout(spark, sf):
     return fd.with_time_rank(durable(joined), "mainshock_time", "mainshock_id")
 
 
+def _searched(ranked):
+    """Weights of the two kinds for each target, from out-of-fold predictions of the given rows."""
+    oof = durable(tr.oof_regression(ranked, fd.plan_folds(ranked), INFERENCE_INPUTS, "true_max_mag", "true_time_to_max_days"))
+    return [{k: found[f"{k}_pred_{t}"] for k in ("boosted", "forest")} for t, found in (
+        ("mag", fu.fit_weights(oof, "true_max_mag", ["boosted_pred_mag", "forest_pred_mag"])),
+        ("time", fu.fit_weights(oof, "true_time_to_max_days", ["boosted_pred_time", "forest_pred_time"])))]
+
+
 def batch_inference(spark, sf):
-    """Both final models over all sequences in one transform, fused, with agreement."""
+    """Both final models over all sequences in one transform, fused by weights searched out of fold, with agreement."""
     ranked = _holdout(spark, sf)
+    mag_weights, time_weights = _searched(ranked)
     models = tuning.fit_models(ranked, INFERENCE_INPUTS, "true_max_mag", "true_time_to_max_days")
-    out = tuning.batch_inference(models, ranked, "true_max_mag", {"boosted": 0.6, "forest": 0.4}, {"boosted": 0.5, "forest": 0.5})
-    return out.select("mainshock_id", "boosted_pred_mag", "forest_pred_mag", "pred_mag", "pred_time", "mag_std", "mag_range", "time_std")
+    out = tuning.batch_inference(models, ranked, mag_weights, time_weights)
+    return out.select("mainshock_id", "boosted_pred_mag", "forest_pred_mag", "boosted_pred_time", "forest_pred_time", "pred_mag", "pred_time",
+                      "mag_std", "mag_range", "time_std", F.lit(mag_weights["boosted"]).alias("mag_weight_boosted"),
+                      F.lit(time_weights["boosted"]).alias("time_weight_boosted"))
 
 
 def holdout_evaluation(spark, sf):
-    """Fit on the older part, predict the newest fifth, score with the combined objective."""
+    """Weights searched out of fold on the older part, models fitted on it, the newest fifth scored with the combined objective."""
     train, test = fd.holdout_split(_holdout(spark, sf))
+    mag_weights, time_weights = _searched(train)
     models = tuning.fit_models(train, INFERENCE_INPUTS, "true_max_mag", "true_time_to_max_days")
-    out = tuning.batch_inference(models, test, "true_max_mag", {"boosted": 0.5, "forest": 0.5}, {"boosted": 0.5, "forest": 0.5})
-    return tuning.holdout_scores(out)
+    out = tuning.batch_inference(models, test, mag_weights, time_weights)
+    return tuning.holdout_scores(out).withColumns({
+        "mag_weight_boosted": F.lit(mag_weights["boosted"]), "time_weight_boosted": F.lit(time_weights["boosted"])})
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage so that lost executors do not replay its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet beside the checkpoints and read it back: its plan forgets how it was made."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
