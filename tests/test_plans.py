@@ -47,6 +47,19 @@ def test_hot_keys_are_split_without_a_limit(spark):
     assert split.count() == whole.count()
 
 
+def test_hot_keys_of_a_focal_catalog_are_split(spark, monkeypatch):
+    from tremorframe.operators import reference, spatial_join
+    from tremorframe.plans import features
+
+    def nearest():
+        return reference.with_focal_nearest(features._main(spark, SF), features.focal_catalog(spark, SF)).orderBy("mainshock_id")
+
+    whole = nearest().collect()
+    monkeypatch.setattr(reference, "interval_pairs", lambda *a, **b: spatial_join.interval_pairs(*a, **b, hot_cell_rows=1))
+    split = nearest()
+    assert "_parts" in plan(split) and split.collect() == whole and any(r.focal_mechanism_valid for r in whole)
+
+
 def test_scan_reads_only_what_is_needed(pairs):
     text = plan(pairs.groupBy("mainshock_id").count())
     assert "event_type" not in text and "props" not in text

@@ -78,7 +78,7 @@ def split_hot_cells(events: DataFrame, anchors: DataFrame, rows: int) -> tuple[D
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted_events = (
         events.join(hot, KEY, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64("_us", "id"), parts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*events.columns), parts).cast("int"))
         .drop("_parts")
     )
     salted_anchors = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremorframe.sources.focal import distinct_events
 from tremorframe.operators import labels as lab
 from tremorframe.operators import metrics as mt
 from tremorframe.operators import tables
@@ -162,10 +163,9 @@ def package_manifest(spark, sf):
 
 
 def focal_dedupe(spark, sf):
-    """Distinct catalog rows per (time, place): the row with the smallest id stays."""
-    df = catalog(spark, sf).withColumn("hour", F.date_trunc("hour", "time"))
-    return df.groupBy(F.unix_micros("hour").alias("hour_us"), "latitude", "longitude").agg(
-        F.min(F.col("id").cast("bigint")).alias("id"))
+    """Distinct catalog rows per (hour, place): the row with the smallest name stays, with its own columns."""
+    df = catalog(spark, sf).select(F.date_trunc("hour", "time").alias("time"), "latitude", "longitude", F.lpad("id", 19, "0").alias("name"), "depth", "mag")
+    return distinct_events(df).select(F.unix_micros("time").alias("hour_us"), "latitude", "longitude", F.col("name").cast("bigint").alias("id"), "depth", "mag")
 
 
 def _model_tables(spark, sf):
@@ -351,5 +351,6 @@ FROM k GROUP BY token HAVING t1t2_lines <> 2 OR t3_lines <> 1""",
     "package_manifest": f"""WITH {LINES} SELECT CASE WHEN true_mag > 0 THEN 'model' ELSE 'rule' END AS source, count(*) AS predictions,
   count(DISTINCT mainshock_id) AS sequences FROM lines GROUP BY 1""",
     "focal_dedupe": f"""WITH {BASE_SQL}
-SELECT us // 3600000000 * 3600000000 AS hour_us, latitude, longitude, min(CAST(id AS BIGINT)) AS id FROM catalog GROUP BY ALL""",
+SELECT us // 3600000000 * 3600000000 AS hour_us, latitude, longitude, CAST(id AS BIGINT) AS id, depth, mag FROM catalog
+QUALIFY row_number() OVER (PARTITION BY us // 3600000000, latitude, longitude ORDER BY CAST(id AS BIGINT)) = 1""",
 }
