@@ -29,7 +29,7 @@ travels(__name__)
 
 MIN_BYTES, GRAM = 400, 64
 #: Bytes of a block's stretches; a key with more stretches than CROWDED is dealt out more finely.
-BLOCK_BYTES, CROWDED = 3 << 20, 3_000
+BLOCK_BYTES, CROWDED = 2 << 20, 3_000
 #: Starts per stretch at each finer dealing; at 1 a key is one string.
 GRAINS = (48, 6, 1)
 #: A stretch is cut after so many starts, a long text is read in pieces of so many.
@@ -365,8 +365,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of what is left of each text, the rest itself (null where a character was cut apart), and whether something went."""
     done = remove_repeats(read_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                       F.try_validate_utf8(F.col("kept").cast("string")).alias("text"), (F.col("n_removed") > 0).alias("changed"))
 
 
 OP1_SQL = f"""
@@ -389,7 +391,8 @@ WITH docs AS (
 ), kept AS (
   SELECT doc_id, coalesce(string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p), '') AS k FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
 )
-SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256,
+       TRY(decode(unhex(k))) AS text, n_removed IS NOT NULL AS changed
 FROM docs d JOIN kept USING (doc_id)
 LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id)
 """
