@@ -7,13 +7,16 @@ reach the driver; quantiles are exact and distributed.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorframe.constants import FEATURE_DEFAULTS, FEATURE_DEFAULTS_BY_PLATE
 from tremorframe.functions.windows import finite
-from tremorframe.operators.ranking import exact_quantiles
+from tremorframe.operators.folds import Fold
+from tremorframe.operators.ranking import exact_quantiles, global_running_sum
+from tremorframe.session import durable
 
 # Priors that replace the fitted median in the sequence-model table.
 PRIOR_FILLS = {"gr_b_value": 1.0, "omori_p": 1.0, "omori_c": 0.05, "etas_p": 1.0, "etas_c": 0.05}
@@ -109,6 +112,72 @@ def fit_preprocessor(train: DataFrame, columns: list[str], kind: str = "robust",
     return fitted
 
 
+def fold_preprocessors(ranked: DataFrame, folds: list[Fold], columns: list[str], priors: dict[str, float] = PRIOR_FILLS) -> DataFrame:
+    """``feature, fold, n, nulls, fill, centre, scale, mean, deviation`` of the training rows of every fold, all exact.
+
+    Equal values are counted first, with one count per fold; one range sort by (feature, value) and running sums of these counts
+    serve all folds, instead of a fit per fold. ``fill`` is the prior or the median of the known values; centre and scale are median
+    and inter-quartile range after filling, mean and deviation are those after filling too. A spread of zero counts as one.
+    """
+    numbers = range(len(folds))
+    marked = ranked.select(*[f.trains().cast("long").alias(f"_f{k}") for k, f in zip(numbers, folds)], *[F.col(c).cast("double").alias(c) for c in columns])
+    long = marked.select(*[f"_f{k}" for k in numbers], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("value")) for c in columns])).alias("_p")).select("*", "_p.*").drop("_p")
+    counted = durable(long.groupBy("feature", "value").agg(*[F.sum(f"_f{k}").alias(f"c{k}") for k in numbers]))
+    nulls = counted.groupBy("feature").agg(*[F.sum(F.when(F.col("value").isNull(), F.col(f"c{k}")).otherwise(0)).alias(f"z{k}") for k in numbers])
+    known = global_running_sum(counted.filter("value IS NOT NULL"), [F.col("feature"), F.col("value")], {f"c{k}": f"b{k}" for k in numbers})
+    bounds = known.groupBy("feature").agg(*[F.min(f"b{k}").alias(f"s{k}") for k in numbers], *[F.sum(f"c{k}").alias(f"n{k}") for k in numbers])
+    placed = known.join(F.broadcast(bounds), "feature")  # a row per feature
+
+    def holds(k: int, position: Column) -> Column:
+        low = F.col(f"b{k}") - F.col(f"s{k}")
+        return (low <= position) & (position < low + F.col(f"c{k}"))
+
+    def at(k: int, position: Column) -> Column:
+        return F.max(F.when(holds(k, position), F.col("value")))
+
+    def median(k: int) -> Column:
+        place = (F.col(f"n{k}") - 1) * F.lit(0.5)
+        return (at(k, F.floor(place)) + at(k, F.ceil(place))) / 2
+
+    prior = F.coalesce(*[F.when(F.col("feature") == c, F.lit(float(v))) for c, v in priors.items() if c in columns], F.lit(None).cast("double"))
+    fills = placed.groupBy("feature").agg(*[median(k).alias(f"m{k}") for k in numbers])
+    fills = nulls.join(fills, "feature", "left").select(
+        "feature", *[f"z{k}" for k in numbers], *[F.coalesce(prior, F.col(f"m{k}"), F.lit(0.0)).alias(f"fill{k}") for k in numbers])
+    full = placed.join(F.broadcast(fills), "feature")
+
+    def filled(k: int, share: float) -> Column:
+        """A quantile of the known values and z copies of the fill: positions behind the copies are moved by z."""
+        total, z = F.col(f"n{k}") + F.col(f"z{k}"), F.col(f"z{k}")
+        place = (total - 1) * F.lit(share)
+
+        def value(position: Column) -> Column:
+            behind = position - z
+            inside = F.when(holds(k, position) & (F.col("value") < F.col(f"fill{k}")), F.col("value")) \
+                .when(holds(k, behind) & (F.col("value") >= F.col(f"fill{k}")), F.col("value"))
+            return F.coalesce(F.max(inside), F.max(f"fill{k}"))
+
+        low, high = value(F.floor(place)), value(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    def moments(k: int) -> list[Column]:
+        shift = F.col("value") - F.col(f"fill{k}")  # filled rows add nothing
+        total = F.max(F.col(f"n{k}") + F.col(f"z{k}"))
+        first, second = F.sum(shift * F.col(f"c{k}")) / total, F.sum(shift * shift * F.col(f"c{k}")) / total
+        return [(F.max(f"fill{k}") + first).alias("mean"), F.sqrt(F.greatest(second - first * first, F.lit(0.0))).alias("deviation")]
+
+    rows = []
+    for k, f in zip(numbers, folds):
+        mean, deviation = moments(k)
+        part = full.groupBy("feature").agg(
+            F.max(f"n{k}").alias("n"), F.max(f"z{k}").alias("nulls"), F.max(f"fill{k}").alias("fill"), filled(k, 0.25).alias("_q1"),
+            filled(k, 0.5).alias("centre"), filled(k, 0.75).alias("_q3"), mean, deviation)
+        scale = F.col("_q3") - F.col("_q1")
+        rows.append(part.select("feature", F.lit(f.fold).alias("fold"), "n", "nulls", "fill", "centre", F.when(scale == 0, 1.0).otherwise(scale).alias("scale"), "mean",
+                                F.when(F.col("deviation") == 0, 1.0).otherwise(F.col("deviation")).alias("deviation")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def apply_preprocessor(df: DataFrame, fitted: Preprocessor, keep: list[str] = ()) -> DataFrame:
     """Scaled columns plus indicators; anything not finite becomes zero."""
     scaled = [

@@ -20,6 +20,6 @@ def backfill(df: DataFrame, features: DataFrame, columns: list[str]) -> DataFram
     return df.join(features.select("mainshock_id", *wanted), "mainshock_id", "left") if wanted else df
 
 
-def earliest_rows(df: DataFrame, time: str, rows: int) -> DataFrame:
-    """The first rows by time, for smoke runs (a top-k, not a full sort)."""
-    return df.orderBy(time).limit(rows)
+def earliest_rows(df: DataFrame, time: str, rows: int, tie: str) -> DataFrame:
+    """The first rows by time, equal times by ``tie``, for smoke runs (a top-k, not a full sort)."""
+    return df.orderBy(time, tie).limit(rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sequences", "features", "scoring", "search", "learning", "live")
+MODULES = ("sequences", "features", "scoring", "search", "learning", "live", "landing")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
