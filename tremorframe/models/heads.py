@@ -54,6 +54,13 @@ def oof_window(table: DataFrame, window: str, folds: list[Fold], width: int, kin
         "mag_mean": null_mean([F.col(m) for m in mags])}).drop("features", *[f"_mag_{k}" for k in kinds], *[f"_hours_{k}" for k in kinds])
 
 
+def oof_extreme(table: DataFrame, folds: list[Fold], width: int, params: dict | None = None) -> DataFrame:
+    """The extreme head alone, out of fold: ``mainshock_id, fold, extreme, extreme_prob``."""
+    fits = gates(table, {f"f{f.fold}": (f.trains(), f.validates()) for f in folds}, "extreme", "extreme_prob", params)
+    scores = scores_by_key(fit_all(table, "row_index", [f"f{k}" for k in range(width)], fits, features="features"), fits, "row_index")
+    return assign_fold(table, folds).join(scores, "row_index").select("mainshock_id", "fold", "extreme", "extreme_prob")
+
+
 def oof_bucket_accuracy(oof: DataFrame) -> DataFrame:
     best = F.array_position(F.col("bucket_probs"), F.array_max("bucket_probs")) - 1
     return oof.groupBy("window", "fold").agg(F.avg((best == F.col("bucket")).cast("int")).alias("bucket_accuracy"))

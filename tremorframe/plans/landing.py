@@ -74,19 +74,19 @@ def catalog_store(spark, sf):
     return _view(catalogs.catalog_between(spark, path, "2024-01-05", "2024-01-20"))
 
 
-def feed_documents(spark, sf, documents=64):
-    """GeoJSON feed documents of the catalog; times in milliseconds."""
+def geojson(events, document):
+    """``document, value``: a GeoJSON text for each value of a column; times in milliseconds."""
     feature = F.struct(
         F.col("id"), F.struct(F.unix_millis("time").alias("time"), "mag", F.lit("p").alias("place"), F.lit("earthquake").alias("type"), F.lit("").alias("url")).alias("properties"),
         F.struct(F.array("longitude", "latitude", "depth").alias("coordinates")).alias("geometry"))
-    return catalog(spark, sf).groupBy(F.pmod(F.xxhash64("id"), F.lit(documents)).alias("document")).agg(F.collect_list(feature).alias("features")) \
-        .select("document", F.to_json(F.struct("features")).alias("value"))
+    return events.groupBy(document).agg(F.collect_list(feature).alias("features")).select(document, F.to_json(F.struct("features")).alias("value"))
 
 
 def feed_catalog(spark, sf):
     """The feed, a file per document, read back as events."""
     path = _place(spark, "feed")
-    feed_documents(spark, sf).repartition("document").write.partitionBy("document").text(path)
+    documents = geojson(catalog(spark, sf).withColumn("document", F.pmod(F.xxhash64("id"), F.lit(64))), "document")
+    documents.repartition("document").write.partitionBy("document").text(path)
     return _view(feeds.read_feed(spark, path))
 
 

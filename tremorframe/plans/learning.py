@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tremorframe.constants import WINDOWS
+from tremorframe.functions.windows import lower_hours, upper_hours
 from tremorframe.models import calibration as cal
 from tremorframe.models import heads, tuning
 from tremorframe.models import quantiles as qf
@@ -20,7 +24,8 @@ from tremorframe.operators import rules as ru
 from tremorframe.operators.ranking import global_row_number
 from tremorframe.operators.labels import long_windows, single_horizon_labels, window_labels
 from tremorframe.operators.sequences import holdout_truth, mainshocks
-from tremorframe.plans.inputs import PREDICTIONS_SQL, catalog, dated_rows, predictions
+from tremorframe.plans.inputs import BASE_SQL, PREDICTIONS_SQL, catalog, dated_rows, predictions
+from tremorframe.plans.sequences import labels_sql, long_sql
 from tremorframe.session import durable
 
 
@@ -219,11 +224,62 @@ def holdout_evaluation(spark, sf):
         "mag_weight_boosted": F.lit(mag_weights["boosted"]), "time_weight_boosted": F.lit(time_weights["boosted"])})
 
 
+def _outside(*bad):
+    """How many rows break a rule."""
+    return F.count_if(~F.coalesce(reduce(lambda a, b: a & b, bad), F.lit(False))).alias("outside")
+
+
+def oof_regression_checked(spark, sf):
+    """Per fold: rows, predictions below zero or missing, and whether both kinds beat the constant mean of the truth."""
+    oof = oof_regression(spark, sf)
+    mean = Window.partitionBy("fold")
+    rows = oof.withColumns({"_m": F.avg("true_mag").over(mean), "_t": F.avg("true_days").over(mean)})
+    better = [(mt.rmse(F.col(f"{k}_pred_mag") - F.col("true_mag")) < mt.rmse(F.col("_m") - F.col("true_mag"))) for k in ("boosted", "forest")]
+    return rows.groupBy("fold").agg(
+        F.count("*").alias("n"), _outside(*[F.col(f"{k}_pred_{t}") >= 0 for k in ("boosted", "forest") for t in ("mag", "time")]),
+        (better[0] & better[1]).alias("beats_mean"))
+
+
+def window_heads_checked(spark, sf):
+    """Per window and fold: rows, and how many heads' results or fused predictions leave their bounds or their probabilities one."""
+    oof = _window_heads(_training_table(spark, sf), WINDOWS).withColumn("main_mag", F.col("mainshock_mag"))
+    out = fu.decoupled_prediction(oof, {"boosted": "mag_boosted", "forest": "mag_forest"}, "hours_bucket", "extreme_prob",
+                                  {"boosted": 0.5, "forest": 0.5}, mag_bias={"T1": -0.1}, time_bias={"T1": -1.0}, t1_bonus=0.1)
+    low, high = lower_hours(F.col("window")), upper_hours(F.col("window"))
+    inside = [F.col(c).between(low, high) for c in ("hours_boosted", "hours_forest", "hours_bucket", "pred_hours")]
+    total = F.aggregate("bucket_probs", F.lit(0.0), lambda a, x: a + x)
+    return out.groupBy("window", "fold").agg(
+        F.count("*").alias("n"), F.round(F.sum("true_mag"), 6).alias("truth"),
+        _outside(*inside, F.abs(total - 1) < 1e-9, F.col("extreme_prob").between(0, 1), F.col("pred_mag").between(0.0, F.col("main_mag") + 0.5)))
+
+
+def head_risk_metrics(spark, sf):
+    """Risk of an extreme aftershock per window and fold: AUC, precision and recall of the extreme heads, out of fold."""
+    ranked = _training_table(spark, sf)
+    folds = fd.plan_folds(ranked)
+    parts = []
+    for window in WINDOWS:
+        table, columns = heads.window_table(ranked, window)
+        oof = heads.oof_extreme(durable(table), folds, len(columns))
+        parts.append(mt.risk_metrics(oof, ["fold"], "extreme", "extreme_prob").withColumn("window", F.lit(window)))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("window", "fold", "positive_rate", "prob_mean", "precision_at_0_5", "recall_at_0_5", "roc_auc")
+
+
+def batch_inference_checked(spark, sf):
+    """Rows of the batch, and how many are not the weighted mean of their models or miss their spread."""
+    out = batch_inference(spark, sf)
+    fused = [F.abs(F.col(f"pred_{t}") - (F.col(f"{t}_weight_boosted") * F.col(f"boosted_pred_{t}") + (1 - F.col(f"{t}_weight_boosted")) * F.col(f"forest_pred_{t}"))) < 1e-9
+             for t in ("mag", "time")]
+    spread = F.abs(F.col("mag_range") - F.abs(F.col("boosted_pred_mag") - F.col("forest_pred_mag"))) < 1e-9
+    return out.agg(F.count("*").alias("n"), _outside(*fused, spread))
+
+
 QUERIES = {
     f.__name__: f for f in (
         oof_regression, oof_late_weighted, gate_oof, quantile_forest, residual_calibration, residual_model,
         feature_selection, param_search, expanding_evaluation, oof_buckets, decoupled_predictions,
         single_horizon_predictions, window_model_predictions, extreme_risk_floor, batch_inference, holdout_evaluation,
+        oof_regression_checked, window_heads_checked, head_risk_metrics, batch_inference_checked,
     )
 }
 
@@ -234,4 +290,12 @@ x AS (SELECT "window", CASE WHEN "window" = 'T3' THEN greatest(0.0, main_mag - 1
   CASE "window" WHEN 'T3' THEN 120.0 WHEN 'T1' THEN least(greatest((hours_a + hours_b) / 2, 1e-6), 24.0)
        ELSE least(greatest((hours_a + hours_b) / 2, 24.000001), 72.0) END AS ph FROM preds)
 SELECT "window", round(avg(pm), 6) AS mag, round(avg(ph), 6) AS hours FROM x GROUP BY 1""",
+    "oof_regression_checked": """SELECT CAST(fold AS INT) AS fold, n // 6 AS n, CAST(0 AS BIGINT) AS outside, true AS beats_mean
+FROM (SELECT count(*) AS n FROM orders), range(1, 6) t(fold)""",
+    "window_heads_checked": f"""WITH {BASE_SQL},{labels_sql()}{long_sql()},
+ranked AS (SELECT mainshock_id, row_number() OVER (ORDER BY t0, mainshock_id) - 1 AS i, count(*) OVER () AS total FROM main),
+folds AS (SELECT mainshock_id, fold FROM ranked, range(1, 6) t(fold) WHERE i >= total - (6 - fold) * (total // 6) AND i < total - (5 - fold) * (total // 6))
+SELECT "window", CAST(fold AS INT) AS fold, count(*) AS n, round(sum(true_mag), 6) AS truth, CAST(0 AS BIGINT) AS outside
+FROM long_labels JOIN folds USING (mainshock_id) GROUP BY ALL""",
+    "batch_inference_checked": f"WITH {BASE_SQL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside FROM main",
 }

@@ -7,9 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tremorframe.operators.sequences import mainshocks
+from tremorframe.functions.windows import log_target
+from tremorframe.models.training import fit_pipelines
+from tremorframe.operators.folds import with_time_rank
+from tremorframe.operators.sequences import holdout_truth, mainshocks
 from tremorframe.plans.inputs import BASE_SQL, catalog, log_moment, pairs_sql, rounded, table
-from tremorframe.session import ensure_checkpoint_dir
+from tremorframe.plans.landing import geojson
+from tremorframe.session import durable, ensure_checkpoint_dir
+from tremorframe.sources import feeds
 from tremorframe.streaming import monitor
 
 
@@ -26,16 +31,31 @@ def _stream(spark, sf):
         ((40 + F.floor(cents / 1150)) / F.lit(10.0)).alias("mag"))
 
 
-def _drained(spark, sf):
+def _drained(spark, sf, events=None, predictor=monitor.rule_predictor):
     root = os.path.join(ensure_checkpoint_dir(spark), f"monitor-{uuid.uuid4().hex}")
-    query = monitor.start_monitor(monitor.fresh_events(_stream(spark, sf)), f"{root}/results", f"{root}/checkpoint",
-                                  alert_path=f"{root}/alerts")
+    events = _stream(spark, sf) if events is None else events
+    query = monitor.start_monitor(monitor.fresh_events(events), f"{root}/results", f"{root}/checkpoint",
+                                  predictor=predictor, alert_path=f"{root}/alerts")
     query.awaitTermination()
     return root
 
 
-def _results(spark, sf):
-    return spark.read.option("basePath", f"{(root := _drained(spark, sf))}/results").parquet(f"{root}/results")
+def _feed(spark, sf, days=3):
+    """The catalog as GeoJSON documents of a few days each, written one after the other. Every document but the first repeats a fifth of the
+    one before it, so events come again, and late."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")
+    span = F.floor(F.unix_micros("time") / (days * 86_400_000_000))
+    events = catalog(spark, sf).withColumn("document", span)
+    again = events.filter(F.pmod(F.col("id").cast("bigint"), F.lit(5)) == 0).withColumn("document", F.col("document") + 1)
+    documents = durable(geojson(events.unionByName(again), "document"))
+    numbers = sorted(r["document"] for r in events.select("document").distinct().collect())  # one for each few days of the feed
+    for number in numbers:
+        documents.filter(F.col("document") == number).select("value").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def _results(spark, sf, events=None, predictor=monitor.rule_predictor):
+    return spark.read.option("basePath", f"{(root := _drained(spark, sf, events, predictor))}/results").parquet(f"{root}/results")
 
 
 def stream_window_complete(spark, sf):
@@ -44,6 +64,28 @@ def stream_window_complete(spark, sf):
     return rounded(out.select("mainshock_id", "mainshock_mag", "early_aftershock_count", "early_max_mag", "early_energy_sum"))
 
 
+def stream_feed_windows(spark, sf):
+    """The same from a feed of several documents, one to a micro-batch, with repeated and late events."""
+    out = log_moment(_results(spark, sf, feeds.stream_feed(spark, _feed(spark, sf), files_per_batch=1)), "early_energy_sum")
+    return rounded(out.select("mainshock_id", "mainshock_mag", "early_aftershock_count", "early_max_mag", "early_energy_sum"))
+
+
+MODEL_INPUTS = ["mainshock_mag", "mainshock_depth", "early_aftershock_count", "early_max_mag"]
+
+
+def stream_model_predictions(spark, sf):
+    """Completed windows of the stream predicted by models that were fitted on the batch table; whether they keep their bounds."""
+    events = catalog(spark, sf)
+    done = monitor.completed_sequences(events)
+    truth = holdout_truth(mainshocks(events), events).select("mainshock_id", "true_max_mag", "true_time_to_max_days")
+    rows = with_time_rank(done.join(truth, "mainshock_id"), "mainshock_time", "mainshock_id")
+    models = fit_pipelines(rows, MODEL_INPUTS, {"mag": ("boosted", F.col("true_max_mag")), "log_days": ("boosted", log_target(F.col("true_time_to_max_days")))}, "row_index")
+    out = _results(spark, sf, predictor=monitor.fitted_predictor(models["mag"], models["log_days"]))
+    return out.select(
+        "mainshock_id", "early_aftershock_count", F.col("pred_mag").between(0.0, F.col("mainshock_mag") + 0.5).alias("mag_in_bounds"),
+        F.col("pred_days").between(0.0, 30.0).alias("days_in_bounds"))
+
+
 def stream_alerts(spark, sf):
     """Alerts of the completed windows."""
     out = monitor.alerts(_results(spark, sf))
@@ -56,7 +98,8 @@ def stream_status(spark, sf):
     return monitor.status_counts(main, _results(spark, sf), F.lit(latest))
 
 
-QUERIES = {f.__name__: f for f in (stream_window_complete, stream_alerts, stream_status)}
+QUERIES = {f.__name__: f for f in (
+    stream_window_complete, stream_feed_windows, stream_model_predictions, stream_alerts, stream_status)}
 
 DONE = f"""{BASE_SQL}, {pairs_sql(72)},
 done AS (SELECT * FROM main WHERE t0 + 73 * 3600000000 < (SELECT max(us) FROM catalog)),
@@ -67,6 +110,7 @@ res AS (SELECT d.*, coalesce(n, 0) AS n, coalesce(mx, 0.0) AS mx, coalesce(en, 0
 ORACLES = {
     "stream_window_complete": f"""WITH {DONE} SELECT mainshock_id, m0 AS mainshock_mag, n AS early_aftershock_count, mx AS early_max_mag,
   round(log10(en + 1.0), 6) AS early_energy_sum FROM res""",
+    "stream_model_predictions": f"""WITH {DONE} SELECT mainshock_id, n AS early_aftershock_count, true AS mag_in_bounds, true AS days_in_bounds FROM res""",
     "stream_alerts": f"""WITH {DONE} SELECT mainshock_id, round(pm, 6) AS pred_mag, CAST(pd AS DOUBLE) AS pred_days,
   CASE WHEN pm >= 6.5 AND pd <= 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
   concat_ws(',', CASE WHEN pm >= 6.5 THEN 'strong aftershock' END, CASE WHEN pd > 0 THEN 'within a day' END) AS reasons
@@ -74,3 +118,4 @@ FROM res WHERE pm >= 6.5 OR pd > 0""",
     "stream_status": f"""WITH {DONE} SELECT CASE WHEN mainshock_id IN (SELECT mainshock_id FROM done) THEN 'predicted'
   WHEN t0 + 72 * 3600000000 > (SELECT max(us) FROM catalog) THEN 'waiting' ELSE 'missing' END AS status, count(*) AS n FROM main GROUP BY 1""",
 }
+ORACLES["stream_feed_windows"] = ORACLES["stream_window_complete"]  # repeats and late rows change nothing

@@ -18,6 +18,7 @@ from tremorframe.constants import AFTERSHOCK_RADIUS_KM, MAINSHOCK_MAX_DEPTH_KM,
 from tremorframe.functions.geo import CellGrid, haversine_km
 from tremorframe.functions.seismic import moment
 from tremorframe.functions.text import event_key
+from tremorframe.functions.windows import clamp_mag, unlog_target
 
 # Alert thresholds.
 ALERT_MAG = 6.5
@@ -77,6 +78,18 @@ def rule_predictor(completed: DataFrame) -> DataFrame:
         "pred_days": F.when(F.col("early_aftershock_count") > 0, 1.0).otherwise(0.0)})
 
 
+def fitted_predictor(mag_model, time_model, max_days: float = 30.0) -> Callable[[DataFrame], DataFrame]:
+    """Predictions of fitted pipelines that add ``mag`` and ``log_days`` to completed windows: the magnitude stays between 0 and half a unit
+    above the mainshock, the time inside the target span."""
+    def predict(completed: DataFrame) -> DataFrame:
+        out = time_model.transform(mag_model.transform(completed))
+        return out.withColumns({
+            "pred_mag": clamp_mag(F.col("mag"), F.col("mainshock_mag")),
+            "pred_days": F.least(F.greatest(unlog_target(F.col("log_days")), F.lit(0.0)), F.lit(max_days))}).drop("mag", "log_days")
+
+    return predict
+
+
 def alerts(predicted: DataFrame) -> DataFrame:
     """Rows that call for an alert, with the reasons and the severity."""
     strong = F.col("pred_mag") >= ALERT_MAG
