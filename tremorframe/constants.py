@@ -1,5 +1,6 @@
 """Windows, bins, tables and defaults that results depend on."""
 
+# Radii, the mainshock rule and the spans of observation and target.
 EARTH_RADIUS_KM = 6371.0
 MERCATOR_RADIUS_M = 6378137.0
 
@@ -11,6 +12,7 @@ TARGET_DAYS = 30.0
 
 # Forecast windows in hours after the mainshock, (lower, upper].
 WINDOWS = {"T1": (0.0, 24.0), "T2": (24.0, 72.0), "T3": (72.0, 168.0)}
+# The single horizon, all bounds, and the hours a window may observe.
 SINGLE_HORIZON = ("H168", 0.0, 168.0)
 WINDOW_BOUNDS = {"T1": (0.0, 24.0), "T2": (24.0, 72.0), "T3": (72.0, 168.0), "H168": (0.0, 168.0)}
 OBSERVED_HOURS = {"T1": 0, "T2": 24, "T3": 72, "H168": 0}
@@ -25,6 +27,7 @@ TIME_BUCKETS = {
 
 # Magnitude drop of the rule forecast per window.
 RULE_DROP = {"T1": 1.15, "T2": 1.35, "T3": 1.55}
+# Fixed value.
 RULE_DROP_OTHER = 1.35
 
 # Gardner & Knopoff (1974) windows: (mag from, mag to, days, km).
@@ -43,8 +46,10 @@ GK_WINDOWS = (
     (7.5, 8.0, 985.0, 130.0),
     (8.0, 99.0, 1000.0, 140.0),
 )
+# Window of other magnitudes.
 GK_OTHER = (1000.0, 140.0)
 
+# Hours of the cumulative counts.
 BIN_HOURS = (1, 6, 12, 24, 72)
 
 # Boundary classes with their own indicator column.
@@ -61,6 +66,7 @@ META_COLUMNS = (
     "mainshock_id", "mainshock_time", "mainshock_lat", "mainshock_lon", "mainshock_mag",
     "mainshock_depth", "has_target_aftershock", "target_max_mag", "target_time_to_max_days",
 )
+# Columns known at the mainshock.
 STATIC_COLUMNS = (
     "mainshock_mag", "mainshock_depth", "plate_boundary_distance_km", *FOCAL_NUMERIC,
     "gcmt_time_diff_seconds", "gcmt_distance_km", "focal_mechanism_valid",
@@ -100,6 +106,7 @@ FEATURE_DEFAULTS = {
     "energy_12h": 0.0, "count_24h": 0, "energy_24h": 0.0, "count_72h": 0, "energy_72h": 0.0,
     "advanced_early_event_count": 0,
 }
+# Fill values that depend on the nearest boundary.
 FEATURE_DEFAULTS_BY_PLATE = {
     "SUB": {
         "gr_b_value": 0.8, "omori_p": 1.2, "omori_k": 2.0, "etas_mu": 0.02, "etas_K0": 0.005,

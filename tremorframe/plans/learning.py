@@ -86,8 +86,9 @@ def residual_model(spark, sf):
 
 
 def feature_selection(spark, sf):
-    gains = tr.importances(_dated(spark, sf), DATED_INPUTS, "true_mag", "row_index")
-    return keep_by_gain(gains, least=2)
+    """Features by the gain of a boosted magnitude model until 85 % of it, thirty at least."""
+    table = _training_table(spark, sf, with_rates=False)
+    return keep_by_gain(tr.importances(table, ft.feature_columns(table), "target_T1_max_mag", "row_index"))
 
 
 def param_search(spark, sf):

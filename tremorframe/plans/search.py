@@ -9,6 +9,7 @@ from tremorframe.operators import fusion as fu
 from tremorframe.operators import metrics as mt
 from tremorframe.operators import rules as ru
 from tremorframe.plans.inputs import DATED_SQL, PREDICTIONS_SQL, dated_rows, predictions, rounded
+from tremorframe.session import durable
 
 MAGS = ["mag_a", "mag_b", "mag_c", "mag_d"]
 DAYS = ["days_a", "days_b", "days_c"]
@@ -80,7 +81,7 @@ def simplex_late_weights(spark, sf):
 def fusion_objectives(spark, sf):
     """Line search of two time models under each of the five objectives."""
     df = dated_rows(spark, sf)
-    sums = fu.grid_sums(df, ["days_a", "days_b"], "true_days", fu.simplex_grid(2, 0.02)).cache()
+    sums = durable(fu.grid_sums(df, ["days_a", "days_b"], "true_days", fu.simplex_grid(2, 0.02)))
     best = None
     for name in ("rmse", "mae", "mae+rmse", "time_mae", "time_mae+rmse"):
         top = sums.select("point", fu.objective_column(name).alias("score")).orderBy(F.round("score", 10), "point").limit(1)
@@ -190,7 +191,7 @@ def floor_rule_search(spark, sf):
 
 def floor_rule_choice(spark, sf):
     """The rule each mode would take."""
-    found = ru.floor_rule_search(*_rule_sets(spark, sf), ["window"]).cache()
+    found = durable(ru.floor_rule_search(*_rule_sets(spark, sf), ["window"]))
     out = None
     for mode in ("safe", "balanced", "public_max"):
         row = ru.choose_rule(found, ["window"], mode).select(F.lit(mode).alias("mode"), "window", "visible_rmse", "visible_changed")
