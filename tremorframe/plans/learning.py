@@ -197,7 +197,9 @@ def _holdout(spark, sf):
 
 
 def _searched(ranked):
-    """Weights of the two kinds for each target, from out-of-fold predictions of the given rows."""
+    """Weights of the two kinds for each target, from out-of-fold predictions of the given rows; equal ones for rows too few to be five folds."""
+    if ranked.limit(6).count() < 6:
+        return [{"boosted": 0.5, "forest": 0.5}] * 2
     oof = durable(tr.oof_regression(ranked, fd.plan_folds(ranked), INFERENCE_INPUTS, "true_max_mag", "true_time_to_max_days"))
     return [{k: found[f"{k}_pred_{t}"] for k in ("boosted", "forest")} for t, found in (
         ("mag", fu.fit_weights(oof, "true_max_mag", ["boosted_pred_mag", "forest_pred_mag"])),
