@@ -96,6 +96,12 @@ def param_search(spark, sf):
     return tuning.parameter_search(ranked, fd.plan_folds(ranked), DATED_INPUTS, "true_mag", "main_mag")
 
 
+def time_param_search(spark, sf):
+    """The same search for the time target, by its composite score."""
+    ranked = _dated(spark, sf)
+    return tuning.parameter_search(ranked, fd.plan_folds(ranked), DATED_INPUTS, "true_days", target_kind="time")
+
+
 def expanding_evaluation(spark, sf):
     ranked = _dated(spark, sf)
     n = ranked.count()
@@ -280,7 +286,7 @@ def batch_inference_checked(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         oof_regression, oof_late_weighted, gate_oof, quantile_forest, residual_calibration, residual_model,
-        feature_selection, param_search, expanding_evaluation, oof_buckets, decoupled_predictions,
+        feature_selection, param_search, time_param_search, expanding_evaluation, oof_buckets, decoupled_predictions,
         single_horizon_predictions, window_model_predictions, extreme_risk_floor, batch_inference, holdout_evaluation,
         oof_regression_checked, window_heads_checked, head_risk_metrics, batch_inference_checked,
     )
