@@ -183,6 +183,27 @@ def test_runs_of_lines_equal_brute_force(spark):
     assert got == runs_brute(rows, 3)
 
 
+@pytest.mark.parametrize(("run_lines", "gram_lines"), [(5, 2), (4, 1), (3, 3)])
+def test_matches_break_off_at_differing_neighbours(spark, run_lines, gram_lines):
+    """One gram stands in many places whose neighbours agree with the first holder, with each other, or with nothing."""
+    rng = random.Random(run_lines)
+    middle = ["m", "n"]
+    sides = [["a", "b", "c"], ["a", "b", "x"], ["y", "b", "c"], ["p", "q", "r"]]
+    rows = [(i, "\n".join([*rng.choice(sides), *middle, *rng.choice(sides), rng.choice("uvw")])) for i in range(70)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text)
+           for r in line_runs.remove_repeated_runs(table(spark, rows), run_lines, gram_lines).collect()}
+    assert got == runs_brute(rows, run_lines)
+
+
+def test_an_equal_fingerprint_of_another_gram_is_no_match(spark):
+    """With every hash of a gram the same, all places meet one holder; the comparison of lines decides."""
+    found = [(i, i, 7, 0, 0, 3, b"".join(hashlib.md5(x).digest() for x in lines)) for i, lines in enumerate(
+        [[b"a", b"b", b"c"], [b"d", b"e", b"f"], [b"a", b"b", b"g"], [b"d", b"e", b"f"], [b"a", b"b", b"c"]])]
+    table_of = spark.createDataFrame(found, "doc_id long, text_hash long, fingerprint long, position int, first int, lines int, hashes binary")
+    got = {(r.doc_id, r.lo, r.hi) for r in line_runs.later_runs(table_of).collect()}
+    assert got == {(3, 0, 0), (4, 0, 0)}
+
+
 def test_runs_of_lines_edge_rows(spark):
     rows = [(1, None), (None, "a\nb\nc"), (2, "a\nb\nc"), (2, "a\nb\nc"), (3, "a\nb\nc"), (None, "a\nb\nc\nd")]
     got = collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_runs.remove_repeated_runs(table(spark, rows)).collect())

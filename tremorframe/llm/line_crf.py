@@ -208,9 +208,12 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES,
+          longest: int = LONG) -> Model:
     """Fit on at most ``sample_docs`` labelled, not held-out documents, chosen by a hash of the id.
 
+    The sample also ends before the first text that would pass ``sample_lines`` lines in all, and texts of more than
+    ``longest`` lines teach nothing (they are scored like any other): what the driver holds is bounded by these three.
     Rows with a null id or label teach nothing; of repeated labels of one id the lowest counts, of repeated
     documents each one does. The executors turn texts into features; only these reach the driver.
     """
@@ -226,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = part.column(2).to_pylist()
-                short = [i for i, t in enumerate(texts) if (t or "").count("\n") < LONG]
+                short = [i for i, t in enumerate(texts) if (t or "").count("\n") < longest]
                 x, lengths, n_lines = line_features([texts[i] for i in short])
                 ends = np.cumsum(n_lines)
                 yield pa.RecordBatch.from_arrays([
@@ -242,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     ordered = found.withColumn("h", F.xxhash64("doc_id", F.lit(5))).orderBy("h", "doc_id", F.xxhash64("x")).limit(sample_docs)
     kept, total = [], 0
     for r in ordered.toLocalIterator():
-        if total + r.n_lines > SAMPLE_LINES:
+        if total + r.n_lines > sample_lines:
             break
         total += r.n_lines
         kept.append(r)

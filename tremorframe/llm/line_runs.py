@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorframe.llm.common import SPACE, read_table, stash, travels
@@ -103,23 +103,86 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def later_windows(found: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, start, lines``: windows of so many lines that also occur at an earlier place.
+def dealt(rows: DataFrame, counts: DataFrame, keys: list[str], tie: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys``, which gets the further key ``salt``; ``counts`` has a row a key, of ``n`` rows.
 
-    A place is (doc_id, line); null ids come last. Fingerprints that occur once leave first. The windows of the
-    others, on both sides of their fingerprint, are grouped, and the first holder of each window is a ``min``
-    that combines on the map side: a passage in a third of all rows costs a row per task, and no pairs are made.
+    Keys of more than one in 4 P of the counted rows (P: shuffle partitions) are fewer than 4 P, whatever the table's
+    size: these few are broadcast to mark their rows, and each is dealt out over P salts by a hash of ``tie``.
     """
-    often = found.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    places = found.join(often, "fingerprint", "left_semi")
-    at = F.explode(F.sequence(F.lit(0), (F.octet_length("hashes") / 16).cast("int") - F.col("lines")))
-    windows = places.select("doc_id", "text_hash", "first", "lines", "hashes", at.alias("k")).select(
-        "doc_id", "text_hash", (F.col("first") + F.col("k")).alias("start"), "lines",
-        F.substring(F.col("hashes"), F.col("k") * 16 + 1, F.col("lines") * 16).alias("bytes"))
-    windows = stash(windows.select("doc_id", "text_hash", "start", "lines", F.unhex(F.md5("bytes")).alias("window")), "line-windows")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
-    firsts = windows.groupBy("window").agg(F.min(place).alias("holder"), F.count("*").alias("n")).filter("n > 1")
-    return windows.join(firsts, "window").filter(place > F.col("holder")).select("doc_id", "text_hash", "start", "lines")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = (counts.agg(F.sum("n")).first()[0] or 0) // (4 * parts)
+    hot = counts.filter(F.col("n") > limit).select(*keys, F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*tie), F.lit(parts))).otherwise(0)
+    salts = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return (rows.join(F.broadcast(hot), keys, "left").withColumn("salt", salt.cast("int")).drop("hot"),
+            counts.withColumn("salt", F.explode(salts)).drop("n").hint("merge"))
+
+
+def _line(hashes: str, at: Column, count: Column | int = 1) -> Column:
+    """The hashes of ``count`` lines from line ``at`` of a stretch on."""
+    return F.substring(F.col(hashes), (at * 16 + 1).cast("int"), F.lit(count * 16) if isinstance(count, int) else (count * 16).cast("int"))
+
+
+def extended(met: DataFrame, gram_lines: int, run_lines: int) -> DataFrame:
+    """``met`` with ``lo, hi``: the starts of its windows that also stand at the holder; null where none does.
+
+    ``met`` has ``position, first, lines, hashes`` of a place and ``h_position, h_first, h_hashes`` of the holder of its
+    fingerprint. The gram itself is compared, then the match is extended line by line to the left and to the right, as
+    far as the windows reach for which the fingerprint stands. (What lies beyond has fingerprints of its own.)
+    """
+    size, h_size = (F.octet_length(F.col(c)) / 16 for c in ("hashes", "h_hashes"))
+    own, other = F.col("position") - F.col("first"), F.col("h_position") - F.col("h_first")
+    gram = F.least(F.lit(gram_lines), F.col("lines"))
+    gram = F.when(F.col("lines") < run_lines, F.col("lines")).otherwise(gram)  # a shorter window is its own gram
+
+    def reach(same) -> Column:
+        steps = F.lit(run_lines - gram_lines)
+        for i in range(run_lines - gram_lines, 0, -1):
+            steps = F.when(~same(i), F.lit(i - 1)).otherwise(steps)
+        return steps
+
+    left = reach(lambda i: (own >= i) & (other >= i) & (_line("hashes", own - i) == _line("h_hashes", other - i)))
+    right = reach(lambda i: (own + gram + i <= size) & (other + gram + i <= h_size)
+                  & (_line("hashes", own + gram + (i - 1)) == _line("h_hashes", other + gram + (i - 1))))
+    lo, hi = F.col("position") - F.col("left"), F.col("position") + gram + F.col("right") - F.col("lines")
+    holds = (_line("hashes", own, gram) == _line("h_hashes", other, gram)) & (lo <= hi)
+    return met.withColumns({"left": left, "right": right}).withColumns(
+        {"lo": F.when(holds, lo).cast("int"), "hi": F.when(holds, hi).cast("int")}).drop("left", "right")
+
+
+def later_runs(found: DataFrame, run_lines: int = RUN_LINES, gram_lines: int = GRAM_LINES) -> DataFrame:
+    """``doc_id, text_hash, lo, hi, lines``: windows of so many lines that start at lo .. hi and also occur at an earlier place.
+
+    A place is (doc_id, line); null ids come last. Fingerprints that occur once leave first. Each position of the others
+    is joined with the first holder of its fingerprint, a ``min`` that combines on the map side, and the match is
+    extended both ways. Windows at which it breaks off differ from all the holder's, so their first copy is among such
+    windows too: for these the key is the whole window, again joined with its first holder. So no pairs are made, and
+    the result is exact whatever the first holder looks like. Hot fingerprints and windows are dealt out over salts.
+    """
+    keys, place = ["fingerprint", "lines"], ["doc_id", "text_hash", "position"]
+    often = stash(found.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), "line-fingerprints")
+    rows, counts = dealt(found, often, keys, place)
+    places = stash(rows.join(counts, [*keys, "salt"], "left_semi").drop("salt"), "line-places")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), *place)
+    holders = stash(places.groupBy(*keys).agg(F.min(F.struct(order.alias("place"), "first", "hashes")).alias("h"), F.count("*").alias("n"))
+                    .select(*keys, "n", F.col("h.place").alias("h_place"), F.col("h.place.position").alias("h_position"),
+                            F.col("h.first").alias("h_first"), F.col("h.hashes").alias("h_hashes")), "line-holders")
+    rows, counts = dealt(places, holders, keys, place)
+    met = extended(rows.join(counts, [*keys, "salt"]).filter(order > F.col("h_place")), gram_lines, run_lines)
+    last = F.col("first") + (F.octet_length("hashes") / 16).cast("int") - F.col("lines")
+    whole = F.coalesce((F.col("lo") == F.col("first")) & (F.col("hi") == last), F.lit(False))
+    met = stash(met.select("doc_id", "text_hash", "first", "lines", "lo", "hi", F.when(~whole, F.col("hashes")).alias("hashes")), "line-matches")
+
+    starts = met.filter("hashes IS NOT NULL").withColumn("start", F.explode(F.sequence(F.col("first"), last))) \
+        .filter("lo IS NULL OR start < lo OR start > hi")
+    windows = starts.select("doc_id", "text_hash", "start", "lines", F.unhex(F.md5(
+        _line("hashes", F.col("start") - F.col("first"), F.col("lines")))).alias("window"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
+    firsts = stash(windows.groupBy("window").agg(F.min(order).alias("holder"), F.count("*").alias("n")).filter("n > 1"), "line-windows")
+    rows, counts = dealt(windows, firsts, ["window"], ["doc_id", "text_hash", "start"])
+    rest = rows.join(counts, ["window", "salt"]).filter(order > F.col("holder"))
+    return met.filter("lo IS NOT NULL").select("doc_id", "text_hash", "lo", "hi", "lines").unionByName(
+        rest.select("doc_id", "text_hash", F.col("start").alias("lo"), F.col("start").alias("hi"), "lines"))
 
 
 def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines: int = GRAM_LINES,
@@ -131,12 +194,13 @@ def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines
     in the same text), so runs are removed to their full length and the first copy stays; windows are judged on the
     input. With ``run_words`` fewer lines in a row are a window too if they have so many words together: a repeated
     paragraph on one or two lines goes as well. Ties of null ids are ordered by a hash of the text. Repeated rows (same
-    id, same text) are one place: all keep the same lines. A null text stays null with 0 lines. Extra columns are
-    ignored; an empty table gives an empty result.
+    id, same text) are one place: all keep the same lines. A null text stays null with 0 lines, an empty one stays empty.
+    A very long text is read whole, by one task: it takes 16 bytes a line there. Other columns are ignored, whatever
+    their names; an empty table gives an empty result.
     """
-    later = later_windows(fingerprints(docs, run_lines, gram_lines, run_words)).distinct()
+    later = later_runs(fingerprints(docs, run_lines, gram_lines, run_words), run_lines, gram_lines)
     starts = later.groupBy(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).agg(
-        F.collect_set(F.struct("start", "lines")).alias("starts"))
+        F.collect_set(F.struct("lo", "hi", "lines")).alias("starts"))
     rows = _keyed(docs).join(starts, F.col("doc_id").eqNullSafe(F.col("l_id")) & F.col("text_hash").eqNullSafe(F.col("l_hash")), "left") \
         .select("doc_id", "text", "starts")
 
@@ -148,7 +212,7 @@ def remove_repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, gram_lines
                 for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     lines = (text or "").split("\n")
                     full = [i for i, line in enumerate(lines) if line.strip(_STRIP)]
-                    gone = {k for s in starts or () for k in range(s["start"], s["start"] + s["lines"])}
+                    gone = {k for s in starts or () for k in range(s["lo"], s["hi"] + s["lines"])}
                     removed = {full[k] for k in gone}
                     out[0].append(len(full))
                     out[1].append(len(gone))
