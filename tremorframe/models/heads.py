@@ -15,11 +15,16 @@ from tremorframe.operators.fusion import null_mean
 from tremorframe.operators.labels import extreme_flag
 
 
+def head_columns(legal: DataFrame) -> list[str]:
+    """Inputs of a window's heads: model features and the observed counts."""
+    observed = [c for c in legal.columns if c.startswith(("obs_", "count_obs", "energy_obs"))]
+    return list(dict.fromkeys(feature_columns(legal) + observed))
+
+
 def window_table(ranked: DataFrame, window: str, margin: float = 1.2) -> tuple[DataFrame, list[str]]:
     """Legal feature arrays with the targets of one window."""
     legal = legal_features(ranked, window)
-    columns = feature_columns(legal) + [c for c in legal.columns if c.startswith(("obs_", "count_obs", "energy_obs"))]
-    columns = list(dict.fromkeys(columns))
+    columns = head_columns(legal)
     mag, hours = f"target_{window}_max_mag", f"target_{window}_time_to_max_hours"
     base = legal.join(ranked.select("mainshock_id", "row_index", "time_us", *(
         [mag, hours] if mag not in legal.columns else [])), "mainshock_id")

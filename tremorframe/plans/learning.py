@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from tremorframe.constants import WINDOWS
 from tremorframe.functions.windows import lower_hours, upper_hours
 from tremorframe.models import calibration as cal
-from tremorframe.models import heads, tuning
+from tremorframe.models import heads, persisted, tuning
 from tremorframe.models import quantiles as qf
 from tremorframe.models import training as tr
 from tremorframe.models.boosting import fit_all, scores_by_key
 from tremorframe.models.selection import keep_by_gain
+from tremorframe.models.training import load_model, save_model
 from tremorframe.operators import features as ft
 from tremorframe.operators import folds as fd
 from tremorframe.operators import fusion as fu
@@ -26,7 +28,7 @@ from tremorframe.operators.labels import long_windows, single_horizon_labels, wi
 from tremorframe.operators.sequences import holdout_truth, mainshocks
 from tremorframe.plans.inputs import BASE_SQL, PREDICTIONS_SQL, catalog, dated_rows, predictions
 from tremorframe.plans.sequences import labels_sql, long_sql
-from tremorframe.session import durable
+from tremorframe.session import durable, ensure_checkpoint_dir
 
 
 def _dated(spark, sf):
@@ -122,6 +124,16 @@ def _training_table(spark, sf, with_rates=True):
     return fd.with_time_rank(durable(joined), "mainshock_time", "mainshock_id")
 
 
+def _raw_table(spark, sf):
+    """Features with their gaps, and window labels, in time order."""
+    events = catalog(spark, sf)
+    main = mainshocks(events)
+    labelled = window_labels(main, events)
+    table = ft.derived_features(ft.sequence_features(main, events))
+    joined = table.join(labelled.select("mainshock_id", *[c for c in labelled.columns if c.startswith(("target_", "has_"))]), "mainshock_id")
+    return fd.with_time_rank(durable(joined), "mainshock_time", "mainshock_id")
+
+
 def _window_heads(ranked, windows):
     """Out-of-fold output of every head, both kinds, of each window; each window's table is written once for all folds."""
     folds = fd.plan_folds(ranked)
@@ -262,6 +274,29 @@ def window_heads_checked(spark, sf):
         _outside(*inside, F.abs(total - 1) < 1e-9, F.col("extreme_prob").between(0, 1), F.col("pred_mag").between(0.0, F.col("main_mag") + 0.5)))
 
 
+def persisted_heads(spark, sf):
+    """Final heads of every window, saved with their preparation, loaded again and applied to raw features without targets."""
+    ranked = _raw_table(spark, sf)
+    raw = ranked.drop(*[c for c in ranked.columns if c.startswith(("target_", "has_"))], "row_index", "time_us")
+    root = f"{ensure_checkpoint_dir(spark)}/heads-{uuid.uuid4().hex}"
+    parts = []
+    for window in WINDOWS:
+        save_model(persisted.fit_window_pipeline(ranked, window), f"{root}/{window}")
+        parts.append(load_model(f"{root}/{window}").transform(raw))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def persisted_heads_checked(spark, sf):
+    """Per window: rows that the loaded pipelines score, and how many leave the window's bounds, the mean or probabilities of one."""
+    out = persisted_heads(spark, sf)
+    low, high = lower_hours(F.col("window")), upper_hours(F.col("window"))
+    inside = [F.col(c).between(low, high) for c in ("hours_boosted", "hours_forest", "hours_bucket")]
+    total = F.aggregate("bucket_probs", F.lit(0.0), lambda a, x: a + x)
+    mean = F.abs(F.col("mag_mean") - (F.col("mag_boosted") + F.col("mag_forest")) / 2) < 1e-9
+    return out.groupBy("window").agg(F.count("*").alias("n"), _outside(
+        *inside, mean, F.abs(total - 1) < 1e-9, F.col("extreme_prob").between(0, 1), F.col("mag_boosted") >= 0, F.col("mag_forest") >= 0))
+
+
 def head_risk_metrics(spark, sf):
     """Risk of an extreme aftershock per window and fold: AUC, precision and recall of the extreme heads, out of fold."""
     ranked = _training_table(spark, sf)
@@ -288,7 +323,7 @@ QUERIES = {
         oof_regression, oof_late_weighted, gate_oof, quantile_forest, residual_calibration, residual_model,
         feature_selection, param_search, time_param_search, expanding_evaluation, oof_buckets, decoupled_predictions,
         single_horizon_predictions, window_model_predictions, extreme_risk_floor, batch_inference, holdout_evaluation,
-        oof_regression_checked, window_heads_checked, head_risk_metrics, batch_inference_checked,
+        oof_regression_checked, window_heads_checked, persisted_heads_checked, head_risk_metrics, batch_inference_checked,
     )
 }
 
@@ -306,5 +341,7 @@ ranked AS (SELECT mainshock_id, row_number() OVER (ORDER BY t0, mainshock_id) -
 folds AS (SELECT mainshock_id, fold FROM ranked, range(1, 6) t(fold) WHERE i >= total - (6 - fold) * (total // 6) AND i < total - (5 - fold) * (total // 6))
 SELECT "window", CAST(fold AS INT) AS fold, count(*) AS n, round(sum(true_mag), 6) AS truth, CAST(0 AS BIGINT) AS outside
 FROM long_labels JOIN folds USING (mainshock_id) GROUP BY ALL""",
+    "persisted_heads_checked": f"""WITH {BASE_SQL}
+SELECT "window", count(*) AS n, CAST(0 AS BIGINT) AS outside FROM main, (VALUES ('T1'), ('T2'), ('T3')) w("window") GROUP BY 1""",
     "batch_inference_checked": f"WITH {BASE_SQL} SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside FROM main",
 }
