@@ -190,3 +190,22 @@ def test_event_features_single_event_and_graph(make_catalog):
     assert all(math.isclose(r[0], 1.0, rel_tol=1e-9) for r in edges.groupBy("dst").agg(F.sum("weight")).select("sum(weight)").collect())
     shaken = [event_features.augmented(made.repartition(n), seed=3).orderBy("id").collect() for n in (1, 5)]
     assert shaken[0] == shaken[1]
+
+
+def test_features_and_edges_of_a_sequence_over_many_partitions(spark, make_catalog):
+    """Positions and gaps across range partitions, and edges of a split sequence, equal those of one task."""
+    from pyspark.sql import Window
+
+    start = datetime(2000, 1, 1)
+    events = make_catalog([(f"e{i:03d}", (start + timedelta(minutes=10 * (i // 2))).isoformat(sep=" "), 10.0 + 0.001 * i, 10.0, 5.0, 6.5 if i == 0 else 4.0)
+                           for i in range(300)])
+    pairs = interval_pairs(sequences.mainshocks(events), events, after_seconds=72 * 3600)
+    made = event_features.event_features(pairs)
+    by_time = Window.partitionBy("mainshock_id").orderBy("dt_days", "id")
+    wrong = made.withColumns({"_n": F.row_number().over(by_time), "_gap": (F.col("dt_days") - F.coalesce(F.lag("dt_days").over(by_time), F.lit(0.0))) * 24})
+    assert made.count() == 298 and wrong.filter("_n <> position OR abs(_gap - inter_event_interval_hours) > 1e-12").isEmpty()
+    order = ["src", "dst"]
+    whole, split = event_features.graph_edges(made), event_features.graph_edges(made, targets=40)
+    assert "_parts" in split._jdf.queryExecution().logical().toString()
+    assert [r.asDict() for r in split.orderBy(*order).select("src", "dst", F.round("weight", 12)).collect()] == [
+        r.asDict() for r in whole.orderBy(*order).select("src", "dst", F.round("weight", 12)).collect()]

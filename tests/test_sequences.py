@@ -97,7 +97,8 @@ def test_claim_chain(make_catalog):
     assert got == {f"n{i}" for i in range(0, 12, 2)}
 
 
-def test_decluster_equals_brute_force(random_catalog):
+@pytest.mark.parametrize("hot", [500_000, 40])
+def test_decluster_equals_brute_force(random_catalog, monkeypatch, hot):
     rows = [{"id": r.id, "us": r.time.timestamp() * 1e6, "lat": r.latitude, "lon": r.longitude, "mag": r.mag}
             for r in random_catalog.collect()]
 
@@ -108,12 +109,30 @@ def test_decluster_equals_brute_force(random_catalog):
         return 1000.0, 140.0
 
     want = greedy_brute(sorted(rows, key=lambda r: -r["mag"]), reach, smaller=True)
+    monkeypatch.setattr(sequences, "HOT_CELL_ROWS", hot)
     out = sequences.decluster(random_catalog)
     got = {r[0] for r in out.filter("is_background").select("id").collect()}
     assert out.count() == len(rows)
     assert got == want
 
 
+def test_rounds_follow_what_changed(random_catalog, monkeypatch):
+    """After the first round a node covers others once, as a kept or as a dropped one; only nodes that lost a coverer are looked at again."""
+    calls, covered = [], sequences.CoverRule.covered_ids
+
+    def counted(self, nodes, by, hot=None):
+        calls.append((nodes.count(), by.count()))
+        return covered(self, nodes, by, hot)
+
+    monkeypatch.setattr(sequences.CoverRule, "covered_ids", counted)
+    sequences.decluster(random_catalog).count()
+    total = random_catalog.count()
+    assert calls[0] == (total, total)
+    drop, lost, free = calls[1::3], calls[2::3], calls[3::3]
+    assert sum(by for _, by in drop + lost) <= total
+    assert all(f[0] <= now[0] for now, f in zip(lost, free)) and sum(n for n, _ in free) < sum(n for n, _ in lost)
+
+
 def test_pick_mainshock_takes_the_earliest_largest(make_catalog):
     events = make_catalog([("x", "2000-01-03 00:00:00", 1.0, 1.0, 5.0, 7.0), ("y", "2000-01-02 00:00:00", 1.0, 1.0, 5.0, 7.0),
                            ("z", "2000-01-01 00:00:00", 1.0, 1.0, 5.0, 6.0)]).withColumn("sequence_id", F.lit("s"))

@@ -40,6 +40,27 @@ def global_row_number(df: DataFrame, keys: list[Column], name: str = "row_index"
     )
 
 
+def numbered_with_previous(df: DataFrame, group: str, keys: list[Column], value: str) -> DataFrame:
+    """``row_index`` in the order of (group, keys), and ``previous``: ``value`` of the row before in the same group.
+
+    A group of any size lies over several range partitions; the last row of a partition is handed to the next one.
+    """
+    parts = _sorted_parts(df, [F.col(group), *keys])
+    last = F.struct(F.col(group).alias("g"), F.col(value).alias("v"))
+    ends = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.max_by(last, "_pos").alias("_last"))
+    order = Window.orderBy("_part")
+    handed = ends.select(
+        "_part", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lag("_last").over(order).alias("_handed"))
+    before = F.coalesce(F.lag(last).over(Window.partitionBy("_part").orderBy("_pos")), F.col("_handed"))
+    return (
+        parts.join(F.broadcast(handed), "_part").withColumn("_prior", before)
+        .withColumns({"row_index": (F.col("_before") + F.col("_pos")).cast("bigint"),
+                      "previous": F.when(F.col("_prior.g") == F.col(group), F.col("_prior.v"))})
+        .drop("_part", "_pos", "_before", "_handed", "_prior")
+    )
+
+
 def global_running_sum(df: DataFrame, keys: list[Column], sums: dict[str, str]) -> DataFrame:
     """Exclusive running sums: ``sums`` maps a value column to the name of its result.
 

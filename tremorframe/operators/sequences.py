@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from tremorframe.constants import (
 )
 from tremorframe.functions.geo import CellGrid, haversine_limit, haversine_term
 from tremorframe.functions.seismic import gk_days, gk_km, moment
-from tremorframe.operators.spatial_join import as_micros, drop_near_anchor_time, interval_pairs, micros
+from tremorframe.operators.spatial_join import (
+    HOT_CELL_ROWS, as_micros, dealt, drop_near_anchor_time, hot_keys, interval_pairs, micros, repeated,
+)
 from tremorframe.session import durable
 
 DAY_S = 86400.0
@@ -50,64 +54,85 @@ def sequence_mainshock(events: DataFrame, sequence: str = "sequence_id") -> Data
 
 # --- the greedy rule: a node stays iff no staying node covers it -----------------------------
 
+COVER_KEY = ["_grid", "_bucket", "_band", "_cell"]
+
+
 class CoverRule:
     """How one node covers a later one: per-node reach, plus an order that has no cycles.
 
     ``reaches`` lists (test on a node, days, km): nodes are put on one grid per class, so a
-    short-range node is never looked up on the cells of a long-range one.
+    short-range node is never looked up on the cells of a long-range one. Keys of more than
+    ``hot_rows`` nodes (``HOT_CELL_ROWS`` if not given) are split: one side is dealt out, the other repeated.
     """
 
     def __init__(self, reaches: list[tuple[Column | None, float, float]], days: Column, km: Column,
-                 smaller_only: bool):
+                 smaller_only: bool, hot_rows: int | None = None):
         self.reaches = reaches
         self.days, self.km, self.smaller_only = days, km, smaller_only
+        self.hot_rows = hot_rows or HOT_CELL_ROWS
 
-    def sources(self, nodes: DataFrame) -> DataFrame:
-        """Nodes replicated to every key they can cover."""
+    def _sources(self, nodes: DataFrame, spread: bool) -> DataFrame:
+        """Nodes as coverers, one row per key they can cover if ``spread``, else one row at their own place."""
         pieces = []
         for number, (test, days, km) in enumerate(self.reaches):
-            grid, bucket = CellGrid(km), as_micros(days * DAY_S)
             own = nodes if test is None else nodes.filter(test)
-            pieces.append(
-                own.select(
-                    F.lit(number).alias("_grid"), F.col("us").alias("s_us"), F.col("latitude").alias("s_lat"),
-                    F.col("longitude").alias("s_lon"), F.col("mag").alias("s_mag"),
-                    (self.days * F.lit(DAY_S * 1e6)).cast("bigint").alias("s_reach_us"),
-                    F.degrees(self.km / EARTH_RADIUS_KM).alias("s_reach_deg"),
-                    haversine_limit(self.km).alias("s_limit"), F.cos(F.radians("latitude")).alias("s_cos"),
-                )
-                .withColumn("_bucket", F.explode(F.sequence(
-                    F.floor(F.col("s_us") / bucket).cast("bigint"),
-                    F.floor((F.col("s_us") + F.col("s_reach_us")) / bucket).cast("bigint"))))
-                .withColumn("_band", F.explode(grid.bands_near(F.col("s_lat"))))
-                .withColumn("_ring", grid.ring_size(F.col("_band")))
-                .withColumn("_cell", F.explode(
-                    grid.cells_near(F.col("s_lat"), F.col("s_lon"), F.col("_band"), F.col("_ring"))))
-                .drop("_ring")
-            )
-        out = pieces[0]
-        for piece in pieces[1:]:
-            out = out.unionByName(piece)
-        return out
-
-    def targets(self, nodes: DataFrame) -> DataFrame:
-        """Nodes with one key per grid."""
-        keys = []
-        for number, (_, days, km) in enumerate(self.reaches):
-            grid, bucket = CellGrid(km), as_micros(days * DAY_S)
-            band = grid.band(F.col("latitude"))
-            keys.append(F.struct(
-                F.lit(number).alias("_grid"),
-                F.floor(F.col("us") / bucket).cast("bigint").alias("_bucket"),
-                band.alias("_band"),
-                grid.cell(F.col("longitude"), grid.ring_size(band)).alias("_cell"),
-            ))
-        flat = nodes.withColumns({"_cos": F.cos(F.radians("latitude")), "_key": F.explode(F.array(*keys))})
-        return flat.select("*", "_key.*").drop("_key")
-
-    def covered_ids(self, nodes: DataFrame, by: DataFrame) -> DataFrame:
-        """Ids of ``nodes`` covered by some node of ``by``: a semi join, no pair is emitted."""
-        target, source = self.targets(nodes).alias("t"), self.sources(by).alias("s")
+            piece = own.select(
+                F.lit(number).alias("_grid"), F.col("us").alias("s_us"), F.col("latitude").alias("s_lat"),
+                F.col("longitude").alias("s_lon"), F.col("mag").alias("s_mag"),
+                (self.days * F.lit(DAY_S * 1e6)).cast("bigint").alias("s_reach_us"),
+                F.degrees(self.km / EARTH_RADIUS_KM).alias("s_reach_deg"),
+                haversine_limit(self.km).alias("s_limit"), F.cos(F.radians("latitude")).alias("s_cos"))
+            place = F.col("s_us"), F.col("s_us") + F.col("s_reach_us"), F.col("s_lat"), F.col("s_lon")
+            pieces.append(self._spread(piece, CellGrid(km), days, *place) if spread else piece.select(
+                "*", *self._own_key(CellGrid(km), days, F.col("s_us"), F.col("s_lat"), F.col("s_lon"))))
+        return reduce(DataFrame.unionByName, pieces)
+
+    def _targets(self, nodes: DataFrame, spread: bool) -> DataFrame:
+        """Nodes as covered ones: one key per grid, or every key where a coverer can stand if ``spread``."""
+        nodes = nodes.withColumn("_cos", F.cos(F.radians("latitude")))
+        if spread:
+            pieces = []
+            for number, (_, days, km) in enumerate(self.reaches):
+                piece = nodes.withColumn("_grid", F.lit(number))
+                first = F.col("us") - as_micros(days * DAY_S)
+                pieces.append(self._spread(piece, CellGrid(km), days, first, F.col("us"), F.col("latitude"), F.col("longitude")))
+            return reduce(DataFrame.unionByName, pieces)
+        keys = [
+            F.struct(F.lit(number).alias("_grid"), *self._own_key(CellGrid(km), days, F.col("us"), F.col("latitude"), F.col("longitude")))
+            for number, (_, days, km) in enumerate(self.reaches)]
+        return nodes.withColumn("_key", F.explode(F.array(*keys))).select("*", "_key.*").drop("_key")
+
+    @staticmethod
+    def _own_key(grid: CellGrid, days: float, us: Column, lat: Column, lon: Column) -> list[Column]:
+        band = grid.band(lat)
+        return [F.floor(us / as_micros(days * DAY_S)).cast("bigint").alias("_bucket"), band.alias("_band"),
+                grid.cell(lon, grid.ring_size(band)).alias("_cell")]
+
+    @staticmethod
+    def _spread(piece: DataFrame, grid: CellGrid, days: float, first: Column, last: Column, lat: Column, lon: Column) -> DataFrame:
+        width = as_micros(days * DAY_S)
+        return (
+            piece.withColumn("_bucket", F.explode(F.sequence(F.floor(first / width).cast("bigint"), F.floor(last / width).cast("bigint"))))
+            .withColumn("_band", F.explode(grid.bands_near(lat)))
+            .withColumn("_ring", grid.ring_size(F.col("_band")))
+            .withColumn("_cell", F.explode(grid.cells_near(lat, lon, F.col("_band"), F.col("_ring"))))
+            .drop("_ring")
+        )
+
+    def hot(self, nodes: DataFrame) -> DataFrame | None:
+        """Keys of too many nodes; later rounds hold a part of them."""
+        return hot_keys(self._targets(nodes, False), COVER_KEY, self.hot_rows)
+
+    def covered_ids(self, nodes: DataFrame, by: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+        """Ids of ``nodes`` covered by some node of ``by``: a semi join, no pair is emitted.
+
+        The side that takes fewer rows for it goes to all keys it can meet, the other keeps to its own place. Both are read
+        twice (they are counted first), so give durable ones.
+        """
+        many = nodes.count() * len(self.reaches) < by.count()
+        one, all_parts = (repeated, dealt) if many else (dealt, repeated)
+        target = one(self._targets(nodes, many), hot, COVER_KEY).alias("t")
+        source = all_parts(self._sources(by, not many), hot, COVER_KEY).alias("s")
         gap = F.col("t.us") - F.col("s.s_us")
         test = (gap > 0) & (gap <= F.col("s.s_reach_us"))
         if self.smaller_only:
@@ -117,29 +142,43 @@ class CoverRule:
         test = test & (F.abs(rise) <= F.col("s.s_reach_deg") * (1 + 1e-9))
         near = haversine_term(rise, turn, F.col("s.s_cos"), F.col("t._cos"))
         test = test & (near <= F.col("s.s_limit"))
-        for key in ("_grid", "_bucket", "_band", "_cell"):
+        for key in (*COVER_KEY, "_salt"):
             test = test & (F.col(f"t.{key}") == F.col(f"s.{key}"))
         # The replicated side outgrows its size estimate, so a broadcast is ruled out here.
         return target.join(source.hint("merge"), test, "left_semi").select("id").distinct()
 
 
+def _marked(nodes: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``nodes`` with a boolean that says whether the id is among ``ids``."""
+    return durable(nodes.join(ids.withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False))))
+
+
 def greedy_keep(nodes: DataFrame, rule: CoverRule) -> DataFrame:
-    """Ids kept by the greedy rule, by rounds of semi and anti joins.
+    """Ids kept by the greedy rule, by rounds of semi and anti joins that follow what changed.
 
-    A round keeps every open node that no open node covers, then drops what the new ones
-    cover. Covering goes strictly forward in time (and down in magnitude where asked), so
-    each round settles at least one node and the kept set is unique. State is written to
-    the checkpoint folder each round.
+    Nodes that nothing covers are kept. A round drops what the nodes kept last cover; then only nodes that lost
+    a coverer by that are looked at again, and those without any other open coverer are kept. A node is a
+    coverer of a round's drop once, when it is kept or dropped, and never again. Covering goes strictly forward in
+    time (and down in magnitude where asked), so each round settles a node and the kept set is unique. State is
+    written to the checkpoint folder each round.
     """
-    open_nodes = durable(nodes.select("id", "us", "latitude", "longitude", "mag"))
-    kept = None
-    while True:
-        waiting = durable(open_nodes.join(rule.covered_ids(open_nodes, open_nodes), "id", "left_semi"))
-        fresh = durable(open_nodes.join(waiting.select("id"), "id", "left_anti"))
-        kept = fresh.select("id") if kept is None else kept.unionByName(fresh.select("id"))
-        if waiting.isEmpty():
-            return kept
-        open_nodes = durable(waiting.join(rule.covered_ids(waiting, fresh), "id", "left_anti"))
+    columns = ["id", "us", "latitude", "longitude", "mag"]
+    nodes = durable(nodes.select(*columns))
+    hot = rule.hot(nodes)
+    first = _marked(nodes, rule.covered_ids(nodes, nodes, hot), "covered")
+    fresh, waiting = first.filter("NOT covered").select(*columns), first.filter("covered").select(*columns)
+    kept = fresh.select("id")
+    while not waiting.isEmpty():
+        round_ = _marked(waiting, rule.covered_ids(waiting, fresh, hot), "dropped")
+        dropped, rest = round_.filter("dropped").select(*columns), round_.filter("NOT dropped").select(*columns)
+        if rest.isEmpty():
+            break
+        lost = durable(rest.join(rule.covered_ids(rest, dropped, hot), "id", "left_semi"))
+        free = lost.join(rule.covered_ids(lost, rest, hot), "id", "left_anti").select("id")
+        state = _marked(rest, free, "free")
+        fresh, waiting = state.filter("free").select(*columns), state.filter("NOT free").select(*columns)
+        kept = kept.unionByName(fresh.select("id"))
+    return kept
 
 
 def decluster(events: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ handling.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,33 +62,42 @@ def keyed_anchors(anchors: DataFrame, grid: CellGrid, bucket_us: int, before_us:
     )
 
 
-def split_hot_cells(events: DataFrame, anchors: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Salt every key that holds more than ``rows`` events, so that a task meets about ``rows`` of them.
-
-    One job counts the keys; without a hot key both sides only get a constant salt.
-    """
+def hot_keys(keyed: DataFrame, key: list[str], rows: int) -> DataFrame | None:
+    """Keys that hold more than ``rows`` rows, with the parts they are split in; none if there is no such key. One job counts them."""
     hot = durable(
-        events.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+        keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows)
-        .select(*KEY, F.ceil(F.col("_n") / F.lit(rows)).cast("int").alias("_parts"))
+        .select(*key, F.ceil(F.col("_n") / F.lit(rows)).cast("int").alias("_parts"))
     )
     keys = hot.count()
     if not keys:
-        return events.withColumn("_salt", F.lit(0)), anchors.withColumn("_salt", F.lit(0))
-    if keys <= BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    salted_events = (
-        events.join(hot, KEY, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*events.columns), parts).cast("int"))
-        .drop("_parts")
-    )
-    salted_anchors = (
-        anchors.join(hot, KEY, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
-    )
-    return salted_events, salted_anchors
+        return None
+    return F.broadcast(hot) if keys <= BROADCAST_KEYS else hot
+
+
+def _with_parts(df: DataFrame, hot: DataFrame | None, key: list[str], salt: Callable[[Column], Column]) -> DataFrame:
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
+    return df.join(hot, key, "left").withColumn("_salt", salt(F.coalesce(F.col("_parts"), F.lit(1)))).drop("_parts")
+
+
+def dealt(df: DataFrame, hot: DataFrame | None, key: list[str]) -> DataFrame:
+    """Rows of hot keys, each in one part by a hash of the row."""
+    return _with_parts(df, hot, key, lambda parts: F.pmod(F.xxhash64(*df.columns), parts).cast("int"))
+
+
+def repeated(df: DataFrame, hot: DataFrame | None, key: list[str]) -> DataFrame:
+    """Rows of hot keys, each in every part."""
+    return _with_parts(df, hot, key, lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def split_hot_cells(events: DataFrame, anchors: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Salt every key that holds more than ``rows`` events, so that a task meets about ``rows`` of them.
+
+    One job counts the keys; without a hot key both sides only get a constant salt.
+    """
+    hot = hot_keys(events, KEY, rows)
+    return dealt(events, hot, KEY), repeated(anchors, hot, KEY)
 
 
 def interval_pairs(

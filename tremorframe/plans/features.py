@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from tremorframe.constants import BIN_HOURS, FEATURE_DEFAULTS, FEATURE_DEFAULTS_BY_PLATE
 from tremorframe.functions import focal as foc
+from tremorframe.functions.geo import haversine_km
 from tremorframe.operators import estimators as est
 from tremorframe.operators import event_features as ev
 from tremorframe.operators import features as ft
 from tremorframe.operators import imputation as imp
 from tremorframe.operators import rates
 from tremorframe.operators import reference as ref
-from tremorframe.operators.sequences import mainshocks
+from tremorframe.operators.sequences import mainshocks, sequence_mainshock
 from tremorframe.operators.spatial_join import interval_pairs
 from tremorframe.plans.inputs import BASE_SQL, catalog, hav_sql, log_moment, pairs_sql, rounded, table
 
@@ -101,7 +102,21 @@ def event_graph_edges(spark, sf):
 
 
 def augmented_events(spark, sf):
-    return ev.augmented(_event_features(spark, sf), seed=7)
+    kept = ["mainshock_id", "id", "position", "dropped", "rel_x_km", "rel_y_km", "mag", "dt_days", "distance_km"]
+    return rounded(ev.augmented(_event_features(spark, sf), seed=7).select(*kept))
+
+
+def region_event_features(spark, sf):
+    """Events after the largest one of their latitude belt: a few sequences that grow with the table."""
+    events = catalog(spark, sf).withColumn("belt", F.floor(F.col("latitude") / 60))
+    main = sequence_mainshock(events, "belt").drop("mainshock_depth")
+    elapsed = F.unix_micros("time") - F.unix_micros("mainshock_time")
+    met = events.join(F.broadcast(main), "belt").withColumns({  # a row for each of a few belts
+        "elapsed_us": elapsed,
+        "distance_km": haversine_km(F.col("mainshock_lat"), F.col("mainshock_lon"), F.col("latitude"), F.col("longitude"))})
+    out = ev.event_features(met.filter("elapsed_us > 0"))
+    return rounded(out.select("mainshock_id", "id", "position", "dt_days", "rel_x_km", "rel_y_km", "distance_km", "mag_diff",
+                              "inter_event_interval_hours", "normalized_energy"))
 
 
 def _features(spark, sf, with_rates=False):
@@ -264,7 +279,7 @@ def nearest_boundary(spark, sf):
 QUERIES = {
     f.__name__: f for f in (
         early_stats, time_bins, sub_windows, bath, mc_maxc, gr_b, productivity, anisotropy, omori_grid, etas_em,
-        event_features, event_graph_edges, augmented_events, sequence_features, legal_features_t1,
+        event_features, event_graph_edges, augmented_events, region_event_features, sequence_features, legal_features_t1,
         legal_features_t2, legal_features_t3, legal_features_h168, derived_features, imputed_features,
         scaled_features, standard_scaled_features, feature_matrix, focal_asof, focal_nearest, fault_types,
         nearest_boundary,
@@ -411,6 +426,15 @@ ef AS (
   FROM capped WINDOW w AS (PARTITION BY mainshock_id))"""
 
 
+def draw_sql(tag: str, seed: int = 7) -> str:
+    return f"((('0x' || substr(md5(mainshock_id || '|' || id || '|{tag}|{seed}'), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
+
+
+def shaken_sql(value: str, name: str) -> str:
+    normal = f"sqrt(-2.0 * ln({draw_sql(name + '-r')})) * cos({2 * math.pi!r}::DOUBLE * {draw_sql(name + '-a')})"
+    return f"CASE WHEN dropped THEN 0.0::DOUBLE ELSE round({value} + {normal} * 2.0, 6) END AS {name}"
+
+
 def _plate_case(column: str, inner: str) -> str:
     rows = " ".join(
         f"WHEN plate = '{t}' THEN {d[column]}" for t, d in FEATURE_DEFAULTS_BY_PLATE.items() if column in d)
@@ -490,6 +514,23 @@ SELECT mainshock_id, id, position, {r('dt', 'dt_days')}, {r('ln(1.0 + dt)', 'log
        {r('y', 'rel_y_km')}, {r('distance_km', 'distance_km')}, depth, mag, {r('atan2(x, y)', 'azimuth_rad')},
        {r('mag_diff', 'mag_diff')}, {r('gap', 'inter_event_interval_hours')}, {r('proxy', 'local_b_value_proxy')},
        {r('share', 'normalized_energy')} FROM ef""",
+    "augmented_events": f"""WITH {EVENTS},
+top AS (SELECT *, max(mag) OVER (PARTITION BY mainshock_id) AS top FROM ef),
+drawn AS (SELECT *, mag < top - 1.5 AND {draw_sql('drop')} < 0.1 AS dropped FROM top)
+SELECT mainshock_id, id, position, dropped, {', '.join(shaken_sql(c, s) for c, s in (('x', 'rel_x_km'), ('y', 'rel_y_km')))},
+  {', '.join(f"CASE WHEN dropped THEN 0.0::DOUBLE ELSE {r_plain} END AS {name}" for r_plain, name in (
+      ('round(mag, 6)', 'mag'), ('round(dt, 6)', 'dt_days'), ('round(distance_km, 6)', 'distance_km')))} FROM drawn""",
+    "region_event_features": f"""WITH {BASE_SQL},
+belts AS (SELECT *, floor(latitude / 60) AS belt FROM catalog),
+mains AS (SELECT * FROM (SELECT belt, id AS mainshock_id, us AS us0, latitude AS lat0, longitude AS lon0, mag AS m0,
+  row_number() OVER (PARTITION BY belt ORDER BY mag DESC, us, id) AS k FROM belts) WHERE k = 1),
+met AS (SELECT b.*, m.* EXCLUDE (belt, k), (us - us0) / 86400000000.0::DOUBLE AS dt FROM belts b JOIN mains m USING (belt) WHERE us > us0)
+SELECT mainshock_id, id, row_number() OVER w AS position, {r('dt', 'dt_days')},
+  {r('6371.0 * cos(radians(lat0)) * (radians(longitude) - radians(lon0))', 'rel_x_km')}, {r('6371.0 * (radians(latitude) - radians(lat0))', 'rel_y_km')},
+  {r(hav_sql('lat0', 'lon0', 'latitude', 'longitude'), 'distance_km')}, {r('mag - m0', 'mag_diff')},
+  {r('CASE WHEN count(*) OVER (PARTITION BY mainshock_id) >= 2 THEN (dt - coalesce(lag(dt) OVER w, 0.0)) * 24.0 ELSE 0.0 END', 'inter_event_interval_hours')},
+  {r(f'{MOMENT} / greatest(sum({MOMENT}) OVER (PARTITION BY mainshock_id), 1e-12)', 'normalized_energy')}
+FROM met WINDOW w AS (PARTITION BY mainshock_id ORDER BY us, id)""",
     "event_graph_edges": f"""WITH {EVENTS},
 edges AS (
   SELECT s.mainshock_id, s.id AS src, d.id AS dst,
