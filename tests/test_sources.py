@@ -73,6 +73,28 @@ def test_ndk_records(spark, tmp_path):
     assert focal.distinct_events(twice).count() == 2
 
 
+def test_ranges_of_bytes_cut_no_record(spark, tmp_path):
+    """Every cut of a file gives the rows of the file read at once."""
+    import io
+    import re
+
+    from tremorframe.sources.records import range_records
+
+    text = ("# comment\n" + NDK + "garbage line\n\n" + NDK.replace("2024/01/01", "2024/01/02").replace("\n", "\r\n") + "\n".join(NDK.splitlines()[:3])).encode()
+    head = re.compile(focal.HEAD)
+    whole = list(range_records(io.BytesIO(text), 0, len(text), head, 5))
+    assert len(whole) == 2 and whole[0].splitlines() == NDK.splitlines()[:5]
+    for cut in range(len(text) + 1):
+        assert [r for a, b in ((0, cut), (cut, len(text))) for r in range_records(io.BytesIO(text), a, b, head, 5)] == whole
+    (tmp_path / "a.ndk").write_bytes(text * 3)
+    (tmp_path / "empty.ndk").write_bytes(b"")
+    split = focal.read_ndk(spark, str(tmp_path), range_bytes=200)
+    assert split.rdd.getNumPartitions() > 5
+    assert sorted(map(str, split.collect())) == sorted(map(str, focal.parse_ndk(spark.read.text(str(tmp_path), wholetext=True)).collect()))
+    (tmp_path / "a.ndk").unlink()
+    assert focal.read_ndk(spark, str(tmp_path)).count() == 0
+
+
 def test_boundaries_and_nearest(spark, tmp_path, make_catalog):
     def feature(kind, coords, shape="LineString"):
         return {"type": "Feature", "properties": {"STEP_CLASS": kind}, "geometry": {"type": shape, "coordinates": coords}}

@@ -13,7 +13,7 @@ from tremorframe.operators import tables as tb
 from tremorframe.plans.inputs import BASE_SQL, DATED_SQL, PREDICTIONS_SQL, catalog, dated_rows, predictions, rounded
 from tremorframe.session import ensure_checkpoint_dir
 from tremorframe.sinks import predictions as sink
-from tremorframe.sources import catalogs, feeds
+from tremorframe.sources import catalogs, feeds, focal
 from tremorframe.sources.predictions import TRUTH_SCHEMA, read_oof, read_truth
 
 
@@ -90,6 +90,25 @@ def feed_catalog(spark, sf):
     return _view(feeds.read_feed(spark, path))
 
 
+def ndk_catalog(spark, sf):
+    """The catalog as five-line focal records, read in ranges of bytes that cut records anywhere."""
+    path = _place(spark, "ndk")
+
+    def line(*parts):
+        return F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    place = [F.format_string("%.2f", c) for c in ("latitude", "longitude", "depth")]
+    rake = F.pmod(F.col("id").cast("bigint"), F.lit(360)) - 180
+    power = F.floor("mag") + 20
+    lines = [
+        line("PDEW", _stamp("yyyy/MM/dd HH:mm:ss.S"), *place, "0.0 7.5 PLACE"), line(F.col("id"), "B: 4 4 27 S: 27 33 50"), line("CENTROID: -0.3 0.9"),
+        line(power.cast("string"), "1.000 0.1 -0.500 0.1 -0.500 0.1 0.200 0.1 0.100 0.1 0.050 0.1"),
+        line("V10 1.581 56 12 -0.537 23 140 -1.044 24 241 1.310 9 29", rake.cast("string"), "133 72 66")]
+    catalog(spark, sf).select(F.concat_ws("\n", *lines).alias("value")).write.text(path)
+    read = focal.read_ndk(spark, path, range_bytes=65_536)
+    return rounded(read.select(F.col("event_name").alias("id"), F.unix_micros("time").alias("us"), "latitude", "longitude", "depth", "mw", "rake1"))
+
+
 def truth_file(spark, sf):
     """Truth rows of every prediction, as a header CSV."""
     path = _place(spark, "truth")
@@ -163,7 +182,7 @@ def fold_preprocessors(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        csv_catalog, csv_calendar_catalog, csv_sequences, landed_extracts, catalog_store, feed_catalog, truth_file, oof_file, single_horizon_lines,
+        csv_catalog, csv_calendar_catalog, csv_sequences, landed_extracts, catalog_store, feed_catalog, ndk_catalog, truth_file, oof_file, single_horizon_lines,
         earliest_rows, training_rows, schema_gaps, fold_preprocessors,
     )
 }
@@ -199,6 +218,8 @@ ORACLES = {
     "landed_extracts": f"WITH {BASE_SQL} SELECT {VIEW} FROM catalog WHERE mag >= 5 AND depth <= 70",
     "catalog_store": f"WITH {BASE_SQL} SELECT {VIEW} FROM catalog WHERE us >= epoch_us(TIMESTAMP '2024-01-05') AND us < epoch_us(TIMESTAMP '2024-01-20')",
     "feed_catalog": f"WITH {BASE_SQL} SELECT id, us // 1000 * 1000 AS us, latitude, longitude, depth, mag FROM catalog",
+    "ndk_catalog": f"""WITH {BASE_SQL} SELECT id, us // 100000 * 100000 AS us, latitude, longitude, depth,
+  round((2.0::DOUBLE / 3.0) * (log10(1.31::DOUBLE) + floor(mag) + 20 - 16.1::DOUBLE), 6) AS mw, ((CAST(id AS BIGINT) % 360) - 180)::DOUBLE AS rake1 FROM catalog""",
     "truth_file": f"""WITH {PREDICTIONS_SQL}
 SELECT id AS mainshock_id, "window", round(main_mag, 6) AS main_mag, round(true_mag, 6) AS true_mag, round(true_hours, 6) AS true_hours FROM preds""",
     "oof_file": f"WITH {DATED_SQL} SELECT id AS mainshock_id, round(mag_a, 6) AS predicted_max_mag, round(days_a, 6) AS predicted_time_to_max FROM dated",

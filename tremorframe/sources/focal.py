@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tremorframe.constants import FOCAL_NUMERIC
 from tremorframe.functions.focal import catalog_fault_code
 from tremorframe.sources.catalogs import parsed_time, read_csv
+from tremorframe.sources.records import RANGE_BYTES, read_records
+
+#: The first line of a record holds a date.
+HEAD = r"\d{4}/\d{1,2}/\d{1,2}"
 
 TENSOR = ("mrr", "mtt", "mpp", "mrt", "mrp", "mtp")
 # Positions of the fields on the fifth line of a record.
@@ -25,7 +29,7 @@ def read_focal(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_ndk(texts: DataFrame) -> DataFrame:
-    """Typed rows from NDK text, one monthly file per input row (column ``value``).
+    """Typed rows from NDK text (column ``value``), a record or a whole file per input row.
 
     A record starts at a line with a date and spans five lines; short or unreadable records
     are dropped.
@@ -33,7 +37,7 @@ def parse_ndk(texts: DataFrame) -> DataFrame:
     lines = F.filter(
         F.split("value", "\r?\n"), lambda l: (F.trim(l) != "") & ~F.trim(l).startswith("#"))
     starts = texts.select(lines.alias("lines")).select("lines", F.posexplode("lines").alias("pos", "head")).filter(
-        F.col("head").rlike(r"\d{4}/\d{1,2}/\d{1,2}") & (F.col("pos") + 5 <= F.size("lines")))
+        F.col("head").rlike(HEAD) & (F.col("pos") + 5 <= F.size("lines")))
     record = starts.select(*[
         F.split(F.trim(F.element_at("lines", F.col("pos") + i + 1)), r"\s+").alias(f"l{i}") for i in (0, 1, 3, 4)])
 
@@ -59,8 +63,9 @@ def parse_ndk(texts: DataFrame) -> DataFrame:
         "fault_type", catalog_fault_code(F.col("rake1")))
 
 
-def read_ndk(spark: SparkSession, path) -> DataFrame:
-    return parse_ndk(spark.read.text(path, wholetext=True))
+def read_ndk(spark: SparkSession, path, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows of NDK files; a file is read in ranges of bytes, so a large one is spread over tasks."""
+    return parse_ndk(read_records(spark, path, HEAD, 5, range_bytes))
 
 
 def distinct_events(focal: DataFrame) -> DataFrame:
