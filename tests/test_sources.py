@@ -153,6 +153,23 @@ def test_prediction_files_round_trip(spark, tmp_path):
     assert abs(parsed["T1"].pred_hours - (18 - 28 / 60 - 4 / 3600)) < 1e-9
 
 
+def test_named_files(spark, tmp_path):
+    """Exact names and order, files of the same name replaced, nothing left by a failed job."""
+    from tremorframe.sinks.named_files import write_named_files
+
+    out = tmp_path / "named"
+    out.mkdir()
+    rows = [(f"{i}.csv", n, f"{i} line {n}") for i in range(20) for n in (1, 0)]
+    write_named_files(spark.createDataFrame(rows, "file_name string, n int, line string").repartition(5), str(out), ["n"])
+    assert sorted(p.name for p in out.iterdir()) == sorted(f"{i}.csv" for i in range(20))
+    assert (out / "7.csv").read_text() == "7 line 0\n7 line 1\n"
+    write_named_files(spark.createDataFrame([("7.csv", 0, "new")], "file_name string, n int, line string"), str(out), ["n"])
+    assert (out / "7.csv").read_text() == "new\n" and len(list(out.iterdir())) == 20
+    with pytest.raises(Exception, match="not a file name"):
+        write_named_files(spark.createDataFrame([("8.csv", 0, "new"), ("../9.csv", 0, "x")], "file_name string, n int, line string"), str(out), ["n"])
+    assert (out / "8.csv").read_text() == "8 line 0\n8 line 1\n" and len(list(out.iterdir())) == 20
+
+
 def test_oof_tables(spark, tmp_path):
     cols = "mainshock_id string, mainshock_time timestamp, target_max_mag double, target_time_to_max_days double, {m}_pred_mag double, {m}_pred_time double"
     from datetime import datetime

@@ -11,10 +11,12 @@ from tremorframe.operators import folds as fd
 from tremorframe.operators import imputation as imp
 from tremorframe.operators import tables as tb
 from tremorframe.plans.inputs import BASE_SQL, DATED_SQL, PREDICTIONS_SQL, catalog, dated_rows, predictions, rounded
+from tremorframe.plans.scoring import LINES, line_inputs
 from tremorframe.session import ensure_checkpoint_dir
 from tremorframe.sinks import predictions as sink
+from tremorframe.sinks.named_files import write_named_files
 from tremorframe.sources import catalogs, feeds, focal
-from tremorframe.sources.predictions import TRUTH_SCHEMA, read_oof, read_truth
+from tremorframe.sources.predictions import TRUTH_SCHEMA, read_oof, read_prediction_lines, read_truth
 
 
 def _place(spark, name):
@@ -132,6 +134,13 @@ def oof_file(spark, sf):
     return rounded(read.filter("recorded_at IS NOT NULL").drop("recorded_at"))
 
 
+def named_prediction_files(spark, sf):
+    """A file per mainshock and kind, written under its own name and read back."""
+    path = _place(spark, "package")
+    write_named_files(sink.file_names(sink.prediction_rows(line_inputs(spark, sf))), path, ["line_no"])
+    return read_prediction_lines(spark, path).select("file_name", "line")
+
+
 def single_horizon_lines(spark, sf):
     """One line per prediction, in the order of tokens, written and read."""
     path = _place(spark, "horizon")
@@ -182,7 +191,7 @@ def fold_preprocessors(spark, sf):
 
 QUERIES = {
     f.__name__: f for f in (
-        csv_catalog, csv_calendar_catalog, csv_sequences, landed_extracts, catalog_store, feed_catalog, ndk_catalog, truth_file, oof_file, single_horizon_lines,
+        csv_catalog, csv_calendar_catalog, csv_sequences, landed_extracts, catalog_store, feed_catalog, ndk_catalog, truth_file, oof_file, named_prediction_files, single_horizon_lines,
         earliest_rows, training_rows, schema_gaps, fold_preprocessors,
     )
 }
@@ -223,6 +232,8 @@ ORACLES = {
     "truth_file": f"""WITH {PREDICTIONS_SQL}
 SELECT id AS mainshock_id, "window", round(main_mag, 6) AS main_mag, round(true_mag, 6) AS true_mag, round(true_hours, 6) AS true_hours FROM preds""",
     "oof_file": f"WITH {DATED_SQL} SELECT id AS mainshock_id, round(mag_a, 6) AS predicted_max_mag, round(days_a, 6) AS predicted_time_to_max FROM dated",
+    "named_prediction_files": f"""WITH {LINES}
+SELECT token || '-' || file_kind || '.csv' AS file_name, concat_ws(' ', token, lon, lat, mm, pm, '(Ms)', stamp) AS line FROM lines""",
     "single_horizon_lines": "SELECT CAST(7 AS BIGINT) AS tokens, count(*) AS lines FROM orders",
     "earliest_rows": f"WITH {BASE_SQL} SELECT {VIEW} FROM catalog ORDER BY us, id LIMIT 100",
     "training_rows": f"""WITH {DATED_SQL}, holed AS ({HOLED})

@@ -127,7 +127,7 @@ def f2_threshold(spark, sf):
     return rounded(mt.threshold_search(df, "y", "risk"))
 
 
-def _line_inputs(spark, sf):
+def line_inputs(spark, sf):
     events = catalog(spark, sf)
     main = mainshocks(events)
     keep = ["mainshock_id", "mainshock_time", "mainshock_lat", "mainshock_lon", "mainshock_mag"]
@@ -136,29 +136,29 @@ def _line_inputs(spark, sf):
 
 
 def prediction_lines(spark, sf):
-    out = sink.prediction_rows(_line_inputs(spark, sf))
+    out = sink.prediction_rows(line_inputs(spark, sf))
     return out.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def parsed_predictions(spark, sf):
-    return rounded(parse_prediction_lines(sink.file_names(sink.prediction_rows(_line_inputs(spark, sf)))))
+    return rounded(parse_prediction_lines(sink.file_names(sink.prediction_rows(line_inputs(spark, sf)))))
 
 
 def package_check(spark, sf):
     """Violations after every line of a third of the T2 rows is withheld."""
-    rows = sink.prediction_rows(_line_inputs(spark, sf))
+    rows = sink.prediction_rows(line_inputs(spark, sf))
     short = rows.filter((F.col("window") != "T2") | (F.substring("token", 13, 2).cast("int") >= 20))
     return sink.contract_violations(short)
 
 
 def unmatched_truth(spark, sf):
-    truth = _line_inputs(spark, sf).select("mainshock_id", "window")
-    preds = _line_inputs(spark, sf).filter(F.col("true_mag") > 0).select("mainshock_id", "window")
+    truth = line_inputs(spark, sf).select("mainshock_id", "window")
+    preds = line_inputs(spark, sf).filter(F.col("true_mag") > 0).select("mainshock_id", "window")
     return mt.unmatched_truth(truth, preds)
 
 
 def package_manifest(spark, sf):
-    df = _line_inputs(spark, sf).withColumn("source", F.when(F.col("true_mag") > 0, "model").otherwise("rule"))
+    df = line_inputs(spark, sf).withColumn("source", F.when(F.col("true_mag") > 0, "model").otherwise("rule"))
     return sink.manifest(df)
 
 
@@ -199,7 +199,7 @@ def oof_window_join(spark, sf):
 def backfilled(spark, sf):
     """Depth is missing from the prediction rows and comes from the mainshock table."""
     main = mainshocks(catalog(spark, sf))
-    rows = _line_inputs(spark, sf).select("mainshock_id", "window", "pred_mag")
+    rows = line_inputs(spark, sf).select("mainshock_id", "window", "pred_mag")
     return rounded(tables.backfill(rows, main, ["pred_mag", "mainshock_depth", "unknown"]))
 
 

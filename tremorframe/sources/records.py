@@ -23,12 +23,11 @@ class ByteRange(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def open_file(path: str):
-    """A seekable file of any file system that the path names."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path names, and the path inside it."""
     if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(re.sub("^file:/*", "/", path))
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
 
 
 def range_records(file, start: int, end: int, head: re.Pattern, lines: int, comment: bytes = b"#") -> Iterator[str]:
@@ -86,7 +85,8 @@ class RecordReader(DataSourceReader):
         if partition.start >= partition.end:
             return
         head, batch = re.compile(self.head), []
-        with open_file(partition.path) as file:
+        system, inner = located(partition.path)
+        with system.open_input_file(inner) as file:
             for record in range_records(file, partition.start, partition.end, head, self.lines):
                 batch.append(record)
                 if len(batch) == BATCH:
