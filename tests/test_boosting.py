@@ -164,3 +164,60 @@ def test_scores_fill_one_column_and_models_save(spark, table, tmp_path):
     assert all(r.f == rows[r.id].f for r in again)
     missing = PipelineModel.load(str(tmp_path / "m")).transform(table.limit(1).withColumn("x", F.lit(None).cast("double"))).first()
     assert missing.f is not None  # as zero
+
+
+def test_dealt_levels_do_not_wait_for_gathers(table):
+    """120 levels: a gather of a barrier stage takes a second each."""
+    import time
+
+    size = trees.Size(rounds=40, depth=3, gain=0.0)
+    fits = [boosting.Fit("a", F.lit(True), F.col("y"), F.lit(True), size=size)]
+    alone = boosting.fit_all(table, "id", ["x", "z"], fits).orderBy("key").collect()
+    begun = time.monotonic()
+    dealt = boosting.fit_all(table, "id", ["x", "z"], fits, shard_rows=100).orderBy("key").collect()
+    assert alone == dealt and time.monotonic() - begun < 60
+
+
+def test_shared_files_sum_the_parts_of_all_tasks(tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    monkeypatch.setattr(boosting, "PIECES", 10)
+
+    def task(me):
+        total = boosting._Shared(str(tmp_path), me, 3)
+        return [total(np.arange(n) * 2.0 ** me) for n in (4, 25, 1, 0, 11)]
+
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(task, range(3)))
+    for parts in found:
+        assert all((p == np.arange(n) * 7.0).all() and len(p) == n for p, n in zip(parts, (4, 25, 1, 0, 11)))
+
+
+def test_without_a_shared_folder_the_gathers_give_the_same(table, monkeypatch):
+    fits = some_fits()[:2]
+    shared = boosting.fit_all(table, "id", ["x", "z"], fits, shard_rows=160).orderBy("fit", "key").collect()
+    monkeypatch.setattr(boosting, "urlparse", lambda path: __import__("urllib.parse").parse.urlparse("hdfs://far" + path[5:]))
+    assert boosting.fit_all(table, "id", ["x", "z"], fits, shard_rows=160).orderBy("fit", "key").collect() == shared
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forest"])
+def test_one_sum_for_both_derivatives_is_exact(kind, monkeypatch):
+    """Rows over several chunks, deep trees and few rows in range: as with separate sums."""
+    rng = np.random.default_rng(3)
+    n = 5000
+    codes, edges = rng.integers(0, 30, (n, 4)).astype(np.uint8), [np.arange(29.0)] * 4
+    y = np.where(np.arange(n) < 3000, codes[:, 0] * 0.3 + rng.normal(size=n), np.nan)
+    size = trees.Size(rounds=6, depth=9, gain=0.0, least=1.0, bagged=kind == "forest", node_columns=0.5 if kind == "forest" else 1.0)
+    active = (np.arange(n) >= 500) & (np.arange(n) < 4000)
+
+    def run(chunk, work):
+        monkeypatch.setattr(trees, "CHUNK", chunk)
+        (model, scores), = trees.fit(codes, np.arange(n), edges, [work])
+        return model.write(), scores[:4000]
+
+    whole = run(1 << 15, trees.Work("squared", size, y, None))
+    small = run(256, trees.Work("squared", size, y, np.ones(n), active=active))
+    monkeypatch.setattr(trees._Tree, "_pack", lambda t: setattr(t, "h", t.mask.astype(float) if t.h is None else t.h.astype(float)))
+    plain = run(1 << 15, trees.Work("squared", size, y, np.ones(n)))
+    assert whole[0] == small[0] == plain[0]
+    assert (whole[1] == plain[1]).all() and (whole[1] == small[1]).all()
