@@ -334,3 +334,14 @@ def test_query_equals_sql(spark, name):
     from compare import compare, connect
 
     assert not compare(QUERIES[name](spark, SF), connect(SF), ORACLES[name])[0]
+
+
+def test_bpe_ranges_merge_like_one_rank_after_the_other():
+    rng = random.Random(7)
+    vocab = bpe.Vocabulary(bpe.public_vocabulary()[0])
+    pieces = ["aa", "b", "ab", "Zzz", "0", "é", "日本", " the", "ing", "\n", "-", "=="]
+    words = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))).encode() for _ in range(3000)] + [b"a" * k for k in range(1, 60)]
+    side_by_side, in_order = (bpe._laid_out(*replay(words, vocab)) for replay in (bpe._replay_ranges, bpe._replay_ranks))
+    assert side_by_side == in_order
+    assert "pairs" not in vars(bpe.Decoder(vocab.ranks)) and all(vocab.pairs[k] == r for k, r in zip(
+        list(vocab.pairs)[:50], vocab.merged(np.array(list(vocab.pairs)[:50])), strict=True))

@@ -1,8 +1,8 @@
 """Byte-level BPE by merge replay over a block of the corpus.
 
 A task splits its texts into pieces, keeps the distinct pieces of a block once, and replays the merges on all of
-them together: an inverted index leads from each mergeable pair to the positions that hold it, the lowest rank is
-applied at all its positions, and only the pairs at both sides of a merged position are entered anew. Results
+them together: an inverted index leads from mergeable pairs, by range of rank, to the positions that hold them, the
+lowest of a word is applied first, and only the pairs at both sides of a merged position are entered anew. Results
 are then laid out per text. No text and no vocabulary of the corpus leaves its task, so memory is bounded by the
 block and nothing is shuffled.
 """
@@ -10,6 +10,7 @@ block and nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 from collections.abc import Iterable, Iterator
 
@@ -25,50 +26,176 @@ from tremorframe.llm.common import read_table, travels
 travels(__name__)
 
 #: Pieces of a block, and pieces that a task remembers from earlier blocks: memory, never results.
-BLOCK_PIECES = 400_000
+BLOCK_PIECES = 200_000
 REMEMBERED = 300_000
+#: Bytes up to which words are merged side by side.
+LONG_WORD = 64
 #: Longer texts are split into pieces step by step.
 LONG_TEXT = 2_000_000
 
 
+class Decoder:
+    """The bytes of every token, one after the other."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = {r: t for t, r in ranks.items()}
+        size = max(tokens) + 1
+        self.lengths = np.array([len(tokens.get(r, b"")) for r in range(size)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(tokens.get(r, b"") for r in range(size)), np.uint8)
+
+
+def read_ranks(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(t): int(r) for t, r in (line.split() for line in rank_file.splitlines() if line)}
+
+
 class Vocabulary:
+    """Ranks of tokens, and what two tokens make together: every split of a token in two tokens. Pairs (left << 32 | right) lie in a
+    table with open addresses, so that many are looked up at once."""
+
     def __init__(self, rank_file: bytes):
-        self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in rank_file.splitlines() if line)}
-        self.tokens = {r: t for t, r in self.ranks.items()}
-        size = max(self.tokens) + 1
-        lengths = np.zeros(size, np.int64)
-        for r, t in self.tokens.items():
-            lengths[r] = len(t)
-        self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.blob = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(size)), np.uint8)
+        self.ranks = read_ranks(rank_file)
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        # what two tokens make together: every split of a token in two tokens
-        self.pairs: dict[int, int] = {}
+        keys, made = [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
-        self.byte_pairs = np.full(1 << 16, -1, np.int64)
-        for left in range(256):
-            for right in range(256):
-                self.byte_pairs[left << 8 | right] = self.ranks.get(bytes([left, right]), -1)
+                    keys.append(left << 32 | right)
+                    made.append(rank)
+        pairs, made = np.array(keys, np.int64), np.array(made, np.int64)
+        self.bits = max(int(4 * len(pairs)).bit_length(), 4)
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        place = self._place(pairs)
+        while len(pairs):
+            free = np.flatnonzero(self.keys[place] < 0)
+            _, first = np.unique(place[free], return_index=True)
+            taken = free[first]
+            self.keys[place[taken]], self.made[place[taken]] = pairs[taken], made[taken]
+            rest = np.ones(len(pairs), bool)
+            rest[taken] = False
+            pairs, made, place = pairs[rest], made[rest], (place[rest] + 1) & (len(self.keys) - 1)
+        both = np.arange(1 << 16)
+        self.byte_pairs = self.merged(self.byte_rank[both >> 8] << 32 | self.byte_rank[both & 255])
+        #: Ranks lie in ranges, narrow where they are low: what the index keeps together.
+        self.range_of = (8 * np.log2(np.arange(max(self.ranks.values()) + 1) / 256 + 1)).astype(np.int64)
+
+    @classmethod
+    def of(cls, parts: dict) -> Vocabulary:
+        """From the ``vars`` of another one: plain values, which travel without this module."""
+        out = cls.__new__(cls)
+        vars(out).update(parts)
+        return out
+
+    def _place(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def merged(self, pairs: np.ndarray) -> np.ndarray:
+        """Rank of what each pair makes, or -1."""
+        out = np.full(len(pairs), -1, np.int64)
+        at, place = np.arange(len(pairs)), self._place(pairs)
+        while len(at):
+            held = self.keys[place]
+            same = held == pairs[at]
+            out[at[same]] = self.made[place[same]]
+            on = ~same & (held >= 0)
+            at, place = at[on], (place[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        held = np.flatnonzero(self.keys >= 0)
+        return dict(zip(self.keys[held].tolist(), self.made[held].tolist(), strict=True))
 
 
 def replay_merges(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
     """Token ids of every word, as little-endian unsigned 32-bit integers."""
-    out = [vocab.ranks.get(w) for w in words]
-    open_words = [k for k, whole in enumerate(out) if whole is None and words[k]]
-    out = [b"" if whole is None else whole.to_bytes(4, "little") for whole in out]
-    if not open_words:
-        return out
-    raw = np.frombuffer(b"".join(words[k] for k in open_words), np.uint8).astype(np.int64)
+    whole = [vocab.ranks.get(w) for w in words]
+    out = [b"" if r is None else r.to_bytes(4, "little") for r in whole]
+    short = [k for k, r in enumerate(whole) if r is None and 0 < len(words[k]) <= LONG_WORD]
+    long = [k for k, r in enumerate(whole) if r is None and len(words[k]) > LONG_WORD]
+    for picked, replay in ((short, _replay_ranges), (long, _replay_ranks)):
+        if picked:
+            for k, ids in zip(picked, _laid_out(*replay([words[k] for k in picked], vocab)), strict=True):
+                out[k] = ids
+    return out
+
+
+def _laid_out(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    alive = ids >= 0
+    flat = ids[alive].astype("<u4").tobytes()
+    bounds = (4 * np.concatenate([[0], np.cumsum(alive)[ends - 1]])).tolist()
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _chained(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words, the ends of the words, and for each place the ones after and before it in its word (or -1)."""
+    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    ends = np.cumsum([len(w) for w in words])
+    places = np.arange(len(raw))
+    after, before = places + 1, places - 1
+    after[ends - 1] = -1
+    before[0] = before[ends[:-1]] = -1
+    return raw, ends, after, before
+
+
+def _replay_ranges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Merges of many words at once. The inverted index leads from a range of ranks to the places whose pair has one of them; the lowest
+    range is taken, each word in it merges its lowest pair (the leftmost of equal ones), and the pairs at both sides enter the
+    index anew. Words do not touch each other, so the order is that of one rank after the other."""
+    raw, ends, after, before = _chained(words)
+    ids, n = vocab.byte_rank[raw], len(raw)
+    word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    rank = np.full(n, -1, np.int64)  # of the pair that begins at a place
+    rank[:-1] = vocab.byte_pairs[raw[:-1] << 8 | raw[1:]]
+    rank[ends - 1] = -1
+    index: dict[int, list[np.ndarray]] = {}
+    lowest = np.empty(len(words), np.int64)
+
+    def enter(places: np.ndarray) -> None:
+        ranges = vocab.range_of[rank[places]]
+        order = np.argsort(ranges, kind="stable")
+        found, begin = np.unique(ranges[order], return_index=True)
+        for r, part in zip(found.tolist(), np.split(places[order], begin[1:])[:len(found)], strict=True):
+            index.setdefault(r, []).append(part)
+
+    enter(np.flatnonzero(rank >= 0))
+    while index:
+        now = min(index)
+        open_, new = np.concatenate(index.pop(now)), [np.zeros(0, np.int64)]
+        while len(open_):
+            r = rank[open_]
+            held = (r >= 0) & (vocab.range_of[r] == now)  # a neighbour may have been merged meanwhile
+            open_, r = open_[held], r[held]
+            key, w = r << 32 | open_, word[open_]
+            lowest[w] = np.iinfo(np.int64).max
+            np.minimum.at(lowest, w, key)
+            first = key == lowest[w]
+            p, made, open_ = open_[first], r[first], open_[~first]
+            q, left = after[p], before[p]
+            right = after[q]
+            ids[p], ids[q], rank[p], rank[q], after[p] = made, -1, -1, -1, right
+            to_right, to_left = np.flatnonzero(right >= 0), np.flatnonzero(left >= 0)
+            right, left = right[to_right], left[to_left]
+            before[right] = p[to_right]
+            rank[p[to_right]] = vocab.merged(made[to_right] << 32 | ids[right])
+            rank[left] = vocab.merged(ids[left] << 32 | made[to_left])
+            beside = np.concatenate([p[to_right], left])
+            beside = beside[rank[beside] >= 0]
+            ranges = vocab.range_of[rank[beside]]
+            new.append(beside[ranges != now])
+            open_ = np.concatenate([open_, beside[ranges == now]])
+            if len(ranges) and ranges.min() < now:  # a lower pair goes first, the rest waits
+                index[now] = [open_]
+                break
+        enter(np.concatenate(new))
+    return ids, ends
+
+
+def _replay_ranks(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Merges of words that may be long: the lowest rank is applied at all its places, one rank after the other."""
+    raw, ends, later, earlier = _chained(words)
     n = len(raw)
-    ends = np.cumsum([len(words[k]) for k in open_words])
-    places = np.arange(n)
-    later, earlier = places + 1, places - 1
-    later[ends - 1] = -1
-    earlier[0] = earlier[ends[:-1]] = -1
     ids, after, before = vocab.byte_rank[raw].tolist(), later.tolist(), earlier.tolist()
 
     # inverted index: rank of a pair -> positions of its left token
@@ -120,13 +247,7 @@ def replay_merges(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
                     index[rank] = positions[k + 1:]
                     heapq.heappush(waiting, rank)
                 break
-    found = np.array(ids, np.int64)
-    alive = found >= 0
-    flat = found[alive].astype("<u4").tobytes()
-    bounds = (4 * np.concatenate([[0], np.cumsum(alive)[ends - 1]])).tolist()
-    for k, a, b in zip(open_words, bounds[:-1], bounds[1:], strict=True):
-        out[k] = flat[a:b]
-    return out
+    return np.array(ids, np.int64), ends
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -139,10 +260,11 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to ids; remembers the pieces of earlier blocks."""
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    def __init__(self, rank_file: bytes | Vocabulary, pattern: str):
         import regex
 
-        self.vocab, self.pattern, self.known = Vocabulary(rank_file), regex.compile(pattern), {}
+        self.vocab = Vocabulary(rank_file) if isinstance(rank_file, bytes) else rank_file
+        self.pattern, self.known = regex.compile(pattern), {}
 
     def pieces_of(self, text: str) -> Iterator[list[str]]:
         if len(text) <= LONG_TEXT:
@@ -206,12 +328,13 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
 
     As ``encode_ordinary`` of a tokenizer with these ranks: no special tokens; a piece that is a token is taken
     whole. Null and empty texts have no tokens. Repeated rows are encoded each by itself, extra columns are ignored,
-    an empty table gives an empty result. The vocabulary (about a megabyte, fixed) is broadcast.
+    an empty table gives an empty result. The vocabulary and its pairs (some ten megabytes, fixed) are broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((rank_file, pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(Vocabulary(rank_file)), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        parts, words = shared.value
+        encoder = Encoder(Vocabulary.of(parts), words)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 rows = batch.slice(at, 2000)
@@ -226,19 +349,19 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, rank_file: bytes) -> DataFrame:
     """``encoded`` with the binary column ``decoded``: the bytes of its ids, one token after the other."""
-    shared = encoded.sparkSession.sparkContext.broadcast(rank_file)
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(Decoder(read_ranks(rank_file))))
     names = encoded.columns
     place = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(shared.value)
+        lengths, starts, blob = (shared.value[n] for n in ("lengths", "starts", "blob"))
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 rows = batch.slice(at, 2000)
                 decoded = []
                 for x in rows.column(place).to_pylist():
                     ids = np.frombuffer(x or b"", "<u4")
-                    decoded.append(vocab.blob[_gather(vocab.starts[ids], vocab.lengths[ids])].tobytes())
+                    decoded.append(blob[_gather(starts[ids], lengths[ids])].tobytes())
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(decoded, pa.binary())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", BinaryType())]))
