@@ -231,3 +231,16 @@ def test_preprocessor_uses_training_rows_only(spark):
     assert out.x == 0.0 and out.omori_c_missing == 1.0
     picked = [imputation.stable_sample(spark.range(100).repartition(n), "id", 10, 5).collect() for n in (1, 6)]
     assert picked[0] == picked[1]
+
+
+def test_risk_searches_leave_rows_in_place(spark):
+    """No sort of the rows by group: a group would lie in one task."""
+    from tremorframe.operators import rules as ru
+
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 2 == 0, "T1").otherwise("T2").alias("window"), (F.col("id") % 10 / 10).alias("risk"), F.lit(1.0).alias("w"),
+        (F.col("id") % 7).cast("double").alias("base"), (F.col("id") % 5).cast("double").alias("truth"), F.lit(7.0).alias("main_mag"))
+    for found in (ru.risk_mag_search(rows, ["window"], "base", "main_mag", "risk", "truth", "w"),
+                  ru.risk_time_search(rows, ["window"], "base", "window", "risk", "truth", "w")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=broadcast)" in plan and found.count() > 0

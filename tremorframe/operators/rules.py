@@ -109,15 +109,16 @@ def risk_mag_search(df: DataFrame, groups: list[str], base: str, main_mag: str,
     """
     cuts = risk_thresholds(df, groups, risk)
     bounded = F.least(F.col(base), F.col(main_mag) + 0.5)
-    rows = df.join(cuts, groups).select(
-        *groups, "cuts", _risk_class(F.col(risk)).alias("passed"), F.col(weight).alias("s"),
+    # a row per group, few groups: rows stay where they are, a join by group would gather each group in one task
+    rows = df.join(F.broadcast(cuts.drop("cuts")), groups).select(
+        *groups, _risk_class(F.col(risk)).alias("passed"), F.col(weight).alias("s"),
         (bounded - F.col(truth)).alias("e"), bounded.alias("b"), F.col(main_mag).alias("m"))
     sums = [F.sum("s").alias("sw"), F.sum(F.col("s") * F.col("e") * F.col("e")).alias("see"),
-            F.count(F.lit(1)).alias("n"), F.first("cuts").alias("cuts")]
+            F.count(F.lit(1)).alias("n")]
     for i, margin in enumerate(RISK_MARGINS):
         lift = F.greatest(F.greatest(F.col("m") - margin, F.lit(0.0)) - F.col("b"), F.lit(0.0))
         sums += [F.sum(F.col("s") * F.col("e") * lift).alias(f"sed{i}"), F.sum(F.col("s") * lift * lift).alias(f"sdd{i}")]
-    classes = rows.groupBy(*groups, "passed").agg(*sums)
+    classes = rows.groupBy(*groups, "passed").agg(*sums).join(cuts.select(*groups, "cuts"), groups)
     spread = classes.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("cuts")))).withColumn(
         "threshold", F.element_at("cuts", F.col("k")))
     on = F.col("passed") >= F.col("k")
@@ -148,7 +149,7 @@ def risk_time_search(df: DataFrame, groups: list[str], base: str, window: str, r
     """
     cuts = risk_thresholds(df, groups, risk)
     points = list(itertools.product(RISK_FRACTIONS, RISK_WEIGHTS))
-    rows = df.join(cuts.drop("cuts"), groups).select(
+    rows = df.join(F.broadcast(cuts.drop("cuts")), groups).select(
         *groups, _risk_class(F.col(risk)).alias("passed"), F.col(weight).cast("double").alias("s"), F.col(base).alias("b"),
         F.col(truth).alias("y"), lower_hours(F.col(window)).alias("lo"), upper_hours(F.col(window)).alias("hi"))
 
