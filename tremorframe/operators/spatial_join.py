@@ -7,12 +7,17 @@ The replicated anchor side outgrows its size estimate, which does not know the c
 the join is a sort-merge join and never a static broadcast. Keys above ``hot_cell_rows`` are
 counted and salted first, however many there are; what is left is split by adaptive skew
 handling.
+
+Pairs grow with the density of a catalog, so they are not stored where several aggregates need them: ``live_pairs``
+keeps the events dealt and sorted by key, and each aggregate meets them anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +131,12 @@ def interval_pairs(
     left = keyed_anchors(anchors, grid, bucket_us, before_us, after_us, anchor_time, anchor_lat, anchor_lon)
     right, left = split_hot_cells(right, left, hot_cell_rows)
     key = [*KEY, "_salt"]
+    return _met(left, right, key, grid, before_us, after_us, radius_km, closed_start, anchor_lat, anchor_lon, earth_radius_km)
+
+
+def _met(left: DataFrame, right: DataFrame, key: list[str], grid: CellGrid, before_us: int, after_us: int, radius_km: float,
+         closed_start: bool, anchor_lat: str, anchor_lon: str, earth_radius_km: float) -> DataFrame:
+    """Keyed anchors joined with keyed events; the exact predicate."""
     elapsed = F.col("_us") - F.col("_t0")
     start_ok = elapsed >= -before_us if closed_start else elapsed > -before_us
     distance = haversine_km(F.col(anchor_lat), F.col(anchor_lon), F.col("latitude"), F.col("longitude"),
@@ -141,6 +152,42 @@ def interval_pairs(
     )
 
 
+@contextmanager
+def live_pairs(
+    anchors: DataFrame, events: DataFrame, *, after_seconds: float, radius_km: float = 100.0,
+    hot_cell_rows: int = HOT_CELL_ROWS, earth_radius_km: float = 6371.0,
+) -> Iterator[Callable[..., DataFrame]]:
+    """``pairs(state)``: the pairs of ``interval_pairs``, with the columns of a state of rows by ``mainshock_id``.
+
+    The state is joined with the anchors before they meet the events, so what is summed by mainshock is combined in the
+    task that meets the pairs: no pair is shuffled or written. The events are kept once, dealt and sorted by key, until
+    the block ends; a pass shuffles the anchors and its sums.
+    """
+    grid = CellGrid(radius_km, earth_radius_km)
+    after_us = as_micros(after_seconds)
+    bucket_us = max(1, after_us)
+    right = keyed_events(events, grid, bucket_us).drop("time").dropna(subset=["_us", *KEY])
+    hot = hot_keys(right, KEY, hot_cell_rows)
+    # Without a hot key the salt would be a constant, which the optimizer takes out of the join's key.
+    key = KEY if hot is None else [*KEY, "_salt"]
+    if hot is not None:
+        right = dealt(right, hot, KEY)
+    slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = right.repartition(slots, *key).sortWithinPartitions(*key).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pairs(state: DataFrame | None = None) -> DataFrame:
+        left = anchors if state is None else anchors.join(state, "mainshock_id")
+        left = keyed_anchors(left, grid, bucket_us, 0, after_us, "mainshock_time", "mainshock_lat", "mainshock_lon")
+        if hot is not None:
+            left = repeated(left, hot, KEY)
+        return _met(left, right, key, grid, 0, after_us, radius_km, False, "mainshock_lat", "mainshock_lon", earth_radius_km)
+
+    try:
+        yield pairs
+    finally:
+        right.unpersist()
+
+
 def drop_near_anchor_time(pairs: DataFrame, seconds: float = 5.0) -> DataFrame:
     """Remove catalog rows within +-``seconds`` of the mainshock time (its own record)."""
     return pairs.filter(F.abs(F.col("elapsed_us")) > as_micros(seconds))

@@ -16,7 +16,7 @@ from tremorframe.operators import imputation as imp
 from tremorframe.operators import rates
 from tremorframe.operators import reference as ref
 from tremorframe.operators.sequences import mainshocks, sequence_mainshock
-from tremorframe.operators.spatial_join import interval_pairs
+from tremorframe.operators.spatial_join import interval_pairs, live_pairs
 from tremorframe.plans.inputs import BASE_SQL, catalog, hav_sql, log_moment, pairs_sql, rounded, table
 
 
@@ -29,6 +29,11 @@ def _pairs(spark, sf, *extra):
     return interval_pairs(_main(spark, sf).select(*keys), catalog(spark, sf), after_seconds=72 * 3600)
 
 
+def _live_pairs(spark, sf):
+    return live_pairs(_main(spark, sf).select("mainshock_id", "mainshock_time", "mainshock_lat", "mainshock_lon"),
+                      catalog(spark, sf).select("time", "latitude", "longitude", "mag"), after_seconds=72 * 3600)
+
+
 def early_stats(spark, sf):
     return rounded(log_moment(est.early_stats(_pairs(spark, sf)), "early_energy_sum"))
 
@@ -75,15 +80,17 @@ def anisotropy(spark, sf):
 
 
 def omori_grid(spark, sf):
-    return rounded(rates.omori_fit(_pairs(spark, sf)))
+    with _live_pairs(spark, sf) as pairs:
+        return rounded(rates.omori_fit(pairs))
 
 
 def etas_em(spark, sf):
     """Maximum likelihood at fixed decay p = 1, c = 0.05, so that the result does not hang on the Omori grid."""
-    pairs, main = _pairs(spark, sf), _main(spark, sf)
+    main = _main(spark, sf)
     decay = main.select("mainshock_id", F.lit(1.0).alias("omori_p"), F.lit(0.05).alias("omori_c"),
                         F.lit(True).alias("omori_valid"))
-    out = rates.etas_fit(pairs, main, decay, est.gutenberg_richter(pairs))
+    with _live_pairs(spark, sf) as pairs:
+        out = rates.etas_fit(pairs, main, decay, est.gutenberg_richter(pairs()))
     return rounded(out.select("mainshock_id", "etas_mu", "etas_amplitude", "etas_nll", "etas_n", "etas_valid",
                               "etas_branching_ratio", "etas_expected_count", "etas_triggered_fraction",
                               "etas_triggered_mag_sum", "etas_bg_rate_total"), 5)
