@@ -90,3 +90,36 @@ def test_nearest_boundary_has_no_cross_join(spark):
     main = sequences.mainshocks(inputs.catalog(spark, SF))
     text = plan(nearest_boundary(main, boundary_segments(spark, SF)))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_pairs_are_neither_stored_nor_shuffled(spark, make_catalog, monkeypatch):
+    """What the rate fits and the feature table write is a row per mainshock, however many pairs there are."""
+    from tremorframe.operators import features, rates, spatial_join
+
+    rows = [(f"m{i}", f"2020-01-01 0{i}:00:00", 10.0, 20.0, 5.0, 6.5) for i in range(3)]
+    rows += [(f"a{i}", f"2020-01-0{2 + i % 2} {i % 24:02d}:{i % 60:02d}:00", 10.0 + i % 7 / 10, 20.0, 5.0, 4.0 + i % 9 / 10) for i in range(90)]
+    events = make_catalog(rows)
+    main = sequences.mainshocks(events)
+    keys = main.select("mainshock_id", "mainshock_time", "mainshock_lat", "mainshock_lon")
+    table = interval_pairs(keys, events, after_seconds=72 * 3600)
+    want = sorted(rates.omori_fit(table).collect())
+    assert table.count() > 200 and len(want) == 3
+    stored = []
+
+    def watched(df):
+        out = spatial_join.durable(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(rates, "durable", watched)
+    monkeypatch.setattr(features, "durable", watched)
+    whole = features.sequence_features(main, events)
+    assert max(stored) == 3 and whole.count() == 3
+    for hot in (500_000, 5):
+        with spatial_join.live_pairs(keys, events, after_seconds=72 * 3600, hot_cell_rows=hot) as pairs:
+            assert pairs().select("mainshock_id", "id").exceptAll(table.select("mainshock_id", "id")).isEmpty() and pairs().count() == table.count()
+            fit = sorted(rates.omori_fit(pairs).collect())
+            for a, b in zip(fit, want):
+                assert a.mainshock_id == b.mainshock_id and list(a)[1:6] == pytest.approx(list(b)[1:6], rel=1e-9)
+            text = plan(pairs(keys.select("mainshock_id", F.lit(1).alias("x"))).groupBy("mainshock_id").count())
+            assert "InMemoryTableScan" in text

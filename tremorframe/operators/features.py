@@ -12,7 +12,7 @@ from tremorframe.constants import (
 )
 from tremorframe.operators import estimators as est
 from tremorframe.operators import rates
-from tremorframe.operators.spatial_join import interval_pairs
+from tremorframe.operators.spatial_join import live_pairs
 from tremorframe.session import durable
 
 # Columns with a numeric type that are never model inputs.
@@ -34,19 +34,17 @@ def sequence_features(main: DataFrame, events: DataFrame, obs_days: float = OBSE
                       radius_km: float = AFTERSHOCK_RADIUS_KM, with_rates: bool = True) -> DataFrame:
     """One feature row per mainshock from its observed events.
 
-    The pairs are written once; every estimator aggregates that table.
+    Every estimator meets the pairs anew (``live_pairs``); what is written is a row per sequence.
     """
     keys = ["mainshock_id", "mainshock_time", "mainshock_lat", "mainshock_lon"]
-    pairs = durable(
-        interval_pairs(main.select(*keys), events, after_seconds=obs_days * 86400.0, radius_km=radius_km)
-        .select("mainshock_id", "mainshock_lat", "mainshock_lon", "id", "latitude", "longitude", "mag",
-                "elapsed_us", "elapsed_hours"))
-    gr = est.gutenberg_richter(pairs)
-    out = main.join(est.one_pass_summary(pairs), "mainshock_id", "left").join(gr, "mainshock_id", "left")
-    if with_rates:
-        omori = durable(rates.omori_fit(pairs, obs_days))
-        etas = rates.etas_fit(pairs, main, omori, gr, obs_days).drop("etas_amplitude")
-        out = out.join(omori, "mainshock_id", "left").join(etas, "mainshock_id", "left")
+    with live_pairs(main.select(*keys), events.select("time", "latitude", "longitude", "mag"), after_seconds=obs_days * 86400.0,
+                    radius_km=radius_km) as pairs:
+        summary, gr = durable(est.one_pass_summary(pairs())), durable(est.gutenberg_richter(pairs()))
+        out = main.join(summary, "mainshock_id", "left").join(gr, "mainshock_id", "left")
+        if with_rates:
+            omori = durable(rates.omori_fit(pairs, obs_days))
+            etas = rates.etas_fit(pairs, main, omori, gr, obs_days).drop("etas_amplitude")
+            out = out.join(omori, "mainshock_id", "left").join(etas, "mainshock_id", "left")
     zero = {c: 0 for c in out.columns
             if c.startswith(("count_", "energy_", "early_")) or c in ("gr_n", "omori_n", "anisotropy_n", "etas_n")}
     flags = {c: False for c in out.columns if c.endswith("_valid") or c.endswith("_hit")}
