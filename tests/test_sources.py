@@ -194,3 +194,28 @@ def test_feed(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps(feed([("a", 946684800000, 140.0, 35.0, 10.0, 6.5), ("b", None, 1.0, 1.0, 1.0, 5.0)])))
     row = feeds.read_feed(spark, str(tmp_path)).collect()
     assert len(row) == 1 and str(row[0].time) == "2000-01-01 00:00:00" and row[0].longitude == 140.0 and row[0].place == ""
+
+
+def test_small_ranges_share_a_task():
+    from tremorframe.sources.records import RANGE_BYTES, RecordReader
+
+    files = [["a", 300 * RANGE_BYTES + 7], ["b", 0], ["c", 10]]
+    reader = RecordReader({"files": json.dumps(files), "head": "x", "lines": "1", "rangeBytes": "65536", "slots": "8"})
+    tasks = reader.partitions()
+    assert 300 <= len(tasks) <= 302 and max(sum(e - s for _, s, e in t.parts) for t in tasks) <= RANGE_BYTES
+    for path, size in files:
+        parts = sorted((s, e) for t in tasks for p, s, e in t.parts if p == path)
+        assert [s for s, _ in parts] + [size] * bool(size) == [0] * bool(size) + [e for _, e in parts]
+        assert all(s % 65536 == 0 for s, _ in parts)
+
+
+def test_records_of_many_ranges_in_one_task(tmp_path):
+    from tremorframe.sources.records import RecordReader
+
+    path = tmp_path / "x.ndk"
+    path.write_text("".join(f"H{i}\nrest {i}\n" for i in range(500)))
+    size = path.stat().st_size
+    for width, slots in ((7, 1), (64, 3), (10_000, 5)):
+        reader = RecordReader({"files": json.dumps([[f"file:{path}", size]]), "head": "^H", "lines": "2", "rangeBytes": str(width), "slots": str(slots)})
+        got = [v for t in reader.partitions() for b in reader.read(t) for v in b.column(0).to_pylist()]
+        assert got == [f"H{i}\nrest {i}" for i in range(500)]
