@@ -29,6 +29,8 @@ KEY = ["_bucket", "_band", "_cell"]
 HOT_CELL_ROWS = 500_000
 #: A table of hot keys up to this size is broadcast; a larger one is joined by key.
 BROADCAST_KEYS = 10_000
+#: Events of a partition from which on live pairs keep them dealt; of fewer, each pass deals them anew and joins small partitions.
+DEALT_ROWS = 5_000
 
 
 def micros(col: Column) -> Column:
@@ -160,8 +162,8 @@ def live_pairs(
     """``pairs(state)``: the pairs of ``interval_pairs``, with the columns of a state of rows by ``mainshock_id``.
 
     The state is joined with the anchors before they meet the events, so what is summed by mainshock is combined in the
-    task that meets the pairs: no pair is shuffled or written. The events are kept once, dealt and sorted by key, until
-    the block ends; a pass shuffles the anchors and its sums.
+    task that meets the pairs: no pair is shuffled or written. The events are kept once, from ``DEALT_ROWS`` a
+    partition on dealt and sorted by key, until the block ends; a pass shuffles the anchors and its sums.
     """
     grid = CellGrid(radius_km, earth_radius_km)
     after_us = as_micros(after_seconds)
@@ -173,7 +175,9 @@ def live_pairs(
     if hot is not None:
         right = dealt(right, hot, KEY)
     slots = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    right = right.repartition(slots, *key).sortWithinPartitions(*key).persist(StorageLevel.MEMORY_AND_DISK)
+    if right.count() >= slots * DEALT_ROWS:
+        right = right.repartition(slots, *key).sortWithinPartitions(*key)
+    right = right.persist(StorageLevel.MEMORY_AND_DISK)
 
     def pairs(state: DataFrame | None = None) -> DataFrame:
         left = anchors if state is None else anchors.join(state, "mainshock_id")
