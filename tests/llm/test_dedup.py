@@ -313,3 +313,21 @@ def test_range_hashes():
     assert v[0] == v[1] != v[2] and v[3] != v[0]
     words = word_hashes(b" ab\tcd ab\x0b\x1cab ", piece=3)
     assert len(words) == 4 and words[0] == words[2] != words[3]
+
+
+def test_repeats_of_a_block_by_tripled_prefixes():
+    """Random texts with long copies: starts of strings that occur elsewhere, against a plain count."""
+    from collections import Counter
+
+    import numpy as np
+
+    from tremorframe.llm.suffix_dedup import repeated_in_block
+
+    rng = np.random.default_rng(3)
+    base = bytes(rng.integers(97, 100, 300, dtype=np.uint8))
+    texts = [base[int(a):int(a) + int(n)] + bytes(rng.integers(97, 99, 20, dtype=np.uint8)) for a, n in zip(rng.integers(0, 150, 40), rng.integers(5, 150, 40))]
+    texts = list(dict.fromkeys(texts)) + [b"a" * 200]
+    for width in (20, 63, 64, 90):
+        starts = Counter(t[i:i + width] for t in texts for i in range(len(t) - width + 1))
+        want = [[i for i in range(len(t) - width + 1) if starts[t[i:i + width]] > 1] for t in texts]
+        assert [f.tolist() for f in repeated_in_block(texts, [1] * len(texts), width)] == want
