@@ -115,7 +115,8 @@ def test_pairs_are_neither_stored_nor_shuffled(spark, make_catalog, monkeypatch)
     monkeypatch.setattr(features, "durable", watched)
     whole = features.sequence_features(main, events)
     assert max(stored) == 3 and whole.count() == 3
-    for hot in (500_000, 5):
+    for hot, dealt in ((500_000, 5_000), (5, 0)):
+        monkeypatch.setattr(spatial_join, "DEALT_ROWS", dealt)
         with spatial_join.live_pairs(keys, events, after_seconds=72 * 3600, hot_cell_rows=hot) as pairs:
             assert pairs().select("mainshock_id", "id").exceptAll(table.select("mainshock_id", "id")).isEmpty() and pairs().count() == table.count()
             fit = sorted(rates.omori_fit(pairs).collect())
