@@ -1,9 +1,9 @@
 """Wait for the observation window of each mainshock on a live event stream.
 
-The work is an event-time interval join of the stream with itself on cells, followed by
-an aggregation per mainshock. The join bounds its state by the time range, the aggregation
-emits a mainshock once the watermark has passed its window, and both keep their state in
-the state store, so a restart resumes from the checkpoint.
+Repeated and late events leave by the stream's watermark, with their ids in the state store. Every micro-batch adds its
+events to those that an open window still needs, and the mainshocks whose window the watermark has passed by it meet
+their followers once, in an interval join on cells with an aggregation per mainshock. The held events lie in two
+folders of the checkpoint, written in turn, so a restart resumes from there and a replayed batch finds what it had.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from tremorframe.constants import AFTERSHOCK_RADIUS_KM, MAINSHOCK_MAX_DEPTH_KM, MAINSHOCK_MIN_MAG
 from tremorframe.functions.geo import CellGrid, haversine_km
@@ -24,18 +25,21 @@ from tremorframe.functions.windows import clamp_mag, unlog_target
 ALERT_MAG = 6.5
 ALERT_DAYS = 1.0
 
+WAIT_HOURS = 72.0
+HELD = ["id", "time", "latitude", "longitude", "depth", "mag"]
+
 
 def fresh_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event once, however often the feed repeats it; later than ``delay`` is dropped."""
     return events.withColumn("key", event_key(F.col("id"))).withWatermark("time", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def completed_sequences(events: DataFrame, hours: float = 72.0, radius_km: float = AFTERSHOCK_RADIUS_KM,
-                        min_mag: float = MAINSHOCK_MIN_MAG, max_depth_km: float = MAINSHOCK_MAX_DEPTH_KM) -> DataFrame:
-    """One row per mainshock whose window has passed, with its aftershock statistics.
+def completed_sequences(events: DataFrame, hours: float = WAIT_HOURS, radius_km: float = AFTERSHOCK_RADIUS_KM,
+                        min_mag: float = MAINSHOCK_MIN_MAG, max_depth_km: float = MAINSHOCK_MAX_DEPTH_KM, due: Column | None = None) -> DataFrame:
+    """One row per mainshock (of those that are ``due``, if given) with the aftershock statistics of its window.
 
-    ``events`` carries a watermark on ``time``. The mainshock meets its own record, so a
-    quiet one is emitted as well. Works on a batch table too.
+    The mainshock meets its own record, so a quiet one has a row as well. Works on a batch table, and on a stream
+    with a watermark on ``time``, which emits a mainshock when its window has passed.
     """
     grid = CellGrid(radius_km)
     band = grid.band(F.col("latitude"))
@@ -44,12 +48,12 @@ def completed_sequences(events: DataFrame, hours: float = 72.0, radius_km: float
     def bucket(time: Column, later: int = 0) -> Column:
         return F.floor((F.unix_micros(time) / 1_000_000 + later) / seconds)
 
-    # The state of a cell is kept by time bucket: an arrival meets two windows' length of it, not all that is held.
+    # A cell is kept by time bucket: a mainshock meets two windows' length of it, not all that is held.
     followers = events.select(
-        F.col("id"), F.col("time"), F.col("latitude"), F.col("longitude"), F.col("mag"), band.alias("_band"),
+        F.col("time"), F.col("latitude"), F.col("longitude"), F.col("mag"), band.alias("_band"),
         grid.cell(F.col("longitude"), grid.ring_size(band)).alias("_cell"), bucket(F.col("time")).alias("_bucket"))
     anchors = (
-        events.filter((F.col("mag") >= min_mag) & (F.col("depth") <= max_depth_km))
+        events.filter((F.col("mag") >= min_mag) & (F.col("depth") <= max_depth_km) & (F.lit(True) if due is None else due))
         .select(F.col("id").alias("mainshock_id"), F.col("time").alias("mainshock_time"),
                 F.col("latitude").alias("mainshock_lat"), F.col("longitude").alias("mainshock_lon"),
                 F.col("mag").alias("mainshock_mag"), F.col("depth").alias("mainshock_depth"))
@@ -57,7 +61,8 @@ def completed_sequences(events: DataFrame, hours: float = 72.0, radius_km: float
         .withColumn("_c", F.explode(grid.cells_near(F.col("mainshock_lat"), F.col("mainshock_lon"), F.col("_b"),
                                                     grid.ring_size(F.col("_b")))))
         .withColumn("_t", F.explode(F.sequence(bucket(F.col("mainshock_time")), bucket(F.col("mainshock_time"), seconds)))))
-    met = anchors.join(
+    # The copies of a mainshock outgrow their size estimate, so a batch join is never a broadcast.
+    met = (anchors if events.isStreaming else anchors.hint("merge")).join(
         followers,
         (F.col("_b") == F.col("_band")) & (F.col("_c") == F.col("_cell")) & (F.col("_t") == F.col("_bucket")) & (F.col("time") >= F.col("mainshock_time"))
         & (F.col("time") <= F.col("mainshock_time") + F.expr(f"INTERVAL {seconds} SECONDS")))
@@ -110,17 +115,32 @@ def start_monitor(events: DataFrame, results: str, checkpoint: str,
                   alert_path: str | None = None, every: str | None = None) -> StreamingQuery:
     """Append predictions (and alerts) of completed windows. Without ``every`` it drains the
     input and stops, which is also the backfill."""
-    completed = completed_sequences(events)
+    delay_ms = events.schema["time"].metadata["spark.watermarkDelayMs"]
+    held_schema = StructType([StructField(n, events.schema[n].dataType) for n in HELD])
+    window = F.expr(f"INTERVAL {int(WAIT_HOURS * 3600)} SECONDS")
+
+    def held(number: int) -> tuple[DataFrame, Column]:
+        """The events held after a batch, and the watermark, null without events."""
+        kept = events.sparkSession.read.schema(held_schema).parquet(f"{checkpoint}/windows/{number % 2}")
+        latest = kept.agg(F.floor(F.unix_micros(F.max("time")) / 1000)).first()[0]
+        return kept, F.timestamp_millis(F.lit(None if latest is None else latest - delay_ms).cast("bigint"))
 
     def handle(batch: DataFrame, number: int) -> None:
+        arrived, passed = batch.select(*HELD), F.lit(False)
+        if number:
+            before, mark = held(number - 1)
+            still = F.coalesce(F.col("time") + window > mark, F.lit(True))  # all others are in windows that have passed
+            arrived, passed = arrived.unionByName(before.filter(still)), ~still
+        arrived.write.mode("overwrite").parquet(f"{checkpoint}/windows/{number % 2}")
+        kept, mark = held(number)
         # A folder per batch, overwritten on a replay, keeps the output exactly once.
-        rows = predictor(batch).persist()
+        rows = predictor(completed_sequences(kept, due=(F.col("time") + window <= mark) & ~passed)).persist()
         rows.write.mode("overwrite").parquet(f"{results}/batch={number}")
         if alert_path:
             alerts(rows).write.mode("overwrite").json(f"{alert_path}/batch={number}")
         rows.unpersist()
 
-    writer = completed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle)
+    writer = events.select(*HELD).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
