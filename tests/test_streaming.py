@@ -60,6 +60,42 @@ def test_restart_does_not_repeat(spark, tmp_path):
     assert sorted(r[0] for r in out.select("mainshock_id").collect()) == ["far", "m1", "m2"]
 
 
+def test_events_are_held_once_and_only_while_a_window_needs_them(spark, tmp_path):
+    """The stream keeps ids alone in its state; a batch's folder has the events of windows that are still open."""
+    docs, _ = documents()
+    source = tmp_path / "feed"
+    source.mkdir()
+    for i, part in enumerate(docs):
+        path = source / f"{i}.json"
+        path.write_text(json.dumps(feed(part)))
+        os.utime(path, (time.time() - 100 + i, time.time() - 100 + i))
+    events = monitor.fresh_events(feeds.stream_feed(spark, str(source), files_per_batch=1))
+    query = monitor.start_monitor(events, str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination()
+    operators = {s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]}
+    assert operators == {"dedupeWithinWatermark"}
+    last = max(p["batchId"] for p in query.recentProgress)
+    held = [r.id for r in spark.read.parquet(str(tmp_path / "ck" / "windows" / str(last % 2))).collect()]
+    assert "end" in held and "m1" not in held and len(held) == len(set(held))
+
+
+def test_a_feed_span_is_cut_into_documents(spark, tmp_path):
+    """Spans of many events are several documents, empty ones included, and each micro-batch takes whole spans."""
+    from tremorframe.plans import live
+
+    sf = str(tmp_path)
+    rows = [(i, f"2024-01-{1 + i // 20:02d} {i % 20:02d}:00:00", i % 3, 300.0 if i % 10 == 0 else 5.0) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, t string, user_id long, value double").selectExpr(
+        "event_id", "CAST(t AS timestamp) ts", "user_id", "value").write.parquet(f"{sf}/events.parquet")
+    path, parts = live._feed(spark, sf, rows=7)
+    spans = {(r.time.toordinal() - 1) // 3 for r in live.catalog(spark, sf).select("time").collect()}
+    assert parts > 1 and spark.read.text(path).count() == parts * len(spans)
+    out = live._results(spark, sf, feeds.stream_feed(spark, path, files_per_batch=parts))
+    want = monitor.completed_sequences(live.catalog(spark, sf), due=F.col("time") + F.expr("INTERVAL 73 HOURS") <= F.lit("2024-01-10 19:00:00").cast("timestamp"))
+    columns = ["mainshock_id", "early_aftershock_count", "early_max_mag"]
+    assert sorted(out.select(*columns).collect()) == sorted(want.select(*columns).collect()) != []
+
+
 def test_alert_rules(spark):
     df = spark.createDataFrame([("a", 6.6, 0.5), ("b", 6.6, 3.0), ("c", 5.0, 0.5), ("d", 5.0, 0.0), ("e", 5.0, 2.0), ("f", 6.5, 0.0)],
                                "id string, pred_mag double, pred_days double")

@@ -76,12 +76,12 @@ def catalog_store(spark, sf):
     return _view(catalogs.catalog_between(spark, path, "2024-01-05", "2024-01-20"))
 
 
-def geojson(events, document):
-    """``document, value``: a GeoJSON text for each value of a column; times in milliseconds."""
+def geojson(events, *document):
+    """The columns of ``document`` and ``value``: a GeoJSON text for each of their values; times in milliseconds."""
     feature = F.struct(
         F.col("id"), F.struct(F.unix_millis("time").alias("time"), "mag", F.lit("p").alias("place"), F.lit("earthquake").alias("type"), F.lit("").alias("url")).alias("properties"),
         F.struct(F.array("longitude", "latitude", "depth").alias("coordinates")).alias("geometry"))
-    return events.groupBy(document).agg(F.collect_list(feature).alias("features")).select(document, F.to_json(F.struct("features")).alias("value"))
+    return events.groupBy(*document).agg(F.collect_list(feature).alias("features")).select(*document, F.to_json(F.struct("features")).alias("value"))
 
 
 def feed_catalog(spark, sf):

@@ -13,11 +13,15 @@ from tremorframe.operators.folds import with_time_rank
 from tremorframe.operators.sequences import holdout_truth, mainshocks
 from tremorframe.plans.inputs import BASE_SQL, catalog, log_moment, pairs_sql, rounded, table
 from tremorframe.plans.landing import geojson
-from tremorframe.session import durable, ensure_checkpoint_dir
+from tremorframe.session import ensure_checkpoint_dir
 from tremorframe.sources import feeds
 from tremorframe.streaming import monitor
 
 
+#: Events of a document of the feed, which one task writes and one reads.
+FEED_ROWS = 20_000
+
+
 def _stream(spark, sf):
     """The events table as a stream, mapped to the catalog like the batch view."""
     schema = table(spark, sf, "events").schema
@@ -40,18 +44,24 @@ def _drained(spark, sf, events=None, predictor=monitor.rule_predictor):
     return root
 
 
-def _feed(spark, sf, days=3):
-    """The catalog as GeoJSON documents of a few days each, written one after the other. Every document but the first repeats a fifth of the
-    one before it, so events come again, and late."""
-    path = os.path.join(ensure_checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")
+def _feed(spark, sf, days=3, rows=FEED_ROWS):
+    """The catalog as GeoJSON documents, written one span of a few days after the other, and how many documents each span has. Every span but
+    the first repeats a fifth of the one before it, so events come again, and late. A document has about ``rows`` events, some may have none."""
+    folder = ensure_checkpoint_dir(spark)
+    path, texts = f"{folder}/feed-{uuid.uuid4().hex}", f"{folder}/feed-texts-{uuid.uuid4().hex}"
     span = F.floor(F.unix_micros("time") / (days * 86_400_000_000))
-    events = catalog(spark, sf).withColumn("document", span)
-    again = events.filter(F.pmod(F.col("id").cast("bigint"), F.lit(5)) == 0).withColumn("document", F.col("document") + 1)
-    documents = durable(geojson(events.unionByName(again), "document"))
-    numbers = sorted(r["document"] for r in events.select("document").distinct().collect())  # one for each few days of the feed
-    for number in numbers:
-        documents.filter(F.col("document") == number).select("value").coalesce(1).write.mode("append").text(path)
-    return path
+    events = catalog(spark, sf).withColumn("span", span)
+    again = events.filter(F.pmod(F.col("id").cast("bigint"), F.lit(5)) == 0).withColumn("span", F.col("span") + 1)
+    counts = {r["span"]: r["count"] for r in events.groupBy("span").count().collect()}  # one for each few days of the feed
+    parts = max(1, *[-(-n // rows) for n in counts.values()])
+    documents = geojson(events.unionByName(again).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))), "span", "part")
+    every = events.select("span").distinct().select("span", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+    documents = every.join(documents, ["span", "part"], "left").withColumn("value", F.coalesce("value", F.lit('{"features":[]}')))
+    documents.write.partitionBy("span").parquet(texts)
+    held = spark.read.schema("part long, value string, span long").parquet(texts)
+    for number in sorted(n for n in counts if n is not None):
+        held.filter(F.col("span") == number).drop("span").write.mode("append").partitionBy("part").text(path)
+    return path, parts
 
 
 def _results(spark, sf, events=None, predictor=monitor.rule_predictor):
@@ -65,8 +75,9 @@ def stream_window_complete(spark, sf):
 
 
 def stream_feed_windows(spark, sf):
-    """The same from a feed of several documents, one to a micro-batch, with repeated and late events."""
-    out = log_moment(_results(spark, sf, feeds.stream_feed(spark, _feed(spark, sf), files_per_batch=1)), "early_energy_sum")
+    """The same from a feed of several documents, those of a few days to a micro-batch, with repeated and late events."""
+    path, parts = _feed(spark, sf)
+    out = log_moment(_results(spark, sf, feeds.stream_feed(spark, path, files_per_batch=parts)), "early_energy_sum")
     return rounded(out.select("mainshock_id", "mainshock_mag", "early_aftershock_count", "early_max_mag", "early_energy_sum"))
 
 
