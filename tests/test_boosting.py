@@ -221,3 +221,35 @@ def test_one_sum_for_both_derivatives_is_exact(kind, monkeypatch):
     plain = run(1 << 15, trees.Work("squared", size, y, np.ones(n)))
     assert whole[0] == small[0] == plain[0]
     assert (whole[1] == plain[1]).all() and (whole[1] == small[1]).all()
+
+
+def test_columns_with_the_same_bins_are_summed_once(data, monkeypatch):
+    x, y, edges, codes = data
+    wide, many = codes[:, [0, 1, 0, 2, 1, 0]], [edges[k] for k in (0, 1, 0, 2, 1, 0)]
+    assert trees.twins(np.ascontiguousarray(wide.T)).tolist() == [0, 1, 0, 3, 1, 0]
+    works = [trees.Work(objective, trees.Size(rounds=6, depth=4, node_columns=0.6, bagged=bagged), labels, weights, classes)
+             for objective, bagged, labels, weights, classes in (
+                 ("squared", False, y, None, 1), ("squared", True, y, None, 1), ("logistic", False, (y > 2).astype(float), np.where(y > 2, 1.3, 0.7), 1),
+                 ("classes", False, np.clip(np.round(y), 0, 3), None, 4))]
+    summed = []
+    count = np.bincount
+    monkeypatch.setattr(trees.np, "bincount", lambda *a: summed.append(1) or count(*a))
+    once = trees.fit(wide, np.arange(200), many, works)
+    fewer = len(summed)
+    monkeypatch.setattr(trees, "twins", lambda lines: np.arange(len(lines)))
+    each = trees.fit(wide, np.arange(200), many, works)
+    assert fewer < 0.8 * (len(summed) - fewer)
+    assert all((a == b).all() and m.write() == n.write() for (m, a), (n, b) in zip(once, each))
+
+
+def test_models_with_most_rows_and_trees_start_first(spark):
+    df = spark.range(100).withColumns({"row_index": F.col("id"), "a": F.rand(1), "y": F.rand(2)})
+    fits = [boosting.Fit("old", F.col("id") < 20, F.col("y"), F.col("id") >= 90, size=trees.Size(rounds=3)),
+            boosting.Fit("new", F.col("id") < 80, F.col("y"), F.col("id") >= 90, size=trees.Size(rounds=3)),
+            boosting.Fit("classes", F.col("id") < 80, (F.col("y") > 0.5).cast("int"), F.col("id") >= 90, objective="classes", classes=4, size=trees.Size(rounds=3))]
+    assert boosting._by_cost(df, fits) == (100, [2, 1, 0])
+    tables = [boosting._table(df, "row_index", boosting.clean(["a"]), fits, [2, 1, 0])]
+    coded = boosting._coded(tables[0], boosting.bin_edges(df, ["a"]))
+    assert coded.schema["x"].dataType.typeName() == "binary" and coded.agg(F.max(F.length("x"))).first()[0] == 1
+    found = boosting.fit_all(df, "row_index", ["a"], fits, keep=True)
+    assert {(r["fit"], r["count"]) for r in found.groupBy("fit").count().collect()} == {(0, 11), (1, 11), (2, 11)}

@@ -22,6 +22,7 @@ from pyspark.ml.param.shared import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorframe.functions.windows import finite
 from tremorframe.models import trees
@@ -69,11 +70,11 @@ def bin_edges(df: DataFrame, columns: list[str], bins: int = BINS) -> list[np.nd
     return [np.array(sorted(set(v or ()))) for v in found]
 
 
-def _table(df: DataFrame, key: str, features: Column, fits: list[Fit], first: int = 0) -> DataFrame:
+def _table(df: DataFrame, key: str, features: Column, fits: list[Fit], places: list[int], first: int = 0) -> DataFrame:
     def one(number: int, f: Fit) -> Column:
         label = finite(f.label.cast("double"))
         return F.struct(
-            F.lit(number).alias("fit"), F.when(F.coalesce(f.train, F.lit(False)), label).alias("y"),
+            F.lit(number).alias("fit"), F.lit(places[number]).alias("place"), F.when(F.coalesce(f.train, F.lit(False)), label).alias("y"),
             F.lit(1.0).alias("w") if f.weight is None else f.weight.cast("double").alias("w"),
             (F.lit(False) if f.score is None else F.coalesce(f.score, F.lit(False))).alias("s"))
 
@@ -106,23 +107,57 @@ def _model(number: int, model: trees.Model) -> pa.RecordBatch:
         [pa.nulls(1, pa.int64()), pa.array([number], pa.int32()), pa.nulls(1, pa.list_(pa.float64())), pa.array([model.write()], pa.binary())], schema=_KIND)
 
 
+def _by_cost(df: DataFrame, fits: list[Fit]) -> tuple[int, list[int]]:
+    """Rows of the table, and the place of each model when those with the most rows and trees come first. One job counts them."""
+    rows, place = _distinct([F.coalesce(f.train, F.lit(False)) for f in fits])
+    counts = df.agg(F.count(F.lit(1)), *[F.count_if(r).alias(f"r{k}") for k, r in enumerate(rows)]).first()
+    cost = [counts[1 + at] * f.size.rounds * f.classes for at, f in zip(place, fits, strict=True)]
+    order = sorted(range(len(fits)), key=lambda k: -cost[k])
+    return counts[0], [order.index(k) for k in range(len(fits))]
+
+
+def _coded(table: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """The table with the bin numbers of its features, a byte each, in place of the features."""
+    width = len(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = np.ascontiguousarray(trees.coded(_matrix(b.column(1), width), edges))
+            ends = np.arange(len(b) + 1, dtype=np.int32) * width
+            x = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([b.column(0), x, b.column(2)], names=["key", "x", "fits"])
+
+    return table.mapInArrow(run, T.StructType([table.schema["key"], T.StructField("x", T.BinaryType()), table.schema["fits"]]))
+
+
 def _alone(tables: list[DataFrame], edges: list[np.ndarray], facts: list[dict], keep: bool) -> DataFrame:
-    """Each model in one task, all models side by side: for tables that a task holds."""
+    """Each model in one task, all models side by side: for tables that a task holds. Features go there as bin numbers, and a
+    task takes its rows as they come, unsorted: what is sampled and summed does not depend on their order."""
     width = len(edges)
     rows = reduce(DataFrame.unionAll, [
-        t.select("key", "x", F.explode("fits").alias("f")).select("key", "x", "f.*").filter("y IS NOT NULL OR s") for t in tables])
-    rows = rows.repartitionByRange(len(facts), "fit")
+        _coded(t, edges).select("key", "x", F.explode("fits").alias("f")).select("key", "x", "f.*").filter("y IS NOT NULL OR s") for t in tables])
+    rows = rows.repartitionById(len(facts), "place")
 
-    def run(group: pa.Table) -> pa.Table:
-        number = group.column("fit")[0].as_py()
-        keys = group.column("key").to_numpy()
-        codes = trees.coded(_matrix(group.column("x"), width), edges)
-        y = group.column("y").to_numpy().astype(float)
-        (model, scores), = trees.fit(codes, keys, edges, [_work(facts[number], y, group.column("w").to_numpy().astype(float))])
-        out = [_rows(number, keys, group.column("s").to_numpy(), scores)]
-        return pa.Table.from_batches(out + [_model(number, model)] if keep else out, schema=_KIND)
-
-    return rows.groupBy("fit").applyInArrow(run, _OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, parts = 0, ([], [], [], [], [])
+        for b in batches:
+            if not len(b):
+                continue
+            number = b.column("fit")[0].as_py()
+            codes = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint8).reshape(len(b), width)
+            flags = (b.column(n).to_numpy(zero_copy_only=False) for n in ("key", "y", "w", "s"))
+            for part, values, kind in zip(parts, (codes, *flags), (np.uint8, np.int64, float, float, bool), strict=True):
+                part.append(values.astype(kind))
+        if not parts[0]:
+            return
+        codes, keys, y, w, s = (np.concatenate(part) for part in parts)
+        parts[0].clear()
+        (model, scores), = trees.fit(codes, keys, edges, [_work(facts[number], y, w)])
+        yield _rows(number, keys, s, scores)
+        if keep:
+            yield _model(number, model)
+
+    return rows.mapInArrow(run, _OUT)
 
 
 def _distinct(columns: list) -> tuple[list, list[int]]:
@@ -313,10 +348,11 @@ def fit_all(df: DataFrame, key: str, columns: list[str], fits: list[Fit], keep:
     edges = bin_edges(flat, [f"_x{k}" for k in range(len(columns))] if features else columns)
     facts = [{"objective": f.objective, "size": f.size, "classes": f.classes, "late_weight": f.late_weight, "leaf_edges": f.leaf_edges,
               "weighted": f.weight is not None} for f in fits]
-    n, limit = df.count(), shard_rows or SHARD_ROWS
+    limit = shard_rows or SHARD_ROWS
+    n, order = _by_cost(df, fits)
     if n <= limit:
         # a wide array of models would not compile into one method
-        tables = [_table(df, key, vector, fits[at:at + 24], at) for at in range(0, len(fits), 24)]
+        tables = [_table(df, key, vector, fits[at:at + 24], order, at) for at in range(0, len(fits), 24)]
         return durable(_alone(tables, edges, facts, keep))
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     wave = min(max(WAVE_BYTES * tasks // (n * ROW_BYTES), 1), WAVE)

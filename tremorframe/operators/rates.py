@@ -25,7 +25,7 @@ def decay_integral(p: Column, c: Column, start: float, end: float) -> Column:
 
 
 def _observed(pairs: DataFrame | Callable[..., DataFrame], start_day: float, end_day: float, *columns: str) -> Callable[..., DataFrame]:
-    """``state -> mainshock_id, columns, t`` and the state's columns, for the pairs inside the observation.
+    """``(state, made) -> mainshock_id, columns, t``, the state's columns and those made of them, for the pairs inside the observation.
 
     A table of pairs is written once and joined with each state. Live pairs (``spatial_join.live_pairs``) take the
     state along to their join, so they are neither written nor shuffled.
@@ -37,9 +37,9 @@ def _observed(pairs: DataFrame | Callable[..., DataFrame], start_day: float, end
 
     if isinstance(pairs, DataFrame):
         stored = durable(inside(pairs))
-        return lambda state=None: stored if state is None else stored.join(state, "mainshock_id")
-    return lambda state=None: inside(pairs()) if state is None else inside(
-        pairs(state), *[c for c in state.columns if c != "mainshock_id"])
+        return lambda state=None, made=None: stored if state is None else stored.join(state.withColumns(made or {}), "mainshock_id")
+    return lambda state=None, made=None: inside(pairs()) if state is None else inside(
+        pairs(state, made), *[c for c in state.columns if c != "mainshock_id"], *(made or ()))
 
 
 #: Sequences whose grids are in memory together.
@@ -94,9 +94,8 @@ def omori_fit(
     steps = F.sequence(F.lit(0), F.lit(last))
 
     for _ in range(rounds):
-        grid_c = state.select("mainshock_id", F.transform(steps, lambda i: F.exp(
-            F.col("u_lo") + (F.col("u_hi") - F.col("u_lo")) * i / F.lit(float(last)))).alias("cs"))
-        sums = times(grid_c).groupBy("mainshock_id").agg(*[
+        grid_c = F.transform(steps, lambda i: F.exp(F.col("u_lo") + (F.col("u_hi") - F.col("u_lo")) * i / F.lit(float(last))))
+        sums = times(state.select("mainshock_id", "u_lo", "u_hi"), {"cs": grid_c}).groupBy("mainshock_id").agg(*[
             F.sum(F.log(F.col("t") + F.col("cs")[i])).alias(f"s{i}") for i in range(points)])
         best = _best_cells(state.join(sums, "mainshock_id"), points, start_day, obs_days)
         step_p = (F.col("p_hi") - F.col("p_lo")) / F.lit(float(last)) * keep_cells

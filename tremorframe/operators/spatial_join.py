@@ -159,11 +159,12 @@ def live_pairs(
     anchors: DataFrame, events: DataFrame, *, after_seconds: float, radius_km: float = 100.0,
     hot_cell_rows: int = HOT_CELL_ROWS, earth_radius_km: float = 6371.0,
 ) -> Iterator[Callable[..., DataFrame]]:
-    """``pairs(state)``: the pairs of ``interval_pairs``, with the columns of a state of rows by ``mainshock_id``.
+    """``pairs(state, made)``: the pairs of ``interval_pairs``, with the columns of a state of rows by ``mainshock_id``.
 
     The state is joined with the anchors before they meet the events, so what is summed by mainshock is combined in the
     task that meets the pairs: no pair is shuffled or written. The events are kept once, from ``DEALT_ROWS`` a
-    partition on dealt and sorted by key, until the block ends; a pass shuffles the anchors and its sums.
+    partition on dealt and sorted by key, until the block ends; a pass shuffles the anchors and its sums. An anchor goes to
+    every key it can reach, so wide columns that follow from the state are ``made`` (name: expression) behind that shuffle.
     """
     grid = CellGrid(radius_km, earth_radius_km)
     after_us = as_micros(after_seconds)
@@ -179,11 +180,13 @@ def live_pairs(
         right = right.repartition(slots, *key).sortWithinPartitions(*key)
     right = right.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def pairs(state: DataFrame | None = None) -> DataFrame:
+    def pairs(state: DataFrame | None = None, made: dict[str, Column] | None = None) -> DataFrame:
         left = anchors if state is None else anchors.join(state, "mainshock_id")
         left = keyed_anchors(left, grid, bucket_us, 0, after_us, "mainshock_time", "mainshock_lat", "mainshock_lon")
         if hot is not None:
             left = repeated(left, hot, KEY)
+        if made:
+            left = left.repartition(*key).withColumns(made)
         return _met(left, right, key, grid, 0, after_us, radius_km, False, "mainshock_lat", "mainshock_lon", earth_radius_km)
 
     try:
