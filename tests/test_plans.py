@@ -124,3 +124,21 @@ def test_pairs_are_neither_stored_nor_shuffled(spark, make_catalog, monkeypatch)
                 assert a.mainshock_id == b.mainshock_id and list(a)[1:6] == pytest.approx(list(b)[1:6], rel=1e-9)
             text = plan(pairs(keys.select("mainshock_id", F.lit(1).alias("x"))).groupBy("mainshock_id").count())
             assert "InMemoryTableScan" in text
+
+
+def test_wide_columns_of_a_state_are_made_behind_the_shuffle_of_anchors(spark, make_catalog):
+    from tremorframe.operators import spatial_join
+
+    rows = [("m1", "2020-01-01 00:00:00", 10.0, 20.0, 10.0, 6.5)]
+    rows += [(f"a{i}", f"2020-01-0{2 + i % 2} {i % 24:02d}:{i % 60:02d}:00", 10.0 + i % 7 / 10, 20.0, 5.0, 4.0 + i % 9 / 10) for i in range(30)]
+    events = make_catalog(rows)
+    keys = sequences.mainshocks(events).select("mainshock_id", "mainshock_time", "mainshock_lat", "mainshock_lon")
+    state = keys.select("mainshock_id", F.lit(2.0).alias("lo"))
+    wide = {"wide": F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.exp(F.col("lo")) * i)}
+    with spatial_join.live_pairs(keys, events, after_seconds=72 * 3600) as pairs:
+        made = pairs(state, wide)
+        asked = ["mainshock_id", "id", "lo", "wide"]
+        assert sorted(made.select(asked).collect()) == sorted(pairs(state.withColumns(wide)).select(asked).collect())
+        text = made.select(asked)._jdf.queryExecution().optimizedPlan().toString()
+        shuffle = text.index("RepartitionByExpression")
+        assert " AS wide" in text[:shuffle] and " AS wide" not in text[shuffle:]

@@ -64,7 +64,7 @@ def clean(columns: list[str]) -> Column:
 def bin_edges(df: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
     """Upper ends of each column's bins but the last: quantiles, or all values if there are fewer. They are numbers of the
     features only and shared by all models of the table."""
-    asked = [i / bins for i in range(1, bins)]
+    asked = F.lit([i / bins for i in range(1, bins)])  # one for all columns: a list would become a call per number and column
     found = df.agg(*[F.percentile_approx(F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)), asked, 100 * bins).alias(f"e{k}")
                      for k, c in enumerate(columns)]).first()
     return [np.array(sorted(set(v or ()))) for v in found]
