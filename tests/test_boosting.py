@@ -253,3 +253,53 @@ def test_models_with_most_rows_and_trees_start_first(spark):
     assert coded.schema["x"].dataType.typeName() == "binary" and coded.agg(F.max(F.length("x"))).first()[0] == 1
     found = boosting.fit_all(df, "row_index", ["a"], fits, keep=True)
     assert {(r["fit"], r["count"]) for r in found.groupBy("fit").count().collect()} == {(0, 11), (1, 11), (2, 11)}
+
+
+def test_sums_may_be_asked_for_a_step_later(tmp_path, monkeypatch):
+    """Two steps are on their way at a time, over many steps, also when sums are made in pieces."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def task(me):
+        shared, found, open_ = boosting._Shared(str(tmp_path / str(boosting.PIECES)), me, 3), [], []
+        for step in range(60):
+            open_.append(shared.post(np.arange(1 + step % 7) * 2.0 ** me + step))
+            if len(open_) == 2:
+                found.append(open_.pop(0)())
+        return found + [open_.pop()()]
+
+    for pieces in (5, 1 << 19):
+        monkeypatch.setattr(boosting, "PIECES", pieces)
+        (tmp_path / str(pieces)).mkdir()
+        with ThreadPoolExecutor(3) as pool:
+            for found in pool.map(task, range(3)):
+                assert all((p == np.arange(1 + step % 7) * 7.0 + 3 * step).all() for step, p in enumerate(found)) and len(found) == 60
+
+
+def test_rows_are_counted_while_other_sums_are_on_their_way(data):
+    """Models in two groups: each hands in its level before the sums of the other are asked for. The trees are those of each model alone."""
+    _, y, edges, codes = data
+    log = []
+
+    def add(parts):  # the totals of the labels, once
+        return parts
+
+    def post(parts):
+        log.append("post")
+        return lambda: log.append("sum") or parts
+
+    add.post = post
+    works = [trees.Work("squared", trees.Size(rounds=4, depth=3, bagged=k % 2 == 1), y * (1 + k), None) for k in range(4)]
+    together = trees.fit(codes, np.arange(200), edges, works, add)
+    assert log[:6] == ["post", "post", "sum", "post", "sum", "post"]
+    for work, (model, scores) in zip(works, together):
+        (alone, same), = trees.fit(codes, np.arange(200), edges, [work])
+        assert model.write() == alone.write() and (scores == same).all()
+
+
+def test_models_of_one_seed_share_their_draws(data, monkeypatch):
+    _, y, edges, codes = data
+    calls, hashed = [], trees._hashed
+    monkeypatch.setattr(trees, "_hashed", lambda *a: calls.append(1) or hashed(*a))
+    sizes = (trees.Size(rounds=5, depth=2), trees.Size(rounds=5, depth=2, bagged=True))
+    trees.fit(codes, np.arange(200), edges, [trees.Work("squared", sizes[k % 2], y + k, None) for k in range(8)])
+    assert len(calls) == 10  # five steps of either way, not eight models of five
