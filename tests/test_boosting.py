@@ -1,5 +1,7 @@
 """Histogram trees against a plain booster, numeric derivatives, and both ways to spread the work."""
 
+import tempfile
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -303,3 +305,26 @@ def test_models_of_one_seed_share_their_draws(data, monkeypatch):
     sizes = (trees.Size(rounds=5, depth=2), trees.Size(rounds=5, depth=2, bagged=True))
     trees.fit(codes, np.arange(200), edges, [trees.Work("squared", sizes[k % 2], y + k, None) for k in range(8)])
     assert len(calls) == 10  # five steps of either way, not eight models of five
+
+
+def test_rows_in_files_give_the_same_trees(table, data, monkeypatch):
+    """A task whose rows outgrow HELD_BYTES keeps them in files: over several stretches, for every objective and both kinds."""
+    x, y, edges, codes = data
+    monkeypatch.setattr(trees, "CHUNK", 32)
+    monkeypatch.setattr(trees.Room, "EVERY", 1)
+    labels = np.where(np.arange(200) < 150, y, np.nan)
+    works = [trees.Work(objective, trees.Size(rounds=4, depth=depth, bagged=bagged, row_share=share), found, weights, classes, leaf_edges=ends, active=np.arange(200) >= 120)
+             for objective, bagged, found, weights, classes, ends, share, depth in (
+                 ("squared", False, labels, None, 1, None, 0.8, 5), ("squared", False, labels, None, 1, None, 1.0, 2), ("late", False, np.log1p(np.abs(labels)), None, 1, None, 0.8, 9),
+                 ("squared", True, labels, None, 1, np.quantile(y, [0, 0.5, 1]), 1.0, 5), ("squared", True, labels, np.where(y > 2, 1.5, 0.5), 1, None, 1.0, 3),
+                 ("classes", False, np.where(np.isnan(labels), np.nan, np.clip(np.round(y), 0, 3)), None, 4, None, 0.8, 3))]
+    held = trees.fit(codes, np.arange(200), edges, works)
+    room = trees.Room(tempfile.gettempdir())
+    filed = trees.fit(codes, np.arange(200), edges, works, room=room)
+    assert all(m.write() == n.write() and (a[120:] == b[120:]).all() for (m, a), (n, b) in zip(held, filed))
+    pages = len(room.maps)
+    trees.fit(codes, np.arange(200), edges, [trees.Work("squared", trees.Size(rounds=40, depth=3), y, None)], room=room)
+    assert len(room.maps) - pages < 20  # rounds take what earlier ones gave back
+    alone = boosting.fit_all(table, "id", ["x", "z"], some_fits(), keep=True).orderBy("fit", "key").collect()
+    monkeypatch.setattr(boosting, "HELD_BYTES", 0)
+    assert boosting.fit_all(table, "id", ["x", "z"], some_fits(), keep=True, shard_rows=160).orderBy("fit", "key").collect() == alone

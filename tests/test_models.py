@@ -87,3 +87,25 @@ def test_search_prunes_by_the_median(ranked):
         best = [r for r in rows if r.best]
         assert len(best) == 1 and best[0].folds_run == 4 and best[0].score == min(r.score for r in rows if r.folds_run == 4)
         assert best[0].rate == 0.2 and best[0].rounds == 60
+
+
+def test_isotonic_fit_gets_a_row_per_prediction(spark, monkeypatch):
+    """However many rows share a prediction, one task's memory holds it once; the fit is that of all rows."""
+    from contextlib import contextmanager
+
+    from pyspark.ml.regression import IsotonicRegression
+
+    rows = spark.range(600).select((F.col("id") % 5 / 2.0).alias("pred_mag"), (F.hash("id") % 100 / 300.0 + F.col("id") % 3 / 10.0).alias("residual"))
+    seen = []
+
+    @contextmanager
+    def counted(df):
+        seen.append(df.count())
+        yield df
+
+    monkeypatch.setattr(calibration, "held", counted)
+    found = calibration.fit_calibrator(rows, "isotonic", ["pred_mag"])(rows.select("pred_mag").distinct()).collect()
+    plain = IsotonicRegression(featuresCol="pred_mag", labelCol="residual").fit(rows).transform(rows.select("pred_mag").distinct()).collect()
+    assert seen == [5]
+    want = {r.pred_mag: r.prediction for r in plain}
+    assert len(found) == 5 and all(abs(r.residual_pred - want[r.pred_mag]) < 1e-12 for r in found)

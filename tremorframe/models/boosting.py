@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import shutil
+import tempfile
 import time
 import uuid
 import zlib
@@ -34,6 +35,8 @@ BINS = 64
 WAVE = 32
 WAVE_BYTES = 256 << 20
 ROW_BYTES = 48
+#: Bytes up to which a task of a dealt table keeps its rows in memory; more lie in files of its own, read chunk by chunk.
+HELD_BYTES = 320 << 20
 #: Bytes that all tasks of a dealt table exchange at a time where they share no folder.
 EXCHANGE = 32 << 20
 #: Numbers of all tasks up to which each task sums all parts itself; of more, each task sums a piece.
@@ -125,9 +128,10 @@ def _coded(table: DataFrame, edges: list[np.ndarray]) -> DataFrame:
             codes = np.ascontiguousarray(trees.coded(_matrix(b.column(1), width), edges))
             ends = np.arange(len(b) + 1, dtype=np.int32) * width
             x = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
-            yield pa.RecordBatch.from_arrays([b.column(0), x, b.column(2)], names=["key", "x", "fits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), x, *b.columns[2:]], names=names)
 
-    return table.mapInArrow(run, T.StructType([table.schema["key"], T.StructField("x", T.BinaryType()), table.schema["fits"]]))
+    names = table.columns
+    return table.mapInArrow(run, T.StructType([table.schema["key"], T.StructField("x", T.BinaryType()), *table.schema[2:]]))
 
 
 def _alone(tables: list[DataFrame], edges: list[np.ndarray], facts: list[dict], keep: bool) -> DataFrame:
@@ -312,54 +316,95 @@ def _exchange(tasks: int, folder: str | None):
     return add, 1 if shared else 10, end
 
 
-def _dealt(table: DataFrame, edges: list[np.ndarray], facts: list[dict], keep: bool, tasks: int, wave: int) -> DataFrame:
+class _Lines:
+    """Rows that come in batches, by column: gathered in memory, or in nameless files of the folder of ``room``."""
+
+    def __init__(self, lines: int, kind: type, room: trees.Room):
+        self.kind, self.room, self.n = kind, room, 0
+        self.parts = [[] if room.folder is None else tempfile.TemporaryFile(dir=room.folder) for _ in range(lines)]
+
+    def add(self, rows: np.ndarray) -> None:
+        self.n += len(rows)
+        for part, line in zip(self.parts, np.ascontiguousarray(rows.T.astype(self.kind, copy=False)), strict=True):
+            if self.room.folder is None:
+                part.append(line)
+            else:
+                part.write(line.tobytes())
+
+    def whole(self) -> np.ndarray:
+        """Line by line; what was gathered is let go."""
+        out = self.room.empty((len(self.parts), self.n), self.kind)
+        for line, part in zip(out, self.parts, strict=True):
+            if self.room.folder is None:
+                line[:] = np.concatenate(part) if part else 0
+                part.clear()
+                continue
+            part.seek(0)
+            for s in trees.steps(self.n, trees.CHUNK):
+                line[s] = np.frombuffer(part.read((s.stop - s.start) * line.itemsize), self.kind)
+                self.room.rest()
+            part.close()
+        return out
+
+
+def _own_folder() -> str:
+    """A folder of this task's machine: the first that Spark spills to, if there is one."""
+    for place in os.environ.get("SPARK_LOCAL_DIRS", "").split(","):
+        if place and os.path.isdir(place) and os.access(place, os.W_OK):
+            return place
+    return tempfile.gettempdir()
+
+
+def _dealt(table: DataFrame, edges: list[np.ndarray], facts: list[dict], keep: bool, tasks: int, wave: int, rows: int) -> DataFrame:
     """All models over the rows of many tasks: a barrier stage in which each keeps its rows once, and levels of histograms are
-    summed, ``wave`` models at a time. If a task is lost Spark starts the stage again."""
+    summed, ``wave`` models at a time. Rows that outgrow HELD_BYTES of a task lie in files, so its memory does not grow with them.
+    If a task is lost Spark starts the stage again."""
     from tremorframe.session import ensure_checkpoint_dir
 
     width = len(edges)
     place = urlparse(ensure_checkpoint_dir(table.sparkSession))
     folder = unquote(place.path) if place.scheme in ("", "file") and not place.netloc else None
+    lines = [1 + max(f[n] for f in facts) for n in ("label", "weight", "rows")]
+    spools = rows // tasks * (width + 8 + 8 * lines[0] + 8 * lines[1] + lines[2] + ROW_BYTES * min(wave, len(facts))) > HELD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import BarrierTaskContext
 
-        keys, codes, held = [], [], ([], [], [])
+        room = trees.Room(_own_folder() if spools else None)
+        parts = [_Lines(n, kind, room) for n, kind in zip((1, width, *lines), (np.int64, np.uint8, float, float, np.uint8), strict=True)]
         for b in batches:
-            keys.append(b.column(0).to_numpy())
-            codes.append(trees.coded(_matrix(b.column(1), width), edges).T)
-            for k, (parts, kind) in enumerate(zip(held, (float, float, np.uint8), strict=True)):
-                flat = b.column(2 + k).flatten().to_numpy(zero_copy_only=False).astype(kind)
-                parts.append(np.ascontiguousarray(flat.reshape(len(b), -1).T))
-        ids = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        order = np.argsort(ids, kind="stable")  # a time fold's rows lie together
-
-        def whole(parts: list[np.ndarray], lines: int, kind: type) -> np.ndarray:
-            out = np.empty((lines, len(order)), kind)
-            for k in range(lines):
-                if parts:
-                    out[k] = np.concatenate([p[k] for p in parts])[order]
-            parts.clear()
-            return out
-
-        lines = [1 + max(f[n] for f in facts) for n in ("label", "weight", "rows")]
-        ids, matrix = ids[order], whole(codes, width, np.uint8)
-        keys.clear()
-        y, w, flags = (whole(parts, n, kind) for parts, n, kind in zip(held, lines, (float, float, np.uint8), strict=True))
-        del order
+            parts[0].add(b.column(0).to_numpy()[:, None])
+            parts[1].add(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), width))
+            for part, column in zip(parts[2:], b.columns[2:], strict=True):
+                part.add(column.flatten().to_numpy(zero_copy_only=False).reshape(len(b), len(part.parts)))
+        (ids,), matrix, y, w, flags = (part.whole() for part in parts)
         add, together, end = _exchange(tasks, folder)
         first = BarrierTaskContext.get().partitionId() == 0
+
+        def work(f: dict) -> trees.Work:
+            labels, active, rows = room.empty((len(ids),), float), room.empty((len(ids),), bool), flags[f["rows"]]
+            for s in trees.steps(len(ids), trees.CHUNK):
+                labels[s] = np.where(rows[s] & 1, y[f["label"], s], np.nan)
+                np.greater_equal(rows[s], 2, out=active[s])
+                room.rest()
+            return _work(f, labels, w[f["weight"]], active)
+
         order = sorted(range(len(facts)), key=lambda k: (facts[k]["size"].bagged, facts[k]["objective"]))  # like ones draw the same rows
         for at in range(0, len(facts), wave):
-            part = [facts[k] for k in order[at:at + wave]]
-            works = [_work(f, np.where(flags[f["rows"]] & 1, y[f["label"]], np.nan), w[f["weight"]], flags[f["rows"]] >= 2) for f in part]
-            for k, (model, scores) in zip(order[at:at + wave], trees.fit(matrix.T, ids, edges, works, add, together), strict=True):
-                yield _rows(k, ids, flags[facts[k]["rows"]] >= 2, scores)
+            works = [work(facts[k]) for k in order[at:at + wave]]
+            for k, (model, scores) in zip(order[at:at + wave], trees.fit(matrix.T, ids, edges, works, add, together, room), strict=True):
+                for s in trees.steps(len(ids), 4 * trees.CHUNK):
+                    yield _rows(k, ids[s], flags[facts[k]["rows"], s] >= 2, scores[s])
+                    room.rest()
                 if keep and first:
                     yield _model(k, model)
+                room.back(scores)
+            for used in works:
+                room.back(used.labels, used.active)
         end()
 
-    return table.repartition(tasks, "key").mapInArrow(run, _OUT, barrier=True)
+    # in the order of the keys: a time fold's rows lie together
+    return _coded(table, edges).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, _OUT, barrier=True)
 
 
 def fit_all(df: DataFrame, key: str, columns: list[str], fits: list[Fit], keep: bool = False, features: str | None = None,
@@ -389,7 +434,7 @@ def fit_all(df: DataFrame, key: str, columns: list[str], fits: list[Fit], keep:
     wave = min(max(WAVE_BYTES * tasks // (n * ROW_BYTES), 1), WAVE)
     table, places = _dealt_table(df, key, vector, fits)
     # files, not a checkpoint: a checkpointed barrier stage would still count as one in what reads it
-    return landed(_dealt(table, edges, [f | p for f, p in zip(facts, places, strict=True)], keep, tasks, wave), "dealt-models")
+    return landed(_dealt(table, edges, [f | p for f, p in zip(facts, places, strict=True)], keep, tasks, wave, n), "dealt-models")
 
 
 def scores_by_key(found: DataFrame, fits: list[Fit], where: str = "key") -> DataFrame:

@@ -46,8 +46,9 @@ def fit_calibrator(train: DataFrame, kind: str, columns: list[str], key: str = "
         fits = [Fit("residual_pred", F.lit(True), F.col("residual"), size=CALIBRATOR_SIZE)]
         return models_of(fit_all(train, key, columns, fits, keep=True), fits, columns)["residual_pred"].transform
     if kind == "isotonic":
-        with held(train.select(F.col("pred_mag").alias("x"), F.col("residual").alias("label"))) as data:
-            model = IsotonicRegression(featuresCol="x", labelCol="label").fit(data)
+        # a row per prediction with its mean and count pools the same: else all rows of one prediction would meet in one task's memory
+        with held(train.groupBy(F.col("pred_mag").alias("x")).agg(F.avg("residual").alias("label"), F.count("*").cast("double").alias("w"))) as data:
+            model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w").fit(data)
 
         def isotonic(df: DataFrame) -> DataFrame:
             out = model.transform(df.withColumn("x", F.col("pred_mag")))
