@@ -328,3 +328,13 @@ def test_rows_in_files_give_the_same_trees(table, data, monkeypatch):
     alone = boosting.fit_all(table, "id", ["x", "z"], some_fits(), keep=True).orderBy("fit", "key").collect()
     monkeypatch.setattr(boosting, "HELD_BYTES", 0)
     assert boosting.fit_all(table, "id", ["x", "z"], some_fits(), keep=True, shard_rows=160).orderBy("fit", "key").collect() == alone
+
+
+@pytest.mark.parametrize("bagged", [False, True])
+def test_cuts_weighed_in_blocks_of_nodes_are_the_same(data, monkeypatch, bagged):
+    _, y, edges, codes = data
+    work = trees.Work("squared", trees.Size(rounds=5, depth=6, gain=0.0, bagged=bagged, node_columns=0.6), y, None)
+    (whole, scores), = trees.fit(codes, np.arange(200), edges, [work])
+    monkeypatch.setattr(trees, "CELLS", 1)
+    (blocks, same), = trees.fit(codes, np.arange(200), edges, [work])
+    assert whole.write() == blocks.write() and (scores == same).all()

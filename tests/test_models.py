@@ -109,3 +109,19 @@ def test_isotonic_fit_gets_a_row_per_prediction(spark, monkeypatch):
     assert seen == [5]
     want = {r.pred_mag: r.prediction for r in plain}
     assert len(found) == 5 and all(abs(r.residual_pred - want[r.pred_mag]) < 1e-12 for r in found)
+
+
+def test_search_weighs_each_prediction_once(ranked, monkeypatch):
+    """One score per sweep over the rows of all trials, not one per trial over all predictions; equal to each trial alone."""
+    table = ranked.withColumn("main", F.col("mag") + 1.0)
+    plan = folds.plan_folds(table)
+    space = {"rounds": (3, 5), "depth": (2, 3), "rate": (0.1, 0.3), "row_share": (0.8, 1.0)}
+    asked, score = [], tuning.mag_error
+    monkeypatch.setattr(tuning, "mag_error", lambda *a: asked.append(1) or score(*a))
+    rows = tuning.parameter_search(table, plan, ["x", "z"], "mag", "main", trials=6, space=space, warm_up=len(plan)).collect()
+    assert len(asked) == 1 and len(rows) == 6
+    r = rows[4]
+    size = {"rounds": r.rounds, "depth": r.depth, "rate": r.rate, "row_share": r.row_share}
+    oof = training.oof_regression(table, plan, ["x", "z"], "mag", "days", kinds=("boosted",), params={"boosted": size}, keep=["main"])
+    want = oof.agg(score(F.col("boosted_pred_mag"), F.col("mag"), F.col("main")).alias("v")).first().v
+    assert abs(r.score - want) < 1e-9
